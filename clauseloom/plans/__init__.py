@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["extraction"]
+AREAS = ["extraction", "corpus", "similarity"]
 
 
 def load_all() -> None:

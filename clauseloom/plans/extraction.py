@@ -116,7 +116,7 @@ SELECT clause_seq, CASE WHEN n % 2 = 0 THEN NULL ELSE round_even(n / 100.0, 4)::
 def extract_percentages_near_references(spark, sf_dir):
     """A percent right after a section reference is no percentage; one far from it is."""
     n = F.col("n")
-    text = F.when(n % 2 == 0, F.concat(F.lit("As in Section 4 "), n.cast("string"), F.lit("% of the whole."))
+    text = F.when(n % 2 == 0, F.concat(F.lit("See Section "), n.cast("string"), F.lit("% of the whole."))
                   ).otherwise(F.concat(F.lit("Section 4 sets out what each side owes the other: "),
                                        n.cast("string"), F.lit("% of the whole.")))
     found = rendered_clauses(spark, sf_dir).withColumn("x", X.percent_of(text))
