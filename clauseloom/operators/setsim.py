@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.functions.text import words
+from clauseloom.session import cut_lineage
 
 FREQUENT_TOKENS = 2000
 LIST_BLOCK = 2000
@@ -35,8 +36,9 @@ def distinct_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         "sig", F.sha2(F.concat_ws("\n", F.array_sort("tokens")), 256))
     groups = keyed.groupBy("type", "sig").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"))
     members = keyed.select("type", "sig", "id").join(groups, ["type", "sig"])
-    sets = keyed.join(groups.select(F.col("rep").alias("id"), "n_copies"), "id").select(
-        "type", F.col("id").alias("rep"), "tokens", F.size("tokens").alias("size"), "n_copies")
+    # The sets feed every later step, so they are written once to the shared folder.
+    sets = cut_lineage(keyed.join(groups.select(F.col("rep").alias("id"), "n_copies"), "id").select(
+        "type", F.col("id").alias("rep"), "tokens", F.size("tokens").alias("size"), "n_copies"))
     copies = members.where("id <> rep").select("type", "id", "rep")
     return sets, copies
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["extraction", "corpus", "similarity"]
+AREAS = ["extraction", "corpus", "similarity", "classification"]
 
 
 def load_all() -> None:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from clauseloom.corpus_model import CLAUSES_SQL, KINDS, rendered_clauses
 from clauseloom.functions import text as X
-from clauseloom.lookups import CLAUSE_MAPPINGS, ROUTING_STOPWORDS, from clauseloom.operators import corpus as C
+from clauseloom.lookups import CLAUSE_MAPPINGS, ROUTING_STOPWORDS
+from clauseloom.operators import corpus as C
 from clauseloom.operators.numbering import running_number
 from clauseloom.plans.registry import query
 from clauseloom.session import scratch_path, table
