@@ -94,7 +94,7 @@ def threshold_improvement(sweep: DataFrame, threshold: float = DEFAULT_THRESHOLD
 def agreement(predictions: DataFrame) -> DataFrame:
     """Prediction/truth agreement per type; rows with ``unknown`` on either side drop out."""
     known = predictions.where("truth <> 'unknown' AND predicted <> 'unknown'")
-    return known.groupBy("truth").agg(F.count("*").alias("total"), F.count_if("truth = predicted").alias("correct"),
+    return known.groupBy("truth").agg(F.count("*").alias("total"), F.count_if(F.col("truth") == F.col("predicted")).alias("correct"),
                                       F.avg((F.col("truth") == F.col("predicted")).cast("int")).alias("accuracy"))
 
 
