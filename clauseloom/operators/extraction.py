@@ -6,6 +6,7 @@ relate variables of the same clause need no shuffle; the long form is an explode
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,24 +67,38 @@ def _cleared(var: Column) -> Column:
                     *[F.when(keep, var[f]).alias(f) for f in VALUE_FIELDS], var["nulled_by"].alias("nulled_by"))
 
 
+_columns_by_context: dict = {}
+
+
+def _extractor_columns(response: str | None) -> dict[str, Column]:
+    """One column per kind of value, evaluated only for clauses whose schema has that kind.
+
+    The expressions refer to columns by name only, so they are built once per Spark context.
+    """
+    key = (id(SparkContext._active_spark_context), response)
+    if key not in _columns_by_context:
+        text = F.col("text")
+
+        def needs(var_type):
+            return F.exists("schema_vars", lambda v: v["var_type"] == var_type)
+
+        _columns_by_context[key] = {
+            "x_date": F.when(needs("DateTime"), X.date_of(text)),
+            "x_money": F.when(needs("MonetaryAmount"), X.money_of(text)),
+            "x_dur": F.when(needs("Duration"), X.duration_of(text)),
+            "x_num": X.double_of(F.when(needs("Double"), text)),
+            "x_bool": F.when(needs("Boolean"), X.polarity_of(text)),
+            "x_parties": F.when(needs("Party[]"), P.parties_of(text, F.col(response) if response else None)),
+        }
+    return _columns_by_context[key]
+
+
 def extract_raw(clauses: DataFrame, response: str | None = None) -> DataFrame:
     """Pattern extraction: adds ``raw_vars``, one typed struct per schema variable.
 
     ``response`` names an optional string column with a model answer for parties.
     """
-    text = F.col("text")
-
-    def needs(var_type):
-        return F.exists("schema_vars", lambda v: v["var_type"] == var_type)
-
-    found = with_schema(clauses).withColumns({
-        "x_date": F.when(needs("DateTime"), X.date_of(text)),
-        "x_money": F.when(needs("MonetaryAmount"), X.money_of(text)),
-        "x_dur": F.when(needs("Duration"), X.duration_of(text)),
-        "x_num": X.double_of(F.when(needs("Double"), text)),
-        "x_bool": F.when(needs("Boolean"), X.polarity_of(text)),
-        "x_parties": F.when(needs("Party[]"), P.parties_of(text, F.col(response) if response else None)),
-    })
+    found = with_schema(clauses).withColumns(_extractor_columns(response))
 
     def typed(v: Column) -> Column:
         kind = v["var_type"]

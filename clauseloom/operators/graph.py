@@ -220,14 +220,18 @@ def template_nodes(templates: DataFrame) -> DataFrame:
         preserves_text(F.col("grammar")).alias("original_text_preserved"))
 
 
-def template_edges(nodes: DataFrame, clauses: DataFrame, variables: DataFrame) -> dict[str, DataFrame]:
-    """BASED_ON, GENERATES and USES_VARIABLES."""
+def based_on_edges(nodes: DataFrame) -> DataFrame:
+    return nodes.select(F.col("template_id").alias("from_id"), F.col("contract_id").alias("to_id")).distinct()
+
+
+def generates_edges(nodes: DataFrame, clauses: DataFrame) -> DataFrame:
     matched = nodes.join(match_clauses(nodes, clauses), ["contract_id", "clause_type"])
-    generates = matched.select(F.col("clause_id").alias("from_id"), F.col("template_id").alias("to_id")).distinct()
-    uses = generates.join(variables.select(F.col("clause_id").alias("from_id"), "variable_id"), "from_id").select(
+    return matched.select(F.col("clause_id").alias("from_id"), F.col("template_id").alias("to_id")).distinct()
+
+
+def uses_edges(generates: DataFrame, variables: DataFrame) -> DataFrame:
+    return generates.join(variables.select(F.col("clause_id").alias("from_id"), "variable_id"), "from_id").select(
         F.col("to_id").alias("from_id"), F.col("variable_id").alias("to_id")).distinct()
-    based = nodes.select(F.col("template_id").alias("from_id"), F.col("contract_id").alias("to_id")).distinct()
-    return {"BASED_ON": based, "GENERATES": generates, "USES_VARIABLES": uses}
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -242,23 +246,45 @@ def valid_edges(edges: DataFrame, from_ids: DataFrame, to_ids: DataFrame) -> Dat
     return edges.dropDuplicates(["from_id", "to_id"]).join(a, "from_id", "left_semi").join(b, "to_id", "left_semi")
 
 
-def build(clauses: DataFrame, templates: DataFrame | None = None, max_contracts: int | None = None) -> dict[str, DataFrame]:
+class GraphTables:
+    """Node and edge tables by name, each planned when it is first asked for."""
+
+    def __init__(self, makers: dict):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def names(self) -> list[str]:
+        return list(self._makers)
+
+    def items(self):
+        return ((name, self[name]) for name in self._makers)
+
+
+def build(clauses: DataFrame, templates: DataFrame | None = None, max_contracts: int | None = None) -> GraphTables:
     """All node and edge tables of the extracted clauses."""
     if max_contracts is not None:
         first = clauses.select("contract_id").distinct().orderBy("contract_id").limit(max_contracts)
         clauses = clauses.join(first, "contract_id", "left_semi")
-    nodes, variables, parties = clause_nodes(clauses), variable_nodes(clauses), contract_parties(clauses)
-    tables = {
-        "Contract": contract_nodes(clauses), "Clause": nodes, "Variable": variables, "Party": party_nodes(parties),
-        "CONTAINS": contains_edges(nodes), "HAS_VARIABLE": variable_edges(variables), "INVOLVES": involves_edges(parties),
+    makers = {
+        "Contract": lambda: contract_nodes(clauses), "Clause": lambda: clause_nodes(clauses),
+        "Variable": lambda: variable_nodes(clauses), "Party": lambda: party_nodes(contract_parties(clauses)),
+        "CONTAINS": lambda: contains_edges(tables["Clause"]), "HAS_VARIABLE": lambda: variable_edges(tables["Variable"]),
+        "INVOLVES": lambda: involves_edges(contract_parties(clauses)),
     }
     if templates is not None:
-        tables["Template"] = template_nodes(templates)
-        tables.update(template_edges(tables["Template"], nodes, variables))
+        makers["Template"] = lambda: template_nodes(templates)
+        makers["BASED_ON"] = lambda: based_on_edges(tables["Template"])
+        makers["GENERATES"] = lambda: generates_edges(tables["Template"], tables["Clause"])
+        makers["USES_VARIABLES"] = lambda: uses_edges(tables["GENERATES"], tables["Variable"])
+    tables = GraphTables(makers)
     return tables
 
 
-def totals(tables: dict[str, DataFrame]) -> DataFrame:
+def totals(tables: GraphTables) -> DataFrame:
     out = None
     for name, frame in tables.items():
         part = frame.agg(F.lit(name).alias("label"), F.count("*").alias("n"))
@@ -266,14 +292,14 @@ def totals(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def top_parties(tables: dict[str, DataFrame], n: int = 5) -> DataFrame:
+def top_parties(tables: GraphTables, n: int = 5) -> DataFrame:
     # A name is looked up for the n winners only.
     counts = tables["INVOLVES"].groupBy("to_id").agg(F.count("*").alias("contract_count"))
     return counts.orderBy(F.desc("contract_count"), "to_id").limit(n).join(
         tables["Party"].withColumnRenamed("party_id", "to_id"), "to_id").select("name", "contract_count")
 
 
-def template_success(tables: dict[str, DataFrame], distinct: bool = False) -> DataFrame:
+def template_success(tables: GraphTables, distinct: bool = False) -> DataFrame:
     """Clauses and templates per type by optional match: a clause with two templates counts twice
     unless ``distinct``."""
     made = tables["GENERATES"].groupBy(F.col("from_id").alias("clause_id")).agg(F.count("*").alias("t"))
@@ -284,7 +310,7 @@ def template_success(tables: dict[str, DataFrame], distinct: bool = False) -> Da
         "success_rate", F.round(F.col("templates_generated") * 100.0 / F.col("total_clauses")))
 
 
-def clauses_with_templates(tables: dict[str, DataFrame]) -> DataFrame:
+def clauses_with_templates(tables: GraphTables) -> DataFrame:
     """Success by type with totals from a second match: types without a template drop out."""
     made = tables["GENERATES"].join(tables["Clause"].select(F.col("clause_id").alias("from_id"), "clause_type"), "from_id")
     done = made.groupBy("clause_type").agg(F.count("*").alias("clauses_with_templates"))
@@ -293,7 +319,7 @@ def clauses_with_templates(tables: dict[str, DataFrame]) -> DataFrame:
         "success_rate", F.round(F.col("clauses_with_templates") * 100.0 / F.col("total_clauses")))
 
 
-def caps_above(tables: dict[str, DataFrame], bound: float) -> DataFrame:
+def caps_above(tables: GraphTables, bound: float) -> DataFrame:
     """Liability caps above an amount with their contract's title."""
     caps = tables["Variable"].where((F.col("clause_type") == "cap_on_liability") & (F.col("schema_type") == "MonetaryAmount")
                                     & (F.col("amount") > bound)).select("clause_id", "amount", "value")
@@ -301,7 +327,7 @@ def caps_above(tables: dict[str, DataFrame], bound: float) -> DataFrame:
         "title", "original_text", "value", "amount")
 
 
-def neighbourhood(tables: dict[str, DataFrame]) -> DataFrame:
+def neighbourhood(tables: GraphTables) -> DataFrame:
     """Per contract the numbers of clauses, parties, variables and templates around it."""
     clause = tables["Clause"].select("clause_id", "contract_id")
     per_clause = clause.join(tables["Variable"].groupBy("clause_id").agg(F.count("*").alias("v")), "clause_id", "left")

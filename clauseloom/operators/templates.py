@@ -114,11 +114,12 @@ def with_grammar(clauses: DataFrame) -> DataFrame:
     is left alone.  Booleans wrap the text afterwards.
     """
     text = strip(F.col("text"))
-    spans = F.filter(
+    found = F.filter(
         F.transform("vars", lambda v: F.struct(
-            (-F.length(_span_of(text, v))).alias("rank"), v["pos"].alias("pos"), _span_of(text, v).alias("span"),
-            T.placeholder(v["var_name"], v["var_type"]).alias("by"))),
+            v["pos"].alias("pos"), _span_of(text, v).alias("span"), T.placeholder(v["var_name"], v["var_type"]).alias("by"))),
         lambda s: s["span"].isNotNull())
+    spans = F.transform(found, lambda s: F.struct(
+        (-F.length(s["span"])).alias("rank"), s["pos"].alias("pos"), s["span"].alias("span"), s["by"].alias("by")))
     start = F.struct(text.alias("t"), F.lit(0).alias("n"))
 
     def step(acc, s):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseloom import lookups
@@ -11,6 +11,7 @@ from clauseloom.functions import parties as P
 from clauseloom.functions import typed as X
 from clauseloom.operators import extraction as E
 from clauseloom.plans.registry import query
+from clauseloom.session import stored, table
 
 _SCHEMA_VALUES = lookups.sql_values(lookups.schema_rows(), "clause_type, var_name, var_type, pos")
 
@@ -66,9 +67,9 @@ def rendered_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.extract_contracts(clauses)
 
 
-def _typed(spark, sf_dir, kinds, **columns):
-    clauses = rendered_clauses(spark, sf_dir).where(F.col("clause_type").isin(kinds))
-    return clauses.select("clause_seq", *[c.alias(n) for n, c in columns.items()])
+def rendered_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extracted clauses as a written table, for stages that read them several times."""
+    return stored(rendered_extracted(spark, sf_dir), "extracted")
 
 
 @query("clause_corpus_rendered", f"WITH {CLAUSES_SQL} SELECT contract_id, clause_seq, clause_type, text FROM clauses")
@@ -328,8 +329,6 @@ def coverage_scores(spark, sf_dir):
   NULL::INT AS dur_amount, NULL::BOOLEAN AS polarity, 0 AS n_parties FROM documents""")
 def extraction_documents_control(spark, sf_dir):
     """Negative control: prose without contract wording yields no value."""
-    from clauseloom.session import table
-
     text = F.col("text")
     return table(spark, sf_dir, "documents").select(
         "doc_id", X.date_of(text)["dt"].cast("string").alias("found_date"), X.money_of(text)["amount"].alias("amount"),
@@ -387,8 +386,6 @@ def extraction_dedup(spark, sf_dir):
 @query("documents_dedup", """SELECT doc_id FROM documents
 QUALIFY row_number() OVER (PARTITION BY source, lang, text[1:200] ORDER BY doc_id) = 1""")
 def documents_dedup(spark, sf_dir):
-    from clauseloom.session import table
-
     docs = table(spark, sf_dir, "documents").select(
         F.col("source").alias("contract_id"), F.col("lang").alias("clause_type"), "text",
         F.col("doc_id").alias("clause_seq"))

@@ -8,11 +8,11 @@ from clauseloom.corpus_model import CLAUSES_SQL, rendered_clauses
 from clauseloom.operators import graph as G
 from clauseloom.operators import setsim as S
 from clauseloom.operators import templates as T
-from clauseloom.plans.extraction import rendered_extracted
+from clauseloom.plans.extraction import rendered_stored as rendered_extracted
 from clauseloom.plans.registry import query
 from clauseloom.plans.similarity import relation_sql
 from clauseloom.plans.templates import TEMPLATES_SQL
-from clauseloom.session import scratch_path, table
+from clauseloom.session import scratch_path, stored, table
 from clauseloom.sources import writers
 
 # The expected graph tables of the rendered corpus.
@@ -40,7 +40,7 @@ titled AS (SELECT contract_id, CASE WHEN s IS NOT NULL THEN (s || ' Trading Corp
 
 def graph_tables(spark, sf_dir):
     clauses = rendered_extracted(spark, sf_dir)
-    return G.build(clauses, T.generate(clauses))
+    return G.build(clauses, stored(T.generate(clauses), "templates"))
 
 
 def clause_tables(spark, sf_dir):
@@ -276,4 +276,4 @@ def graph_tables_written(spark, sf_dir):
     path = scratch_path(spark, "graph")
     tables = graph_tables(spark, sf_dir)
     writers.write_graph(tables, path)
-    return G.totals({name: spark.read.parquet(f"{path}/{name}") for name in tables})
+    return G.totals({name: spark.read.parquet(f"{path}/{name}") for name in tables.names()})

@@ -10,7 +10,8 @@ from clauseloom.functions.values import is_graph_valid, is_usable
 from clauseloom.lookups import TEMPLATE_MAP, priority_rows, sql_values
 from clauseloom.operators import extraction as E
 from clauseloom.operators import templates as T
-from clauseloom.plans.extraction import LONG_SQL, rendered_extracted, rendered_long
+from clauseloom.plans.extraction import LONG_SQL, rendered_long
+from clauseloom.plans.extraction import rendered_stored as rendered_extracted
 from clauseloom.plans.registry import query
 
 _TEMPLATES = f"(SELECT * FROM {sql_values(TEMPLATE_MAP, 'clause_type, template')})"

@@ -67,7 +67,7 @@ def long_metrics(frame: DataFrame, component: str, category: str, count: str) ->
         F.lit(component).alias("component"), "metric_type", "category", "value", "count")
 
 
-def write_graph(tables: dict[str, DataFrame], path: str) -> None:
+def write_graph(tables, path: str) -> None:
     """One table per node label and edge type, rewritten as a whole."""
     for name, frame in tables.items():
         frame.write.mode("overwrite").parquet(f"{path}/{name}")
