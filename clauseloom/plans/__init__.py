@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["extraction", "corpus", "similarity", "classification", "templates", "graph"]
+AREAS = ["extraction", "corpus", "similarity", "classification", "templates", "graph", "lifecycle"]
 
 
 def load_all() -> None:
