@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,10 +43,11 @@ SHORT_FRAGMENT_WORDS = ["section", "clause", "grant", "scope", "pursuant", "acco
 # Written amounts in an answer.
 PERCENT_MARKS, MONEY_MARKS = ["%", "percent", "per cent"], ["$", "€", "£", "dollar", "usd", "eur", "gbp"]
 CURRENCY_WORDS = r"(?:dollars?|usd|euros?|eur|pounds?|gbp)"
+# "three times $5" is tried first, or the bare "$5" in it would win.
 WRITTEN_PATTERNS = [
+    (r"(one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)\s+times.*?[\$€£](\d+(?:,\d{3})*(?:\.\d{1,2})?)", "times"),
     (r"[\$€£](\d+(?:,\d{3})*(?:\.\d+)?)\s*(mm|m|b|k|million|billion|thousand)?\b", "scaled"),
     (r"(\d+(?:,\d{3})*(?:\.\d+)?)\s*(mm|m|b|k|million|billion|thousand)\b(?!\s*%)", "scaled"),
-    (r"(one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)\s+times.*?[\$€£](\d+(?:,\d{3})*(?:\.\d{1,2})?)", "times"),
     (r"[\$€£](\d+(?:,\d{3})*(?:\.\d{1,2})?)", "plain"),
     (rf"(\d+(?:,\d{{3}})*(?:\.\d{{1,2}})?)\s*{CURRENCY_WORDS}", "plain"),
     (rf"(\d+(?:\.\d+)?)\s+(thousand|million|billion|hundred)\s*{CURRENCY_WORDS}", "scaled"),
@@ -149,13 +150,6 @@ def written_amount(answer: Column) -> Column:
     return F.when(~is_percent & ~low.isin("null", "none", "n/a", ""), F.coalesce(*tries))
 
 
-def money_answer(answer: Column) -> Column:
-    """struct<amount, currency>: the written amount in USD, else the money patterns."""
-    amount, pattern = written_amount(answer), X.money_of(answer)
-    return F.when(amount.isNotNull(), F.struct(F.bround(amount, 2).alias("amount"), F.lit("USD").alias("currency"))).when(
-        pattern.isNotNull(), F.struct(pattern["amount"].alias("amount"), pattern["currency"].alias("currency")))
-
-
 def string_answer(answer: Column) -> Column:
     ok = ~_contains_any(F.lower(answer), META_WORDS) & (F.length(answer) >= 3) & (F.length(answer) <= 300)
     return F.when(ok, answer)
@@ -187,13 +181,22 @@ def accepted_string(value: Column, var_name: Column) -> Column:
     return F.when(ok, v)
 
 
-def parsed_response(response: Column, var_type: Column) -> Column:
-    """struct<s, b, d, dt, amount, currency, dur_amount, dur_unit> by variable type."""
-    a = cleaned_answer(response)
-    of = lambda kind, value: F.when(var_type == kind, value)
-    money, duration = money_answer(of("MonetaryAmount", a)), duration_answer(of("Duration", a))
-    return F.struct(
-        of("String", string_answer(a)).alias("s"), of("Boolean", boolean_answer(a)).alias("b"),
-        of("Double", double_answer(a)).alias("d"), of("DateTime", date_answer(a)).alias("dt"),
-        money["amount"].alias("amount"), money["currency"].alias("currency"),
-        duration["amount"].alias("dur_amount"), duration["unit"].alias("dur_unit"))
+def parse_responses(rows: DataFrame, response: str = "response", var_type: str = "var_type") -> DataFrame:
+    """Adds s, b, d, dt, amount, currency, dur_amount, dur_unit read by variable type.
+
+    The cleaned answer is a column of its own: written into each rule it would make
+    expressions too large to compile.
+    """
+    a = F.col("_answer")
+    of = lambda kind, value: F.when(F.col(var_type) == kind, value)
+    cleaned = rows.withColumn("_answer", cleaned_answer(F.col(response)))
+    amounts = cleaned.withColumn("_written", F.when(F.col(var_type) == "MonetaryAmount", written_amount(a))).withColumn(
+        "_pattern", of("MonetaryAmount", X.money_of(a))).withColumn("_duration", of("Duration", duration_answer(a)))
+    written = F.col("_written").isNotNull()
+    return amounts.withColumns({
+        "s": of("String", string_answer(a)), "b": of("Boolean", boolean_answer(a)), "d": of("Double", double_answer(a)),
+        "dt": of("DateTime", date_answer(a)),
+        "amount": F.when(written, F.bround("_written", 2)).otherwise(F.col("_pattern.amount")),
+        "currency": F.when(written, F.lit("USD")).otherwise(F.col("_pattern.currency")),
+        "dur_amount": F.col("_duration.amount"), "dur_unit": F.col("_duration.unit"),
+    }).drop("_answer", "_written", "_pattern", "_duration")

@@ -286,13 +286,13 @@ def answer_values(spark, sf_dir):
     types = ["String", "Boolean", "Double", "Double", "DateTime", "MonetaryAmount", "Duration", "MonetaryAmount"]
     # A percent of 1 or below is read as a fraction already, so 1 is written as 0.01.
     pct = F.when(F.col("n") == 1, "0.01 percent").otherwise(F.concat(n, F.lit(" percent")))
-    forms = [F.concat(F.lit('Answer: "Laws of '), "n_name", F.lit('".')), F.lit("Yes"), pct, F.concat(F.lit("Value is "), n),
+    forms = [F.concat(F.lit('Answer: "Laws of '), "n_name", F.lit('".')), F.lit("Yes"), pct, F.concat(n, F.lit(" in all")),
              F.date_format("o_orderdate", "MMMM d, yyyy"), F.concat(F.lit("$"), F.format_number("o_totalprice", 2)),
              F.concat(n, F.lit(" months")), F.lit("two million five hundred thousand dollars")]
     pick = lambda xs: F.element_at(F.array(*xs), (m + 1).cast("int"))
     rows = rendered_clauses(spark, sf_dir).select("clause_seq", pick(forms).alias("response"), pick([F.lit(t) for t in types]).alias("var_type"))
-    v = rows.withColumn("v", R.parsed_response(F.col("response"), F.col("var_type")))
-    return v.select("clause_seq", "v.s", "v.b", "v.d", F.col("v.dt").cast("string").alias("dt"), "v.amount", "v.dur_amount", "v.dur_unit")
+    return R.parse_responses(rows).select(
+        "clause_seq", "s", "b", "d", F.col("dt").cast("string").alias("dt"), "amount", "dur_amount", "dur_unit")
 
 
 @query("answer_written_money", f"""WITH {CLAUSES_SQL} SELECT clause_seq, CASE clause_seq % 6 WHEN 0 THEN n * 1000000.0 WHEN 1 THEN n * 1000.0 WHEN 2 THEN 3 * o_totalprice
@@ -300,7 +300,7 @@ def answer_values(spark, sf_dir):
 def answer_written_money(spark, sf_dir):
     m, n = F.pmod("clause_seq", F.lit(6)), F.col("n").cast("string")
     forms = [F.concat(F.lit("$"), n, F.lit("MM")), F.concat(n, F.lit(" thousand")), F.concat(F.lit("three times $"), F.format_number("o_totalprice", 2)),
-             F.concat(n, F.lit(" dollars")), F.concat(n, F.lit("%")), F.lit("forty-two dollars in fee".replace(" in fee", " and fee"))]
+             F.concat(n, F.lit(" dollars")), F.concat(n, F.lit("%")), F.lit("forty-two dollars and fee")]
     answer = F.element_at(F.array(*forms), (m + 1).cast("int"))
     return rendered_clauses(spark, sf_dir).select("clause_seq", F.round(R.written_amount(answer), 4).alias("amount"))
 
