@@ -24,6 +24,8 @@ NAME_SUFFIXES = (
     r"Corporation|Corp\.?|Inc\.?|Incorporated|LLC|L\.L\.C\.?|Ltd\.?|Limited|Company|Co\.?|LLP|L\.L\.P\.?|"
     r"LP|L\.P\.?|PLC|Systems|Enterprises|Group|Holdings|Partners|Solutions"
 )
+# A suffix starts a word with a capital: "Company" and "CO." count, "limited to" and "disco" do not.
+SUFFIX_START = r"\b(?-i:(?=[A-Z]))"
 DESCRIPTION_STARTS = r"a\s+|having\s+|with\s+|organized\s+"
 STOP_PHRASES = [
     r",\s*a\s+(?:delaware|california|new\s+york|nevada|texas|florida)\s+(?:corporation|company|llc)",
@@ -158,7 +160,7 @@ def is_valid_party_name(name: Column) -> Column:
 def complete_company_name(segment: Column) -> Column:
     """The name up to its company suffix; the suffix must start a word."""
     seg = strip(segment, r",.\"'")
-    name = r"((?-i:[A-Z])[^,\n]*?\b(?:" + NAME_SUFFIXES + r")\.?)"
+    name = r"((?-i:[A-Z])[^,\n]*?" + SUFFIX_START + r"(?:" + NAME_SUFFIXES + r")\.?)"
     endings = [
         rf"\s*(?:,|$|\s+(?:{DESCRIPTION_STARTS}))",
         rf"(?:\s+(?:{DESCRIPTION_STARTS})|$)",
@@ -192,10 +194,10 @@ def parties_by_recital(text: Column) -> Column:
     tries.append(_non_empty(distinct_names(_valid(F.transform(bullets, lambda b: clean_company_name(strip(b)))))))
     definitions = F.concat(
         F.regexp_extract_all(opening, F.lit(rx(
-            rf"((?-i:[A-Z])[^,\n]{{5,}}\b(?:{SHORT_SUFFIXES})[^,\n]*),\s*a\s+[^,\n]*"
+            rf"((?-i:[A-Z])[^,\n]{{5,}}{SUFFIX_START}(?:{SHORT_SUFFIXES})[^,\n]*),\s*a\s+[^,\n]*"
             r"(?:corporation|company|llc|limited|partnership)")), 1),
         F.regexp_extract_all(opening, F.lit(rx(
-            rf'"((?-i:[A-Z])[^"]{{5,}}\b(?:{SHORT_SUFFIXES})[^"]*)"')), 1))
+            rf'"((?-i:[A-Z])[^"]{{5,}}{SUFFIX_START}(?:{SHORT_SUFFIXES})[^"]*)"')), 1))
     tries.append(_non_empty(distinct_names(_valid(F.transform(definitions, clean_company_name)))))
     return F.when(opening.rlike(rx("between|●|" + SHORT_SUFFIXES)), F.coalesce(*tries))
 
@@ -205,9 +207,9 @@ def parties_by_suffix(text: Column) -> Column:
     opening = F.substring(text, 1, 2000)
     found = F.concat(
         F.regexp_extract_all(opening, F.lit(rx(
-            rf"\b((?-i:[A-Z])[a-zA-Z\s&\.,\-']{{5,60}}\b(?:{SHORT_SUFFIXES})\.?)\b")), 1),
+            rf"\b((?-i:[A-Z])[a-zA-Z\s&\.,\-']{{5,60}}{SUFFIX_START}(?:{SHORT_SUFFIXES})\.?)\b")), 1),
         F.regexp_extract_all(opening, F.lit(rx(
-            rf'"((?-i:[A-Z])[^"]{{5,60}}\b(?:{SHORT_SUFFIXES})\.?)"')), 1))
+            rf'"((?-i:[A-Z])[^"]{{5,60}}{SUFFIX_START}(?:{SHORT_SUFFIXES})\.?)"')), 1))
 
     def trimmed(name: Column) -> Column:
         out = F.regexp_replace(name, r"^[.,;:\"'()]+|[.,;:\"'()]+$", "")

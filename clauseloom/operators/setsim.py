@@ -32,14 +32,16 @@ def distinct_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     but the representatives.  Equal sets collapse in a partial aggregate on a
     SHA-256 of the sorted tokens, however many rows share one text.
     """
-    keyed = rows.select("id", "type", token_set(F.col("text")).alias("tokens")).where(F.size("tokens") > 0).withColumn(
-        "sig", F.sha2(F.concat_ws("\n", F.array_sort("tokens")), 256))
+    tokens = token_set(F.col("text"))
+    sig = F.sha2(F.concat_ws("\n", F.sort_array(tokens)), 256)
+    # Ids and signatures are kept as a narrow table; texts are read again for the
+    # representatives only, and their sets, which feed every later step, kept too.
+    keyed = cut_lineage(rows.select("id", "type", sig.alias("sig"), (F.size(tokens) > 0).alias("ok")).where("ok").drop("ok"))
     groups = keyed.groupBy("type", "sig").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"))
-    members = keyed.select("type", "sig", "id").join(groups, ["type", "sig"])
-    # The sets feed every later step, so they are written once to the shared folder.
-    sets = cut_lineage(keyed.join(groups.select(F.col("rep").alias("id"), "n_copies"), "id").select(
+    copies = keyed.join(groups.where("n_copies > 1"), ["type", "sig"]).where("id <> rep").select("type", "id", "rep")
+    reps = groups.select(F.col("rep").alias("id"), "n_copies")
+    sets = cut_lineage(rows.join(reps, "id").withColumn("tokens", tokens).select(
         "type", F.col("id").alias("rep"), "tokens", F.size("tokens").alias("size"), "n_copies"))
-    copies = members.where("id <> rep").select("type", "id", "rep")
     return sets, copies
 
 
@@ -88,9 +90,10 @@ def explicit_pairs(sets: DataFrame, threshold: float) -> DataFrame:
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "token"))), lambda x: x["token"]).alias("frequent")))
     ordered = sets.crossJoin(F.broadcast(frequent)).select(
         "type", "rep", "size", "tokens",
-        F.concat(F.array_sort(F.array_except("tokens", "frequent")), F.array_intersect("frequent", "tokens")).alias("o"))
+        F.concat(F.sort_array(F.array_except("tokens", "frequent")), F.array_intersect("frequent", "tokens")).alias("o"))
     prefix_len = F.col("size") - F.ceil(F.col("size") * F.lit(t) - 1e-9).cast("int") + 1
-    prefix = ordered.select("type", "rep", "size", F.posexplode(F.slice("o", F.lit(1), prefix_len)).alias("pos", "token"))
+    prefix = cut_lineage(ordered.select(
+        "type", "rep", "size", F.posexplode(F.slice("o", F.lit(1), prefix_len)).alias("pos", "token")))
     # Sets of equal size that can only be similar through a hub need not meet here.
     hub_only = (F.col("size") <= 32) & (_required_overlap(F.col("size"), F.col("size"), t) >= F.col("size") - 1)
     low = _length_bucket(F.ceil(F.col("size") * F.lit(t) - 1e-9).cast("int"))
@@ -110,12 +113,18 @@ def explicit_pairs(sets: DataFrame, threshold: float) -> DataFrame:
         F.explode(F.sequence(F.lit(0), F.coalesce("n_probe", F.lit(1)) - 1)).alias("pb"),
         F.pmod(F.xxhash64("rep"), F.coalesce("n_index", F.lit(1))).cast("int").alias("ib"))
     n, m = F.col("n"), F.col("m")
-    possible = F.least(n - F.col("px"), m - F.col("py")) >= _required_overlap(n, m, t)
-    candidates = left.join(right, [*key, "pb", "ib"]).where(
-        ((m < n) | ((m == n) & (F.col("x") < F.col("y")))) & (m >= n * t - 1e-9) & possible).select(
-        "type", "x", "y").distinct()
-    xs = sets.select(F.col("rep").alias("x"), F.col("tokens").alias("tx"), F.col("size").alias("n"))
-    ys = sets.select(F.col("rep").alias("y"), F.col("tokens").alias("ty"), F.col("size").alias("m"))
+    need = _required_overlap(n, m, t)
+    kept = lambda size: F.ceil(size * F.lit(t) - 1e-9).cast("int")
+    met = left.join(right, [*key, "pb", "ib"]).where(
+        ((m < n) | ((m == n) & (F.col("x") < F.col("y")))) & (m >= n * t - 1e-9))
+    # Two bounds on the overlap before any token list is fetched.  Nothing is common
+    # before the first common token; and the prefix tokens of the set whose prefix
+    # ends first can only be common inside the other's prefix, which leaves its rest.
+    candidates = met.groupBy("type", "x", "y", "n", "m").agg(
+        F.count("*").alias("c"), F.max(F.least(n - F.col("px"), m - F.col("py"))).alias("room")).where(
+        (F.col("room") >= need) & (F.col("c") + F.greatest(kept(n), kept(m)) - 1 >= need)).select("type", "x", "y", "n", "m")
+    xs = sets.select(F.col("rep").alias("x"), F.col("tokens").alias("tx"))
+    ys = sets.select(F.col("rep").alias("y"), F.col("tokens").alias("ty"))
     checked = candidates.join(xs, "x").join(ys, "y").withColumn("both", F.size(F.array_intersect("tx", "ty")))
     score = F.col("both") / (n + m - F.col("both"))
     return checked.where((score >= t) & ~((n == m) & (F.col("both") == n - 1))).select(

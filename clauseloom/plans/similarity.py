@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clauseloom.operators import setsim as S
 from clauseloom.operators import vectors as V
 from clauseloom.plans.registry import query
-from clauseloom.session import scratch_path, table
+from clauseloom.session import scratch_path, spread, table
 from clauseloom.sources import readers, writers
 
 _UNIT_SQL = """e AS (SELECT vec_id AS id, label, label::VARCHAR AS type, vec_id % 50 AS contract, embedding::DOUBLE[] AS v FROM embeddings),
@@ -167,7 +167,8 @@ def approximate_vector_pairs(spark, sf_dir):
 
 
 def document_sets(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("type"), "text")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
+    return docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("type"), "text")
 
 
 def relation_sql(source: str) -> str:
