@@ -200,28 +200,26 @@ def select_contracts(coverage: DataFrame, n: int) -> DataFrame:
 def fallback_parties(clauses: DataFrame) -> DataFrame:
     """Party rows for contracts without a parties clause, read from their longest context.
 
-    ``clauses`` needs contract_id, clause_type, clause_seq and context.  Only the
-    longest context per contract is kept, by a partial aggregate on (length, order)
-    followed by an equi-join, so long texts are not shuffled for every clause.
+    ``clauses`` needs contract_id, clause_type, clause_seq and context.  The longest
+    context per contract is kept by a partial aggregate, so each task sends on at
+    most one text per contract, however many clauses a contract has.
     """
     order = F.create_map(*[F.lit(x) for pair in lookups.type_positions().items() for x in pair])
     have = clauses.where("clause_type = 'parties'").select("contract_id").distinct()
+    longest = F.struct(F.length("context"), -order[F.col("clause_type")], -F.col("clause_seq"))
     best = (
         clauses.where((F.col("clause_type") != "parties") & (F.length("context") > 500))
         .groupBy("contract_id")
-        .agg(F.max(F.struct(
-            F.length("context").alias("len"), (-order[F.col("clause_type")]).alias("neg_type"),
-            (-F.col("clause_seq")).alias("neg_seq"))).alias("best"))
+        .agg(F.max_by(F.struct("context", "clause_seq", "clause_type"), longest).alias("best"))
         .join(have, "contract_id", "left_anti")
-        .select("contract_id", (-F.col("best.neg_seq")).alias("clause_seq"))
+        .select("contract_id", "best.*")
     )
     return (
-        clauses.join(best, ["contract_id", "clause_seq"])
-        .withColumn("parties", P.parties_of(F.col("context")))
-        .where(F.size("parties") >= 1)
+        best.withColumn("parties", P.parties_of(F.col("context")))
         .select("contract_id", F.lit("parties").alias("clause_type"), "clause_seq", "parties",
                 F.substring("context", 1, 1000).alias("original_text"),
                 F.col("clause_type").alias("source_clause"))
+        .where(F.size("parties") >= 1)
     )
 
 
