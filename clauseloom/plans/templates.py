@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clauseloom.corpus_model import CLAUSES_SQL, rendered_clauses
-from clauseloom.functions.templating import json_value
 from clauseloom.functions.values import is_graph_valid, is_usable
 from clauseloom.lookups import TEMPLATE_MAP, priority_rows, sql_values
 from clauseloom.operators import extraction as E
