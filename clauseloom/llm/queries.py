@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored, table
-from . import mixing, tokencount, urlfilter
+from . import langid, mixing, quality, tokencount, urlfilter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ratios = quality.fitted(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, ratios).select("doc_id", "quality_rules.*").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -102,3 +110,13 @@ SELECT doc_id, size, source_size, target, (whole * size + part)::BIGINT AS taken
             ELSE 0.5 + (sqrt(greatest(0.0, 1.0 + 2.0 * (f * 1.0 - 0.375))) - 1.0) / 1.0 END AS position
 FROM q
 """
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    learned = docs.where(~held_out & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("key"), "text", "lang")
+    model = langid.fitted(learned)
+    return docs.select("doc_id", held_out.alias("held_out"), langid.predicted(F.col("text"), model).alias("p")).select(
+        "doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))

@@ -38,7 +38,7 @@ def _powers(n: int, known: list[np.ndarray] = [np.ones(1, _U)]) -> np.ndarray:
     have = known[0]
     base = _U(0xD6E8FEB86659FD93)
     while len(have) < n:
-        have = np.concatenate([have, have * (have[-1] * base)])
+        have = np.concatenate([have, have * (have[-1:] * base)])
         if len(have) <= 1 << 16:
             known[0] = have
     return have
