@@ -139,8 +139,10 @@ def curriculum(docs: DataFrame, **how) -> DataFrame:
     """
     sizes = stored(sized(docs), "mix-sizes")
     rows = mixed(sized(docs, F.struct("*").alias("doc")), sizes, **how)
-    return in_order(rows.select("doc", F.inline("copies")))
+    return in_order(rows.select("doc", "place", F.inline("copies"))).drop("place")
 
 
-def in_order(copies: DataFrame, by: str = "position") -> DataFrame:
-    return copies.repartitionByRange(F.col(by)).sortWithinPartitions(by)
+def in_order(rows: DataFrame, *by: str) -> DataFrame:
+    """Range-sorted by position; the hash order parts rows of one position, as those that the mix does not reach."""
+    by = by or ("position", "place")
+    return rows.repartitionByRange(*map(F.col, by)).sortWithinPartitions(*by)

@@ -73,8 +73,8 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     sizes = stored(mixing.sized(docs, F.col("doc_id")), "op9-sizes")
     mix = mixing.mixed(sizes, sizes.drop("doc_id")).select(
-        "doc_id", "size", "source_size", "target", "taken", F.try_element_at("copies", F.lit(1))["position"].alias("position"))
-    return mixing.in_order(mix)
+        "doc_id", "size", "source_size", "target", "taken", F.try_element_at("copies", F.lit(1))["position"].alias("position"), "place")
+    return mixing.in_order(mix).drop("place")
 
 
 ORACLES["op9_source_mix"] = """
