@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored, table
-from . import htmltext, langid, mixing, pii, quality, tokencount, urlfilter
+from . import htmltext, langid, mixing, neardup, pii, quality, tokencount, urlfilter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +133,8 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = pii.trained(pii.pattern_counts(docs))
     return docs.select("doc_id", pii.found(F.col("text"), model).alias("p")).select("doc_id", "p.*")
+
+
+@query
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.grouped(table(spark, sf_dir, "documents"), shingle=2, percent=80)
