@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored, table
-from . import htmltext, langid, mixing, neardup, pii, quality, tokencount, urlfilter
+from . import decontaminate, htmltext, langid, mixing, neardup, pii, quality, substring, tokencount, urlfilter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +138,18 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.grouped(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents, with the items they overlap."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions that are cut out, one row each, with the document that keeps the passage."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.repeated_regions(docs).select(
+        "doc_id", "first_doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_runs")
