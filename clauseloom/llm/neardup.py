@@ -16,10 +16,11 @@ pairs more than ``MARGIN`` (six standard deviations) under the threshold go. The
 is checked on full shingle sets.
 
 Documents with equal sets are one node from the start, by an aggregate that combines
-before its shuffle. In a bucket of a band, members meet the bucket's smallest member
-first; then only those that did not end up in its component meet the rest of the bucket,
-so a large group of near copies costs a few rows per member, and no link between
-different sets is skipped: two members that never met are in one component already.
+before its shuffle. In a bucket of a band, members meet the bucket's smallest member, its
+pivot, first. Only members that did not end up in their pivot's component then meet the
+others around that pivot, blocks of full sets against blocks, in numpy inside tasks, and
+only links come out. So a large group of near copies costs a few rows per member, and no
+link between different sets is skipped: two members that never met are in one component.
 
 Defined cases: a text without words (null, empty, white space) has an empty set, is
 linked with nothing and is its own component; a text with fewer words than a shingle has
@@ -48,6 +49,8 @@ BANDS = REGISTERS // BAND_ROWS
 MARGIN = 0.15
 SHINGLE = 5
 PERCENT = 80
+#: Sets and shingles of a block at most (a single larger set is a block), and columns multiplied at once.
+BLOCK_SETS, BLOCK_SHINGLES, MATRIX_COLUMNS = 1000, 500_000, 2048
 _U = np.uint64
 
 
@@ -182,19 +185,95 @@ def similar(a: Column, b: Column, shingle: int, percent: int) -> Column:
     return check(a, b)
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, percent: int, label: str) -> DataFrame:
+def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of set representatives whose sets reach the similarity."""
     left = reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
     right = reps.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
     near = pairs.join(right, "b").join(left, "a").where(
         (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))).select(
         "a", "b", estimated(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b")).alias("j"))
-    near = stored(near.where(F.col("j") >= percent / 100 - MARGIN).select("a", "b"), f"{label}-likely")
-    ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    texts = stored(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").join(ids, "doc_id", "left_semi"), f"{label}-texts")
+    near = stored(near.where(F.col("j") >= percent / 100 - MARGIN).select("a", "b"), "near-likely")
+    texts = stored(texts_of(docs, near.select(F.col("a").alias("doc_id")).union(near.select("b"))), "near-texts")
     joined = near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(
         texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return stored(joined.where(similar(F.col("text_a"), F.col("text_b"), shingle, percent)).select("a", "b"), f"{label}-links")
+    return stored(joined.where(similar(F.col("text_a"), F.col("text_b"), shingle, percent)).select("a", "b"), "near-links")
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").join(ids.distinct(), "doc_id", "left_semi")
+
+
+def full_sets(text: Column, shingle: int) -> Column:
+    """binary: the sorted shingle hashes, eight bytes each."""
+
+    @F.arrow_udf("binary")
+    def sets(column: pa.Array) -> pa.Array:
+        return pa.array([s.tobytes() for piece in pieces(column) for s in shingle_sets(piece, shingle)], pa.binary())
+
+    return sets(text)
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets, by products of presence matrices."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    codes, code = np.unique(np.concatenate(left + right), return_inverse=True)
+    cut = sum(map(len, left))
+    in_both = np.zeros(len(codes), np.int8)
+    in_both[code[:cut]] |= 1
+    in_both[code[cut:]] |= 2
+    column = np.cumsum(in_both == 3) - 1  # shingles of one side only share nothing
+    shared = in_both[code] == 3
+    row_left, row_right = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
+    col_left, row_left = column[code[:cut]][shared[:cut]], row_left[shared[:cut]]
+    col_right, row_right = column[code[cut:]][shared[cut:]], row_right[shared[cut:]]
+    for first in range(0, int((in_both == 3).sum()), MATRIX_COLUMNS):
+        a, b = np.zeros((len(left), MATRIX_COLUMNS), np.float32), np.zeros((len(right), MATRIX_COLUMNS), np.float32)
+        here = (col_left >= first) & (col_left < first + MATRIX_COLUMNS)
+        a[row_left[here], col_left[here] - first] = 1
+        here = (col_right >= first) & (col_right < first + MATRIX_COLUMNS)
+        b[row_right[here], col_right[here] - first] = 1
+        out += a @ b.T
+    return out
+
+
+def block_links(percent: int):
+    """For the rows of one pair of blocks, the links from outsiders to sets of other components."""
+
+    def links(batch: pa.Table) -> pa.Table:
+        role = batch.column("role").to_numpy()
+        rep, c = batch.column("rep").to_numpy(), batch.column("c").to_numpy()
+        sets = [np.frombuffer(x, _U) for x in batch.column("set").to_pylist()]
+        o, m = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        found_a, found_b = [], []
+        if len(o) and len(m):
+            size = np.array([len(x) for x in sets])
+            common = common_counts([sets[i] for i in o], [sets[i] for i in m])
+            linked = (100 * common >= percent * (size[o][:, None] + size[m] - common)) & (c[o][:, None] != c[m])
+            x, y = np.nonzero(linked)
+            found_a, found_b = rep[o[x]], rep[m[y]]
+        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+
+    return links
+
+
+def rest_of(stars: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links of members outside their pivot's component with the others around the pivot."""
+    own = found.select(F.col("node").alias("b"), F.col("component").alias("c"))
+    of_pivot = found.select(F.col("node").alias("a"), F.col("component").alias("pc"))
+    placed = stars.join(own, "b", "left").join(of_pivot, "a", "left").select(
+        F.col("a").alias("pivot"), F.col("b").alias("rep"), F.coalesce("c", "b").alias("c"), F.coalesce("pc", "a").alias("pc"))
+    placed = stored(placed.join(reps.select("rep", "n"), "rep"), "near-placed")
+    around = placed.groupBy("pivot").agg(
+        F.count("*").alias("rows"), F.sum("n").alias("shingles"), F.max((F.col("c") != F.col("pc")).cast("int")).alias("open")).where(
+        "open = 1 AND rows > 1")
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    rows = placed.join(around.select("pivot", blocks.alias("blocks")), "pivot").withColumn("own", F.pmod(F.hash("rep"), "blocks"))
+    sets = texts_of(docs, rows.select(F.col("rep").alias("doc_id"))).select(F.col("doc_id").alias("rep"), full_sets(F.col("text"), shingle).alias("set"))
+    rows = rows.join(sets, "rep")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    members = rows.select("pivot", every.alias("i"), F.col("own").alias("j"), F.lit(1).alias("role"), "rep", "c", "set")
+    outsiders = rows.where("c <> pc").select("pivot", F.col("own").alias("i"), every.alias("j"), F.lit(0).alias("role"), "rep", "c", "set")
+    return members.union(outsiders).groupBy("pivot", "i", "j").applyInArrow(block_links(percent), "a long, b long")
 
 
 def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -209,22 +288,11 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
 
     bands = reps.select("rep", F.explode(band_keys(F.col("sketch"))).alias("band"))
     shared = bands.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).where("members > 1").select("band", "pivot")
-    members = stored(bands.join(shared, "band"), "near-members")
-    stars = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    links = confirmed(stars, reps, docs, shingle, percent, "near-stars")
+    stars = bands.join(shared, "band").where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = stored(stars, "near-stars")
+    links = confirmed(stars, reps, docs, shingle, percent)
     found = stored(components(links), "near-found")
-
-    # members outside their pivot's component meet all others of the bucket that are in another component
-    own, of_pivot = found.select(F.col("node").alias("rep"), "component"), found.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_component"))
-    placed = members.join(own, "rep", "left").join(of_pivot, "pivot", "left").select(
-        "band", "rep", "pivot", F.coalesce("component", "rep").alias("c"), F.coalesce("pivot_component", "pivot").alias("pc"))
-    outside = stored(placed.where("c <> pc"), "near-outside")
-    crowded = outside.groupBy("band").count().select("band")
-    others = placed.where("rep <> pivot").join(crowded, "band", "left_semi").select("band", F.col("rep").alias("other"), F.col("c").alias("oc"))
-    rest = outside.join(others, "band").where("c <> oc").select(
-        F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-    more = confirmed(rest, reps, docs, shingle, percent, "near-rest")
-    found = components(links.union(more))
+    found = components(links.union(rest_of(stars, found, reps, docs, shingle, percent)))
 
     of_set = sets.join(found, sets["rep"] == found["node"], "left").select(
         F.col("key").alias("set_key"), F.coalesce("component", "rep").alias("component_id"))
