@@ -6,9 +6,10 @@ ends. From every sentence on, the shortest run of at least ``SENTENCES`` sentenc
 documents meet by hash; of equal runs the first, by document id, then text, then place,
 stays, and the sentences of every other are covered. What is covered is cut out.
 
-The number of runs is at most that of the sentences. Equal runs are counted by an aggregate
-that combines before its shuffle, and met again by an equi-join whose large groups the
-engine can split; only the runs of one document come together in one place.
+The number of runs is at most that of the sentences. Runs are counted by an aggregate that
+combines before its shuffle, and only those seen twice or more go on. What equal runs have
+in common is stored and met again by equi-joins, whose large groups the engine can split;
+only the runs of one document come together in one place.
 
 Defined cases: null and empty texts and texts with fewer sentences or words have no runs
 and stay as they are; rows equal in id and text are one document, so copies of a row do
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .textarrays import Piece, mixed, pieces
 
 SENTENCES = 2
@@ -100,9 +102,11 @@ def repeated_regions(docs: DataFrame, sentences: int = SENTENCES, min_words: int
     code points, end exclusive.
     """
     found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.inline(runs(F.col("text"), sentences, min_words)))
+    keys = stored(found.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "substring-keys")
+    repeated = stored(found.join(keys, ["h1", "h2"], "left_semi"), "substring-repeated")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "start")
-    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
-    later = found.join(first, ["h1", "h2"]).where(place != F.col("first")).select(
+    first = stored(repeated.groupBy("h1", "h2").agg(F.min(place).alias("first")), "substring-first")
+    later = repeated.join(first, ["h1", "h2"]).where(place != F.col("first")).select(
         "doc_id", "text_key", "start", "end", F.col("first.doc_id").alias("first_doc_id"))
     # runs of a document that touch are one region; equal rows of a document are one
     inside = Window.partitionBy("doc_id", "text_key").orderBy("start", "end")
