@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions.text import any_of, rx, strip
 
-MAX_PARTIES = 4
 
 # Recital keywords and the "between ... and ..." patterns they end.
 _RECITAL = r"NOW\s+THEREFORE|WHEREAS|BACKGROUND|RECITALS|WITNESSETH|Introduction"
@@ -69,7 +68,10 @@ FALLBACK_EXCLUSIONS = [
     "with offices", "located at", "organized under", "table of contents", "exhibit", "schedule",
     "agreement",
 ]
-FALLBACK_BAD_STARTS = BAD_STARTS[:19]
+FALLBACK_BAD_STARTS = [
+    "and ", "or ", "by ", "with ", "under ", "for ", "from ", "to ", "in ", "at ", "the ", "a ", "an ", "of ",
+    "on ", "as ", "but ", "if ", "then ",
+]
 FALLBACK_TRIMS = [
     r",\s*a\s+[^,]+(?:corporation|company|llc|limited).*$",
     r",\s*having\s+.*$",
@@ -131,7 +133,7 @@ def distinct_names(names: Column, key=_norm) -> Column:
 
 
 def _non_empty(names: Column) -> Column:
-    return F.when(F.size(names) > 0, F.slice(names, 1, MAX_PARTIES))
+    return F.when(F.size(names) > 0, names)
 
 
 def clean_company_name(name: Column) -> Column:
@@ -177,9 +179,13 @@ def _valid(names: Column) -> Column:
     return F.filter(names, lambda n: n.isNotNull() & is_valid_party_name(n))
 
 
-def parties_by_recital(text: Column) -> Column:
+def _opening(text: Column, window: int | None) -> Column:
+    return text if window is None else F.substring(text, 1, window)
+
+
+def parties_by_recital(text: Column, window: int | None = None) -> Column:
     """Names from "between A and B", bullet lists or definition forms; null when none."""
-    opening = F.substring(text, 1, 3000)
+    opening = _opening(text, window)
     separator = rx(rf"\s+and\s+(?=(?:[A-Z][^,]*(?:{SHORT_SUFFIXES})|●\s*[A-Z]))")
     tries = []
     for pattern in BETWEEN_PATTERNS:
@@ -202,9 +208,9 @@ def parties_by_recital(text: Column) -> Column:
     return F.when(opening.rlike(rx("between|●|" + SHORT_SUFFIXES)), F.coalesce(*tries))
 
 
-def parties_by_suffix(text: Column) -> Column:
-    """Anything in the first 2000 characters that looks like a company; null when none."""
-    opening = F.substring(text, 1, 2000)
+def parties_by_suffix(text: Column, window: int | None = None) -> Column:
+    """Anything in the text, or its first ``window`` characters, that looks like a company; null when none."""
+    opening = _opening(text, window)
     found = F.concat(
         F.regexp_extract_all(opening, F.lit(rx(
             rf"\b((?-i:[A-Z])[a-zA-Z\s&\.,\-']{{5,60}}{SUFFIX_START}(?:{SHORT_SUFFIXES})\.?)\b")), 1),
@@ -227,9 +233,9 @@ def parties_by_suffix(text: Column) -> Column:
     return F.when(opening.rlike(rx(SHORT_SUFFIXES)), _non_empty(names))
 
 
-def party_section(text: Column) -> Column:
-    """The part of a contract opening that names its parties, for a model prompt."""
-    body = F.substring(text, 1, 2500)
+def party_section(text: Column, window: int | None = None) -> Column:
+    """The part of a contract that names its parties, for a model prompt."""
+    body = _opening(text, window)
     for artefact in DOCUMENT_ARTEFACTS:
         body = F.regexp_replace(body, rx(artefact), "")
     sections = [F.regexp_extract(body, rx(rf"{start}(.*?){PARTY_SECTION_END}", "isU"), 1)

@@ -32,8 +32,6 @@ NUMBER_WORDS = {
     45: "forty-five", 48: "forty-eight", 50: "fifty", 60: "sixty", 90: "ninety", 100: "one hundred",
     120: "one hundred twenty", 365: "three hundred sixty-five",
 }
-# Words that may stand before a duration in a literal match.
-DURATION_PREFIXES = "within |after |before |for |during |period of |term of |additional "
 
 
 def title_case(name: Column) -> Column:

@@ -38,19 +38,17 @@ NON_ANSWER_PATTERNS = [
 MIN_ANSWER_LENGTH = 2
 
 # Substrings that mark the last "__" part of a contract id as a clause label.
-ID_LABEL_WORDS = (
-    "document name parties agreement date effective expiration "
-    "renewal term notice period termination convenience "
-    "governing law most favored nation "
-    "non compete exclusivity solicit customers employees competitive restriction exception disparagement "
-    "rofr rofo rofn right first refusal change control anti assignment "
-    "revenue profit sharing price restrictions minimum commitment volume restriction "
-    "ip ownership assignment joint license grant transferable affiliate licensor licensee "
-    "unlimited all you can eat irrevocable perpetual source code escrow "
-    "post termination services audit rights "
-    "uncapped liability cap on liquidated damages warranty duration insurance covenant not to sue "
-    "third party beneficiary"
-).split()
+ID_LABEL_WORDS = [
+    "document", "name", "parties", "agreement", "date", "effective", "expiration", "renewal", "term", "notice",
+    "period", "termination", "convenience", "governing", "law", "most", "favored", "nation", "non", "compete",
+    "exclusivity", "solicit", "customers", "employees", "competitive", "restriction", "exception", "disparagement",
+    "rofr", "rofo", "rofn", "right", "first", "refusal", "change", "control", "anti", "assignment", "revenue",
+    "profit", "sharing", "price", "restrictions", "minimum", "commitment", "volume", "restriction", "ip",
+    "ownership", "assignment", "joint", "license", "grant", "transferable", "affiliate", "licensor", "licensee",
+    "unlimited", "all", "you", "can", "eat", "irrevocable", "perpetual", "source", "code", "escrow", "post",
+    "termination", "services", "audit", "rights", "uncapped", "liability", "cap", "on", "liquidated", "damages",
+    "warranty", "duration", "insurance", "covenant", "not", "to", "sue", "third", "party", "beneficiary",
+]
 
 
 def rx(pattern: str, flags: str = "iU") -> str:
@@ -142,6 +140,15 @@ def truncate_words(text: Column, limit: Column | int) -> Column:
                   ).otherwise(text)
 
 
+def word_windows(text: Column, size: Column | int) -> Column:
+    """array<string>: the text as runs of ``size`` words (at least one); a text that fits is one run, unchanged."""
+    size = F.greatest(F.lit(size) if isinstance(size, int) else size, F.lit(1))
+    parts = words(text)
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(parts) / size).cast("int") - 1, F.lit(0)))
+    cut = F.transform(starts, lambda k: F.array_join(F.slice(parts, k * size + 1, size), " "))
+    return F.when(F.size(parts) > size, cut).otherwise(F.array(text))
+
+
 def sample_context_limit(question: Column, model_words: int = 512) -> Column:
     return F.lit(model_words) - word_count(question) - 20
 
@@ -177,10 +184,10 @@ def embedding_text(primary: Column, *fallbacks: Column, default: str = "empty cl
     return F.coalesce(usable(primary), *[usable(c) for c in fallbacks], F.lit(default))
 
 
-def extraction_text(clause_type: Column, context: Column, answer_text: Column) -> Column:
-    """Text the extractors read; null when there is nothing usable."""
-    # Fixed value: the model reads the first 3000 characters for party names.
-    full = F.when(clause_type == "parties", F.substring(F.coalesce(context, answer_text), 1, 3000)
+def extraction_text(clause_type: Column, context: Column, answer_text: Column, window: int | None = None) -> Column:
+    """Text the extractors read; null when there is nothing usable. ``window`` cuts what is read for party names."""
+    names = F.coalesce(context, answer_text)
+    full = F.when(clause_type == "parties", names if window is None else F.substring(names, 1, window)
                   ).otherwise(F.coalesce(answer_text, context))
     trimmed = strip(full)
     return F.when((F.length(trimmed) >= 10) & ~full.isin("nan", "None", "", "null"), trimmed)

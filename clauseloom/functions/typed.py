@@ -123,10 +123,11 @@ POSITIVE_PATTERNS = [
 ]
 
 # Currency codes in detection order, then symbols.
-CURRENCY_CODES = (
-    "USD EUR GBP JPY CNY RMB CAD AUD NZD HKD SGD CHF SEK NOK DKK PLN CZK HUF RUB INR KRW THB MYR IDR "
-    "PHP VND TRY ILS SAR AED EGP ZAR NGN KES GHS BWP BRL ARS CLP COP PEN MXN GTQ CRC PAB DOP"
-).split()
+CURRENCY_CODES = [
+    "USD", "EUR", "GBP", "JPY", "CNY", "RMB", "CAD", "AUD", "NZD", "HKD", "SGD", "CHF", "SEK", "NOK", "DKK", "PLN",
+    "CZK", "HUF", "RUB", "INR", "KRW", "THB", "MYR", "IDR", "PHP", "VND", "TRY", "ILS", "SAR", "AED", "EGP", "ZAR",
+    "NGN", "KES", "GHS", "BWP", "BRL", "ARS", "CLP", "COP", "PEN", "MXN", "GTQ", "CRC", "PAB", "DOP",
+]
 CURRENCY_SYMBOLS = [
     (r"\$", "USD"), ("€", "EUR"), ("£", "GBP"), ("¥", "JPY"), ("₹", "INR"), ("₽", "RUB"),
     ("₩", "KRW"), ("₪", "ILS"), ("₺", "TRY"), ("₦", "NGN"), ("₫", "VND"), ("₱", "PHP"),

@@ -80,8 +80,8 @@ def plain_number(value: Column) -> Column:
         F.regexp_replace(F.format_string("%.10f", value), "0+$", ""))
 
 
-def display_text(prefix: str = "") -> Column:
-    """Text of a value as shown on a graph node, at most 500 characters."""
+def display_text(prefix: str = "", limit: int | None = None) -> Column:
+    """Text of a value as shown on a graph node, or its first ``limit`` characters."""
     c = lambda name: F.col(prefix + name)
     text = _first_set([
         (c("v_bool").isNotNull(), F.when(c("v_bool"), "True").otherwise("False")),
@@ -92,7 +92,7 @@ def display_text(prefix: str = "") -> Column:
         (c("v_amount").isNotNull(), F.concat(plain_number(c("v_amount")), F.lit(" "), c("v_currency"))),
         (c("v_dur_amount").isNotNull(), F.concat(c("v_dur_amount").cast("string"), F.lit(" "), c("v_dur_unit"))),
     ])
-    return F.substring(text, 1, 500)
+    return text if limit is None else F.substring(text, 1, limit)
 
 
 def iso_timestamp(day: Column) -> Column:

@@ -59,57 +59,91 @@ ROUTING_SHARE = 0.7
 
 # Clause type -> variables and their types, in schema order.
 VARIABLE_SCHEMA = [
-    ("parties", "parties:Party[]"),
-    ("effective_date", "effectiveDate:DateTime"),
-    ("expiration_date", "expirationDate:DateTime contractDuration:Duration isAutomaticRenewal:Boolean"),
-    ("agreement_date", "signatureDate:DateTime"),
-    ("governing_law", "governingLaw:String governingJurisdiction:String"),
-    ("renewal_term", "renewalDuration:Duration isAutomaticRenewal:Boolean"),
-    ("notice_period_renewal", "renewalNoticePeriod:Duration noticePeriodToTerminate:Duration"),
-    ("termination_convenience",
-     "canTerminateForConvenience:Boolean terminationFee:MonetaryAmount terminationNoticePeriod:Duration"),
-    ("most_favored_nation", "hasMostFavoredNation:Boolean"),
-    ("non_compete", "hasNonCompete:Boolean nonCompeteDuration:Duration"),
-    ("exclusivity", "isExclusive:Boolean"),
-    ("no_solicit_customers", "hasNonSolicitCustomer:Boolean"),
-    ("competitive_restriction_exception", "hasCompetitiveRestrictionException:Boolean"),
-    ("no_solicit_employees", "hasNonSolicitEmployee:Boolean employeeSolicitationDuration:Duration"),
-    ("non_disparagement",
-     "hasNonDisparagement:Boolean nonDisparagementDuration:Duration mutualNonDisparagement:Boolean"),
-    ("right_of_first_refusal", "hasRightOfFirstRefusal:Boolean rofrNoticePeriod:Duration"),
-    ("change_of_control",
-     "hasChangeOfControlClause:Boolean requiresChangeOfControlNotice:Boolean "
-     "changeOfControlNoticePeriod:Duration"),
-    ("anti_assignment", "hasAssignmentRestriction:Boolean"),
-    ("revenue_profit_sharing", "hasRevenueSharing:Boolean revenueSharePercentage:Double"),
-    ("price_restrictions", "hasPriceRestrictions:Boolean pricingStructure:String"),
-    ("minimum_commitment",
-     "hasMinimumCommitment:Boolean minimumCommitmentAmount:MonetaryAmount minimumCommitmentVolume:Double"),
-    ("volume_restriction", "hasVolumeRestriction:Boolean volumeLimit:Double"),
-    ("ip_ownership_assignment", "assignsIPOwnership:Boolean"),
-    ("joint_ip_ownership", "hasJointIPOwnership:Boolean"),
-    ("license_grant", "licenseScope:String"),
-    ("non_transferable_license", "isTransferable:Boolean transferRequiresConsent:Boolean"),
-    ("affiliate_license_licensor", "includesLicensorAffiliateIP:Boolean"),
-    ("affiliate_license_licensee", "includesLicenseeAffiliateIP:Boolean"),
-    ("unlimited_license", "hasUnlimitedLicense:Boolean"),
-    ("irrevocable_perpetual_license", "hasIrrevocableLicense:Boolean isPerpetual:Boolean"),
-    ("source_code_escrow", "hasSourceCodeEscrow:Boolean"),
-    ("post_termination_services", "hasPostTerminationObligations:Boolean postTerminationDuration:Duration"),
-    ("audit_rights", "hasAuditRights:Boolean auditFrequency:Duration auditNoticePeriod:Duration"),
-    ("uncapped_liability", "hasUncappedLiability:Boolean"),
-    ("cap_on_liability",
-     "hasCapOnLiability:Boolean capAmount:MonetaryAmount CapPeriod:Duration isCapCalculated:Boolean"),
-    ("liquidated_damages",
-     "hasLiquidatedDamagesClause:Boolean liquidatedDamagesAmount:MonetaryAmount "
-     "isDamagesCalculated:Boolean damagesCalculationBasis:String"),
-    ("warranty_duration", "hasWarrantyObligation:Boolean warrantyDuration:Duration"),
-    ("insurance",
-     "hasInsuranceRequirement:Boolean insuranceCoverageAmount:MonetaryAmount additionalInsured:Boolean "
-     "InsurancePeriod:Duration isInsuranceCalculated:Boolean insuranceCalculationBasis:String"),
-    ("covenant_not_to_sue", "hasCovenantNotToSue:Boolean covenantDuration:Duration"),
-    ("third_party_beneficiary", "hasThirdPartyBeneficiary:Boolean"),
-    ("document_name", "documentTitle:String"),
+    ("parties", [("parties", "Party[]")]),
+    ("effective_date", [("effectiveDate", "DateTime")]),
+    ("expiration_date", [
+        ("expirationDate", "DateTime"),
+        ("contractDuration", "Duration"),
+        ("isAutomaticRenewal", "Boolean"),
+    ]),
+    ("agreement_date", [("signatureDate", "DateTime")]),
+    ("governing_law", [("governingLaw", "String"), ("governingJurisdiction", "String")]),
+    ("renewal_term", [("renewalDuration", "Duration"), ("isAutomaticRenewal", "Boolean")]),
+    ("notice_period_renewal", [("renewalNoticePeriod", "Duration"), ("noticePeriodToTerminate", "Duration")]),
+    ("termination_convenience", [
+        ("canTerminateForConvenience", "Boolean"),
+        ("terminationFee", "MonetaryAmount"),
+        ("terminationNoticePeriod", "Duration"),
+    ]),
+    ("most_favored_nation", [("hasMostFavoredNation", "Boolean")]),
+    ("non_compete", [("hasNonCompete", "Boolean"), ("nonCompeteDuration", "Duration")]),
+    ("exclusivity", [("isExclusive", "Boolean")]),
+    ("no_solicit_customers", [("hasNonSolicitCustomer", "Boolean")]),
+    ("competitive_restriction_exception", [("hasCompetitiveRestrictionException", "Boolean")]),
+    ("no_solicit_employees", [("hasNonSolicitEmployee", "Boolean"), ("employeeSolicitationDuration", "Duration")]),
+    ("non_disparagement", [
+        ("hasNonDisparagement", "Boolean"),
+        ("nonDisparagementDuration", "Duration"),
+        ("mutualNonDisparagement", "Boolean"),
+    ]),
+    ("right_of_first_refusal", [("hasRightOfFirstRefusal", "Boolean"), ("rofrNoticePeriod", "Duration")]),
+    ("change_of_control", [
+        ("hasChangeOfControlClause", "Boolean"),
+        ("requiresChangeOfControlNotice", "Boolean"),
+        ("changeOfControlNoticePeriod", "Duration"),
+    ]),
+    ("anti_assignment", [("hasAssignmentRestriction", "Boolean")]),
+    ("revenue_profit_sharing", [("hasRevenueSharing", "Boolean"), ("revenueSharePercentage", "Double")]),
+    ("price_restrictions", [("hasPriceRestrictions", "Boolean"), ("pricingStructure", "String")]),
+    ("minimum_commitment", [
+        ("hasMinimumCommitment", "Boolean"),
+        ("minimumCommitmentAmount", "MonetaryAmount"),
+        ("minimumCommitmentVolume", "Double"),
+    ]),
+    ("volume_restriction", [("hasVolumeRestriction", "Boolean"), ("volumeLimit", "Double")]),
+    ("ip_ownership_assignment", [("assignsIPOwnership", "Boolean")]),
+    ("joint_ip_ownership", [("hasJointIPOwnership", "Boolean")]),
+    ("license_grant", [("licenseScope", "String")]),
+    ("non_transferable_license", [("isTransferable", "Boolean"), ("transferRequiresConsent", "Boolean")]),
+    ("affiliate_license_licensor", [("includesLicensorAffiliateIP", "Boolean")]),
+    ("affiliate_license_licensee", [("includesLicenseeAffiliateIP", "Boolean")]),
+    ("unlimited_license", [("hasUnlimitedLicense", "Boolean")]),
+    ("irrevocable_perpetual_license", [("hasIrrevocableLicense", "Boolean"), ("isPerpetual", "Boolean")]),
+    ("source_code_escrow", [("hasSourceCodeEscrow", "Boolean")]),
+    ("post_termination_services", [
+        ("hasPostTerminationObligations", "Boolean"),
+        ("postTerminationDuration", "Duration"),
+    ]),
+    ("audit_rights", [
+        ("hasAuditRights", "Boolean"),
+        ("auditFrequency", "Duration"),
+        ("auditNoticePeriod", "Duration"),
+    ]),
+    ("uncapped_liability", [("hasUncappedLiability", "Boolean")]),
+    ("cap_on_liability", [
+        ("hasCapOnLiability", "Boolean"),
+        ("capAmount", "MonetaryAmount"),
+        ("CapPeriod", "Duration"),
+        ("isCapCalculated", "Boolean"),
+    ]),
+    ("liquidated_damages", [
+        ("hasLiquidatedDamagesClause", "Boolean"),
+        ("liquidatedDamagesAmount", "MonetaryAmount"),
+        ("isDamagesCalculated", "Boolean"),
+        ("damagesCalculationBasis", "String"),
+    ]),
+    ("warranty_duration", [("hasWarrantyObligation", "Boolean"), ("warrantyDuration", "Duration")]),
+    ("insurance", [
+        ("hasInsuranceRequirement", "Boolean"),
+        ("insuranceCoverageAmount", "MonetaryAmount"),
+        ("additionalInsured", "Boolean"),
+        ("InsurancePeriod", "Duration"),
+        ("isInsuranceCalculated", "Boolean"),
+        ("insuranceCalculationBasis", "String"),
+    ]),
+    ("covenant_not_to_sue", [("hasCovenantNotToSue", "Boolean"), ("covenantDuration", "Duration")]),
+    ("third_party_beneficiary", [("hasThirdPartyBeneficiary", "Boolean")]),
+    ("document_name", [("documentTitle", "String")]),
 ]
 
 # Clause type -> library template.
@@ -160,27 +194,26 @@ TEMPLATE_MAP = [
 # Template priority per clause type; anything else is "unknown".
 PRIORITY_ORDER = ["essential", "high", "medium", "low", "unknown"]
 TEMPLATE_PRIORITIES = {
-    "essential": "document_name parties agreement_date effective_date governing_law",
-    "high": (
-        "expiration_date renewal_term notice_period_renewal termination_convenience non_compete "
-        "exclusivity revenue_profit_sharing price_restrictions minimum_commitment "
-        "ip_ownership_assignment license_grant uncapped_liability cap_on_liability liquidated_damages"
-    ),
-    "medium": (
-        "most_favored_nation no_solicit_customers competitive_restriction_exception "
-        "no_solicit_employees non_disparagement right_of_first_refusal change_of_control "
-        "anti_assignment volume_restriction joint_ip_ownership non_transferable_license "
-        "affiliate_license_licensor affiliate_license_licensee unlimited_license "
-        "irrevocable_perpetual_license source_code_escrow post_termination_services audit_rights "
-        "warranty_duration insurance covenant_not_to_sue"
-    ),
-    "low": "third_party_beneficiary",
+    "essential": ["document_name", "parties", "agreement_date", "effective_date", "governing_law"],
+    "high": [
+        "expiration_date", "renewal_term", "notice_period_renewal", "termination_convenience", "non_compete",
+        "exclusivity", "revenue_profit_sharing", "price_restrictions", "minimum_commitment",
+        "ip_ownership_assignment", "license_grant", "uncapped_liability", "cap_on_liability", "liquidated_damages",
+    ],
+    "medium": [
+        "most_favored_nation", "no_solicit_customers", "competitive_restriction_exception", "no_solicit_employees",
+        "non_disparagement", "right_of_first_refusal", "change_of_control", "anti_assignment", "volume_restriction",
+        "joint_ip_ownership", "non_transferable_license", "affiliate_license_licensor",
+        "affiliate_license_licensee", "unlimited_license", "irrevocable_perpetual_license", "source_code_escrow",
+        "post_termination_services", "audit_rights", "warranty_duration", "insurance", "covenant_not_to_sue",
+    ],
+    "low": ["third_party_beneficiary"],
 }
 # The alternate priority table used when graph template nodes are
 # built without a priority lookup; every other type is "medium".
 GRAPH_PRIORITIES = {
-    "essential": "parties governing_law effective_date expiration_date",
-    "high": "termination_convenience revenue_profit_sharing liability",
+    "essential": ["parties", "governing_law", "effective_date", "expiration_date"],
+    "high": ["termination_convenience", "revenue_profit_sharing", "liability"],
 }
 
 # Clause presence rules and template coverage floor.
@@ -190,22 +223,22 @@ MIN_TEMPLATE_COVERAGE = 0.1
 
 # Lifecycle flow, categories and gates.
 STANDARD_FLOW = [
-    ("draft", "under_review"),
-    ("under_review", "approved draft"),
-    ("approved", "signed draft"),
-    ("signed", "effective"),
-    ("effective", "active"),
-    ("active", "renewal_notice_period termination_notice_period in_breach suspended expired"),
-    ("renewal_notice_period", "renewing termination_notice_period"),
-    ("renewing", "active"),
-    ("termination_notice_period", "terminating"),
-    ("terminating", "terminated"),
-    ("in_breach", "cure_period terminating"),
-    ("cure_period", "active terminating"),
-    ("suspended", "active terminating"),
-    ("terminated", "post_termination_obligations"),
-    ("expired", "post_termination_obligations"),
-    ("post_termination_obligations", ""),
+    ("draft", ["under_review"]),
+    ("under_review", ["approved", "draft"]),
+    ("approved", ["signed", "draft"]),
+    ("signed", ["effective"]),
+    ("effective", ["active"]),
+    ("active", ["renewal_notice_period", "termination_notice_period", "in_breach", "suspended", "expired"]),
+    ("renewal_notice_period", ["renewing", "termination_notice_period"]),
+    ("renewing", ["active"]),
+    ("termination_notice_period", ["terminating"]),
+    ("terminating", ["terminated"]),
+    ("in_breach", ["cure_period", "terminating"]),
+    ("cure_period", ["active", "terminating"]),
+    ("suspended", ["active", "terminating"]),
+    ("terminated", ["post_termination_obligations"]),
+    ("expired", ["post_termination_obligations"]),
+    ("post_termination_obligations", []),
 ]
 DEFAULT_TRANSITIONS = [
     ("draft", "under_review"),
@@ -263,8 +296,7 @@ def schema_rows() -> list[tuple[str, str, str, int]]:
     """(clause_type, var_name, var_type, pos) for every schema variable."""
     rows = []
     for clause_type, spec in VARIABLE_SCHEMA:
-        for pos, item in enumerate(spec.split()):
-            name, var_type = item.split(":")
+        for pos, (name, var_type) in enumerate(spec):
             rows.append((clause_type, name, var_type, pos))
     return rows
 
@@ -285,12 +317,12 @@ def priority_rows() -> list[tuple[str, str, int]]:
     return [
         (clause_type, priority, PRIORITY_ORDER.index(priority))
         for priority, types in TEMPLATE_PRIORITIES.items()
-        for clause_type in types.split()
+        for clause_type in types
     ]
 
 
 def flow_rows() -> list[tuple[str, str]]:
-    return [(source, target) for source, targets in STANDARD_FLOW for target in targets.split()]
+    return [(source, target) for source, targets in STANDARD_FLOW for target in targets]
 
 
 def schema_frame(spark: SparkSession) -> DataFrame:
@@ -308,15 +340,6 @@ def priority_frame(spark: SparkSession) -> DataFrame:
         priority_rows(), "clause_type string, priority string, priority_rank int")
 
 
-def flow_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(flow_rows(), "source string, target string")
-
-
-def mapping_frame(spark: SparkSession) -> DataFrame:
-    rows = [(i, label, clause_type) for i, (label, clause_type) in enumerate(CLAUSE_MAPPINGS)]
-    return spark.createDataFrame(rows, "pos int, label string, clause_type string")
-
-
 def sql_values(rows, columns: str) -> str:
     """An inline SQL relation with the given rows, for the oracle side."""
     def lit(v):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions import text as X
 from clauseloom.operators.numbering import running_number
+from clauseloom.session import stored
 
 QA_SCHEMA = (
     "idx bigint, title string, paragraphs array<struct<context: string, qas: array<struct<"
@@ -43,30 +44,37 @@ def route_and_answer(samples: DataFrame) -> DataFrame:
                              F.col("best.answer_start").alias("answer_start")).drop("best")
 
 
-def processed_rows(samples: DataFrame, max_words: int = 2048) -> DataFrame:
-    """The 12-column processed table (plus ``split`` when present)."""
+def processed_rows(samples: DataFrame, max_words: int | None = None) -> DataFrame:
+    """The 12-column processed table (plus ``split`` when present); ``max_words`` cuts the stored context.
+
+    ``context_length`` counts the words of the whole context, cut or not.
+    """
     cleaned = samples.withColumn("_context", X.clean_text(F.col("context"))).withColumn(
         "_answer", X.clean_text(F.col("answer_text")))
     extra = ["split"] if "split" in samples.columns else []
     return cleaned.withColumn("_words", X.word_count(F.col("_context"))).select(
         *extra, "contract_id", X.base_contract_id(F.col("contract_id")).alias("base_contract_id"), "title",
-        X.truncate_words(F.col("_context"), max_words).alias("context"),
+        (F.col("_context") if max_words is None else X.truncate_words(F.col("_context"), max_words)).alias("context"),
         X.clean_text(F.col("question")).alias("question"), "clause_type", "has_answer",
         F.col("_answer").alias("answer_text"), "answer_start",
-        F.least("_words", F.lit(max_words)).alias("context_length"),
+        F.col("_words").alias("context_length"),
         F.coalesce(X.word_count(F.col("_answer")), F.lit(0)).alias("answer_length"),
-        (F.col("_words") > max_words).alias("was_truncated"))
+        (F.lit(False) if max_words is None else F.col("_words") > max_words).alias("was_truncated"))
 
 
 def training_samples(samples: DataFrame, model_words: int = 512) -> DataFrame:
-    """``question [SEP] context`` rows with both labels; unrouted questions drop out."""
+    """``question [SEP] context`` rows with both labels; unrouted questions drop out.
+
+    A context longer than a model reads gives several rows, ``window_no`` 0, 1, ..., which cover all of it.
+    """
     question, context = X.clean_text(F.col("question")), X.clean_text(F.col("context"))
     known = samples.where("clause_type <> 'unknown'").withColumn("_q", question).withColumn("_c", context)
-    short = X.truncate_words(F.col("_c"), X.sample_context_limit(F.col("_q"), model_words))
+    known = known.select("*", F.posexplode(
+        X.word_windows(F.col("_c"), X.sample_context_limit(F.col("_q"), model_words))).alias("window_no", "_w"))
     extra = ["split"] if "split" in samples.columns else []
-    return known.select(*extra, F.concat(F.col("_q"), F.lit(" [SEP] "), short).alias("text"),
+    return known.select(*extra, F.concat(F.col("_q"), F.lit(" [SEP] "), F.col("_w")).alias("text"),
                         F.col("has_answer").cast("int").alias("binary_label"), "clause_type", "contract_id",
-                        "has_answer")
+                        "has_answer", "window_no")
 
 
 def multiclass_training_rows(samples: DataFrame) -> DataFrame:
@@ -157,7 +165,7 @@ def classified_clauses(scored: DataFrame, order: str) -> DataFrame:
     ``predicted_clause_type``, ``multiclass_confidence``, ``split``, ``split_pos``
     and a unique integer ``order`` that increases with ``split_pos``.
     """
-    positive = scored.where("binary_prediction = 1")
+    positive = stored(scored.where("binary_prediction = 1"), "scored")
     numbered = running_number(positive, [], order, "n")
     answer = X.strip(F.coalesce("answer_text", F.lit("")))
     return numbered.withColumn("answer_text", answer).select(

@@ -6,7 +6,6 @@ relate variables of the same clause need no shuffle; the long form is an explode
 
 from __future__ import annotations
 
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,30 +66,21 @@ def _cleared(var: Column) -> Column:
                     *[F.when(keep, var[f]).alias(f) for f in VALUE_FIELDS], var["nulled_by"].alias("nulled_by"))
 
 
-_columns_by_context: dict = {}
-
-
 def _extractor_columns(response: str | None) -> dict[str, Column]:
-    """One column per kind of value, evaluated only for clauses whose schema has that kind.
-
-    The expressions refer to columns by name only, so they are built once per Spark context.
-    """
-    key = (id(SparkContext._active_spark_context), response)
-    if key not in _columns_by_context:
-        text = F.col("text")
+    """One column per kind of value, evaluated only for clauses whose schema has that kind."""
+    text = F.col("text")
 
-        def needs(var_type):
-            return F.exists("schema_vars", lambda v: v["var_type"] == var_type)
+    def needs(var_type):
+        return F.exists("schema_vars", lambda v: v["var_type"] == var_type)
 
-        _columns_by_context[key] = {
-            "x_date": F.when(needs("DateTime"), X.date_of(text)),
-            "x_money": F.when(needs("MonetaryAmount"), X.money_of(text)),
-            "x_dur": F.when(needs("Duration"), X.duration_of(text)),
-            "x_num": X.double_of(F.when(needs("Double"), text)),
-            "x_bool": F.when(needs("Boolean"), X.polarity_of(text)),
-            "x_parties": F.when(needs("Party[]"), P.parties_of(text, F.col(response) if response else None)),
-        }
-    return _columns_by_context[key]
+    return {
+        "x_date": F.when(needs("DateTime"), X.date_of(text)),
+        "x_money": F.when(needs("MonetaryAmount"), X.money_of(text)),
+        "x_dur": F.when(needs("Duration"), X.duration_of(text)),
+        "x_num": X.double_of(F.when(needs("Double"), text)),
+        "x_bool": F.when(needs("Boolean"), X.polarity_of(text)),
+        "x_parties": F.when(needs("Party[]"), P.parties_of(text, F.col(response) if response else None)),
+    }
 
 
 def extract_raw(clauses: DataFrame, response: str | None = None) -> DataFrame:
@@ -168,13 +158,14 @@ def to_long(extracted: DataFrame) -> DataFrame:
         F.col("v.span"), F.col("v.nulled_by"), is_set(F.col("v")).alias("is_set"))
 
 
-def dedup_clauses(extracted: DataFrame) -> DataFrame:
-    """First clause wins per contract, type and first 200 characters.
+def dedup_clauses(extracted: DataFrame, prefix: int | None = None) -> DataFrame:
+    """First clause wins per contract, type and text, or the first ``prefix`` characters of it.
 
     ``row_number() = 1`` is cut on the map side (WindowGroupLimit), so a group of
     copies that holds much of the data never meets in one task.
     """
-    first = Window.partitionBy("contract_id", "clause_type", F.substring("text", 1, 200)).orderBy("clause_seq")
+    same = F.col("text") if prefix is None else F.substring("text", 1, prefix)
+    first = Window.partitionBy("contract_id", "clause_type", F.sha2(same, 256)).orderBy("clause_seq")
     return extracted.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
 
 
@@ -197,27 +188,29 @@ def select_contracts(coverage: DataFrame, n: int) -> DataFrame:
     return score_contracts(coverage).orderBy(F.desc("score"), "contract_id").limit(n)
 
 
-def fallback_parties(clauses: DataFrame) -> DataFrame:
+def fallback_parties(clauses: DataFrame, longer_than: int = 0) -> DataFrame:
     """Party rows for contracts without a parties clause, read from their longest context.
 
-    ``clauses`` needs contract_id, clause_type, clause_seq and context.  The longest
-    context per contract is kept by a partial aggregate, so each task sends on at
-    most one text per contract, however many clauses a contract has.
+    ``clauses`` needs contract_id, clause_type, clause_seq and context.  The winner is
+    chosen on lengths and numbers alone; its text is joined back, so no aggregate
+    buffer holds texts, however many clauses a contract has.
     """
     order = F.create_map(*[F.lit(x) for pair in lookups.type_positions().items() for x in pair])
     have = clauses.where("clause_type = 'parties'").select("contract_id").distinct()
-    longest = F.struct(F.length("context"), -order[F.col("clause_type")], -F.col("clause_seq"))
+    longest = F.struct(F.length("context").alias("col1"), (-order[F.col("clause_type")]).alias("col2"),
+                       (-F.col("clause_seq")).alias("col3"))
+    usable = clauses.where((F.col("clause_type") != "parties") & (F.length("context") > longer_than))
     best = (
-        clauses.where((F.col("clause_type") != "parties") & (F.length("context") > 500))
-        .groupBy("contract_id")
-        .agg(F.max_by(F.struct("context", "clause_seq", "clause_type"), longest).alias("best"))
-        .join(have, "contract_id", "left_anti")
-        .select("contract_id", "best.*")
+        usable.groupBy("contract_id").agg(F.max(longest).alias("w")).join(have, "contract_id", "left_anti")
+        .select("contract_id", F.element_at(F.array(*map(F.lit, sorted(lookups.type_positions(), key=lookups.type_positions().get))),
+                                            (1 - F.col("w.col2")).cast("int")).alias("clause_type"),
+                (-F.col("w.col3")).alias("clause_seq"))
+        .join(usable, ["contract_id", "clause_type", "clause_seq"])
     )
     return (
         best.withColumn("parties", P.parties_of(F.col("context")))
         .select("contract_id", F.lit("parties").alias("clause_type"), "clause_seq", "parties",
-                F.substring("context", 1, 1000).alias("original_text"),
+                F.col("context").alias("original_text"),
                 F.col("clause_type").alias("source_clause"))
         .where(F.size("parties") >= 1)
     )

@@ -11,17 +11,19 @@ from clauseloom.functions.text import any_of, rx, strip
 from clauseloom.functions.values import display_text, is_graph_valid, valid_coverage, value_kind
 from clauseloom.operators import extraction as E
 
+# Display only: characters of a title, and of the text shown beside the full one.
 TITLE_LENGTH = 60
 TEXT_LENGTH = 2000
 
 
 def clause_id() -> Column:
-    return F.concat_ws("_", "contract_id", "clause_type", F.substring(F.sha2("text", 256), 1, 8))
+    return F.concat_ws("_", "contract_id", "clause_type", F.substring(F.sha2("text", 256), 1, 32))
 
 
 def clause_nodes(clauses: DataFrame) -> DataFrame:
-    text = F.when(F.length("text") > TEXT_LENGTH, F.concat(F.substring("text", 1, TEXT_LENGTH), F.lit("..."))).otherwise(F.col("text"))
-    return clauses.select(clause_id().alias("clause_id"), "contract_id", "clause_type", text.alias("original_text"),
+    shown = F.when(F.length("text") > TEXT_LENGTH, F.concat(F.substring("text", 1, TEXT_LENGTH), F.lit("..."))).otherwise(F.col("text"))
+    return clauses.select(clause_id().alias("clause_id"), "contract_id", "clause_type", F.col("text").alias("original_text"),
+                          shown.alias("shown_text"),
                           valid_coverage().alias("coverage_score"))
 
 
@@ -146,9 +148,11 @@ def involves_edges(parties: DataFrame, roles: DataFrame | None = None) -> DataFr
                         party_role(F.col("response")).alias("role"))
 
 
-def slug(name: Column, limit: int = 100) -> Column:
+def slug(name: Column, limit: int | None = None) -> Column:
+    """Lower case with dashes; part of keys, so it is cut only on request."""
     bare = F.regexp_replace(F.lower(name), r"(?U)[^\w\s-]", "")
-    return F.regexp_replace(F.substring(F.regexp_replace(bare, r"(?U)[-\s]+", "-"), 1, limit), "^-+|-+$", "")
+    dashed = F.regexp_replace(bare, r"(?U)[-\s]+", "-")
+    return F.regexp_replace(dashed if limit is None else F.substring(dashed, 1, limit), "^-+|-+$", "")
 
 
 def _grams(text: Column, k: Column) -> Column:

@@ -13,7 +13,9 @@ from clauseloom import lookups
 from clauseloom.functions.text import any_of, strip
 from clauseloom.session import cut_lineage
 
+#: Characters of a prompt window, about, and clause numbers that are summed up together.
 CONTEXT_LENGTH = 3000
+CONTEXT_RANGE = 4096
 
 
 # --- states and transitions -------------------------------------------------------------
@@ -285,12 +287,16 @@ def quality_score(state: Column, transition: Column, validation: Column, busines
 
 # --- contract text ----------------------------------------------------------------------
 
-def contract_context(clauses: DataFrame) -> DataFrame:
-    """First 3000 characters of a contract's clauses for a prompt, and a key over all of them.
+def contract_context(clauses: DataFrame, length: int = CONTEXT_LENGTH) -> DataFrame:
+    """The text of a contract's clauses in windows for prompts, and a key over all of them.
 
-    A part takes at least six characters, so 500 parts fill the prompt and no more
-    are gathered.  The key covers every clause through a count and a sum of part
-    hashes (each with its place), which merge without bringing the texts together.
+    Parts come in order of type and clause; a part longer than a window is cut into
+    pieces. A window holds the pieces whose last character falls in its ``length``
+    characters, so windows cover everything and none has twice the length. Running
+    lengths go over ranges of clauses first, then inside a range, so a contract with
+    very many clauses is no single task. The key covers every clause through a count
+    and a sum of part hashes (each with its place), which merge without bringing the
+    texts together.
     """
     rank = F.lit(len(lookups.CONTEXT_FIRST_TYPES))
     for i, name in reversed(list(enumerate(lookups.CONTEXT_FIRST_TYPES))):
@@ -300,12 +306,23 @@ def contract_context(clauses: DataFrame) -> DataFrame:
     place = F.concat_ws(":", F.col("rank").cast("string"), F.col("clause_seq").cast("string"), "part")
     hashed = F.conv(F.substring(F.sha2(place, 256), 1, 15), 16, 10).cast("decimal(20,0)")
     keys = parts.groupBy("contract_id").agg(F.count("*").alias("n_parts"), F.sum(hashed).alias("h"))
-    first = Window.partitionBy("contract_id").orderBy("rank", "clause_seq")
-    head = parts.withColumn("part", F.substring("part", 1, CONTEXT_LENGTH)).withColumn("rn", F.row_number().over(first)).where(
-        "rn <= 500").groupBy("contract_id").agg(F.array_sort(F.collect_list(F.struct("rn", "part"))).alias("p"))
-    text = F.substring(F.array_join(F.transform("p", lambda x: x["part"]), "\n\n"), 1, CONTEXT_LENGTH)
+    group = ["contract_id", "rank", "range"]
+    sized = parts.withColumn("range", F.floor(F.col("clause_seq") / CONTEXT_RANGE)).withColumn("n", F.length("part"))
+    earlier = Window.partitionBy("contract_id").orderBy("rank", "range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sized.groupBy(*group).agg(F.sum("n").alias("n")).withColumn(
+        "before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    inside = Window.partitionBy(*group).orderBy("clause_seq").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn("at", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(before, group)
+    starts = F.sequence(F.lit(0), F.ceil(F.col("n") / length).cast("int") - 1)
+    pieces = placed.select(
+        "contract_id", "rank", "clause_seq", (F.col("before") + F.col("at")).alias("at"), "part", F.explode(starts).alias("k"))
+    pieces = pieces.withColumn("piece", F.substring("part", F.col("k") * length + 1, F.lit(length))).withColumn(
+        "window_no", F.floor((F.col("at") + F.col("k") * length + F.length("piece") - 1) / length).cast("long"))
+    windows = pieces.groupBy("contract_id", "window_no").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "clause_seq", "k", "piece"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: x["piece"]), "\n\n")
     key = F.concat(F.lit("lifecycle_"), F.substring(F.sha2(F.concat_ws("|", "n_parts", F.col("h").cast("string")), 256), 1, 16))
-    return keys.join(head, "contract_id").select("contract_id", "n_parts", text.alias("context"), key.alias("cache_key"))
+    return keys.join(windows, "contract_id").select("contract_id", "n_parts", "window_no", text.alias("context"), key.alias("cache_key"))
 
 
 # --- model answers ----------------------------------------------------------------------

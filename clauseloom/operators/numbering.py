@@ -2,30 +2,37 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clauseloom.session import stored
+
+#: Rows that one range of the order column holds, about.
+RANGE_ROWS = 1_000_000
+
 
-def running_number(df: DataFrame, keys: list[str], order: str, out: str, buckets: int = 256) -> DataFrame:
+def running_number(df: DataFrame, keys: list[str], order: str, out: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``row_number() over (keys order by order)`` for a unique integer ``order`` column.
 
-    Rows are cut into ``buckets`` equal ranges of the order column.  Numbers are
-    given inside (keys, range) and shifted by the count of the earlier ranges, a
-    window over at most ``buckets`` rows per key.  A key that holds a large share
-    of the data is therefore spread over many tasks.
+    Only keys and order are stored and numbered, in ranges cut at quantiles of the order
+    column, about ``range_rows`` rows each; numbers given inside (keys, range) are
+    shifted by the counts of the earlier ranges. The whole rows then meet their numbers
+    in one join. A key that holds a large share of the data is spread over many ranges.
     """
-    bounds = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    lo = bounds["lo"] if bounds["lo"] is not None else 0
-    width = max(1, ((bounds["hi"] or 0) - lo) // buckets + 1)
-    cut = df.withColumn("_bucket", F.floor((F.col(order) - lo) / width).cast("int"))
+    narrow = stored(df.select(*dict.fromkeys([*keys, order])), "numbering")
+    ranges = max(1, math.ceil(narrow.count() / range_rows))
+    cuts = narrow.approxQuantile(order, [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)) if ranges > 1 else []
+    ends = F.array(*[F.lit(int(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
+    cut = narrow.withColumn("_bucket", F.size(F.filter(ends, lambda c: c < F.col(order))))
     group = [*keys, "_bucket"]
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut.groupBy(*group).agg(F.count("*").alias("_n")).withColumn(
         "_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
     inside = cut.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(order)))
-    null_safe = [inside["_bucket"] == offsets["_bucket"]] + [inside[k].eqNullSafe(offsets[k]) for k in keys]
-    cond = null_safe[0]
-    for c in null_safe[1:]:
-        cond = cond & c
-    return inside.join(offsets, cond).select(
-        *[inside[c] for c in df.columns], (F.col("_rn") + F.col("_before")).alias(out))
+    cond = inside["_bucket"] == offsets["_bucket"]
+    for k in keys:
+        cond = cond & inside[k].eqNullSafe(offsets[k])
+    numbers = inside.join(offsets, cond).select(inside[order].alias("_order"), (F.col("_rn") + F.col("_before")).alias(out))
+    return df.join(numbers, df[order] == numbers["_order"]).drop("_order")

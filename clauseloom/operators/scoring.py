@@ -12,10 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clauseloom.session import stored
+
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
-# Cut of the clause text in prompts, and the kinds of cache key.
-PROMPT_TEXT_LIMIT = 1000
+# Fixed value: characters of a cache key's digest.
 KEY_LENGTH = 16
 
 # Prompt wording per variable type; {v} is the variable name, the clause text follows.
@@ -32,14 +33,15 @@ PROMPTS = {
 PERCENT_NAMES = ["percentage", "percent", "share", "rate"]
 
 
-def prompt_for(var_name: Column, var_type: Column, text: Column) -> Column:
+def prompt_for(var_name: Column, var_type: Column, text: Column, limit: int | None = None) -> Column:
+    """The prompt over the whole text, or its first ``limit`` characters."""
     is_percent = F.lower(var_name).rlike("|".join(PERCENT_NAMES))
     kind = F.when((var_type == "Double") & is_percent, F.lit("Percentage")).otherwise(var_type)
     wording = F.lit(PROMPTS["Other"])
     for name, words in PROMPTS.items():
         wording = F.when(kind == name, F.lit(words)).otherwise(wording)
     return F.concat(F.replace(wording, F.lit("{v}"), var_name), F.lit("\nText: "),
-                    F.substring(text, 1, PROMPT_TEXT_LIMIT), F.lit("\nAnswer:"))
+                    text if limit is None else F.substring(text, 1, limit), F.lit("\nAnswer:"))
 
 
 def variable_key(prompt: Column, var_name: Column, var_type: Column) -> Column:
@@ -63,7 +65,8 @@ def cached_responses(prompts: DataFrame, cache: DataFrame, scorer: Scorer) -> tu
     """
     wanted = prompts.groupBy("cache_key").agg(F.min("prompt").alias("prompt"))
     missing = wanted.join(cache.select("cache_key"), "cache_key", "left_anti")
-    fresh = missing.mapInPandas(scorer, "cache_key string, response string")
+    # stored: the answers returned, appended and joined are those of one run of the model
+    fresh = stored(missing.mapInPandas(scorer, "cache_key string, response string"), "responses")
     known = cache.select("cache_key", "response").join(wanted.select("cache_key"), "cache_key", "left_semi")
     return known.withColumn("is_hit", F.lit(True)).unionByName(fresh.withColumn("is_hit", F.lit(False))), fresh
 

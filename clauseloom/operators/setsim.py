@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.functions.text import words
-from clauseloom.session import cut_lineage
+from clauseloom.session import cut_lineage, stored
 
 FREQUENT_TOKENS = 2000
 LIST_BLOCK = 2000
@@ -166,14 +166,24 @@ def pair_counts(rows: DataFrame, threshold: float = 0.7) -> DataFrame:
     return equal.unionByName(hub).unionByName(pairs).groupBy("type").agg(F.sum("n").cast("bigint").alias("n_pairs"))
 
 
-def minhash_pairs(rows: DataFrame, threshold: float = 0.7, tables: int = 16, seed: int = 42) -> DataFrame:
-    """Approximate option: MinHash candidates among distinct sets, exact scores."""
-    from pyspark.ml.feature import HashingTF, MinHashLSH
+def minhash_pairs(rows: DataFrame, threshold: float = 0.7, bands: int = 24, band_rows: int = 5) -> DataFrame:
+    """Approximate option: banded MinHash candidates among distinct sets of one type, exact scores.
 
+    A pair of similarity s becomes a candidate with probability 1 - (1 - s^rows)^bands.
+    """
     sets, _ = distinct_sets(rows)
-    hashed = HashingTF(inputCol="tokens", outputCol="features", numFeatures=1 << 20, binary=True).transform(sets)
-    model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=tables, seed=seed).fit(hashed)
-    near = model.approxSimilarityJoin(hashed, hashed, 1 - threshold, "dist").where(
-        "datasetA.rep < datasetB.rep AND datasetA.type = datasetB.type")
-    return near.select(F.col("datasetA.type").alias("type"), F.col("datasetA.rep").alias("rep_a"),
-                       F.col("datasetB.rep").alias("rep_b"), (1 - F.col("dist")).alias("score"))
+
+    def smallest(seed: int) -> Column:
+        return F.array_min(F.transform("tokens", lambda t: F.xxhash64(F.lit(seed), t)))
+
+    least = [smallest(k) for k in range(bands * band_rows)]
+    keys = F.array(*[F.xxhash64(F.lit(b), *least[b * band_rows:(b + 1) * band_rows]) for b in range(bands)])
+    banded = stored(sets.select("type", "rep", "tokens", keys.alias("keys")), "minhash")
+    one = banded.select("type", "rep", F.explode("keys").alias("key"))
+    two = one.select("type", F.col("rep").alias("other"), "key")
+    pairs = one.join(two, ["type", "key"]).where("rep < other").select(F.col("rep").alias("rep_a"), F.col("other").alias("rep_b")).distinct()
+    side = lambda n: banded.select(F.col("rep").alias(f"rep_{n}"), F.col("tokens").alias(f"tokens_{n}"))
+    both = pairs.join(side("a"), "rep_a").join(side("b").join(banded.select(F.col("rep").alias("rep_b"), "type"), "rep_b"), "rep_b")
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    score = common / (F.size("tokens_a") + F.size("tokens_b") - common)
+    return both.select("type", "rep_a", "rep_b", F.size("tokens_a").alias("size_a"), F.size("tokens_b").alias("size_b"), score.alias("score")).where(F.col("score") >= threshold)

@@ -55,7 +55,7 @@ def graph_priority(clause_type: Column) -> Column:
     """The alternate priority table of graph template nodes."""
     expr = None
     for name, types in lookups.GRAPH_PRIORITIES.items():
-        cond = clause_type.isin(types.split())
+        cond = clause_type.isin(types)
         expr = F.when(cond, name) if expr is None else expr.when(cond, name)
     return expr.otherwise("medium")
 

@@ -189,9 +189,11 @@ def top_k_for_queries(queries: DataFrame, vectors: DataFrame, k: int = 10, min_s
     return _ranked(parts, k)
 
 
-def context_clauses(top: DataFrame, clauses: DataFrame, min_score: float = 0.7, n: int = 3) -> DataFrame:
+def context_clauses(top: DataFrame, clauses: DataFrame, min_score: float = 0.7, n: int = 3,
+                    characters: int | None = None) -> DataFrame:
     """Up to three similar answered clauses of the same type among the ten nearest, as prompt context."""
-    texts = clauses.select(F.col("id").alias("other_id"), F.substring("answer_text", 1, 200).alias("similar_text"))
+    shown = F.col("answer_text") if characters is None else F.substring("answer_text", 1, characters)
+    texts = clauses.select(F.col("id").alias("other_id"), shown.alias("similar_text"))
     good = top.where((F.col("rank") <= 10) & F.col("type_match") & (F.col("score") > min_score)).join(
         texts.where("similar_text <> ''"), "other_id")
     order = Window.partitionBy("id").orderBy("rank")

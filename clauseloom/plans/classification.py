@@ -224,7 +224,7 @@ def _prompt_rows(spark, sf_dir):
 
 _PROMPT_SQL = f"""{CLAUSES_SQL},
 prompts AS (SELECT c.clause_seq, s.var_name, s.var_type, c.text,
-    'Copy the exact wording for ' || s.var_name || '; answer null when it is absent.' || chr(10) || 'Text: ' || c.text[1:1000]
+    'Copy the exact wording for ' || s.var_name || '; answer null when it is absent.' || chr(10) || 'Text: ' || c.text
     || chr(10) || 'Answer:' AS prompt FROM clauses c JOIN {_SCHEMA} s USING (clause_type) WHERE s.var_type = 'String'),
 keyed AS (SELECT *, sha256(prompt)[1:16] || '|' || var_name || '|' || var_type AS cache_key FROM prompts)"""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from clauseloom.corpus_model import CLAUSES_SQL, KINDS, rendered_clauses
@@ -344,29 +346,25 @@ def global_clause_numbers(spark, sf_dir):
     return numbered.select("o_orderkey", F.concat_ws("_", split, (F.col("n") - 1).cast("string")).alias("clause_id"))
 
 
-@query("file_inventory")
+@query("file_inventory", """SELECT '.parquet' AS extension, count(DISTINCT o_orderstatus) AS n_files, true AS has_bytes FROM orders
+UNION ALL SELECT '.json', count(DISTINCT o_orderpriority), true FROM orders""")
 def file_inventory(spark, sf_dir):
-    """Files and bytes by extension in the data folder."""
-    return readers.file_inventory(spark, sf_dir)
+    """Files by extension, of orders written one file per status and one per priority."""
+    folder, orders = scratch_path(spark, "inventory"), table(spark, sf_dir, "orders")
+    orders.repartition("o_orderstatus").write.partitionBy("o_orderstatus").parquet(f"{folder}/a")
+    orders.select("o_orderkey", "o_orderpriority").repartition("o_orderpriority").write.partitionBy("o_orderpriority").json(f"{folder}/b")
+    found = readers.file_inventory(spark, folder).where("extension IN ('.parquet', '.json')")
+    return found.select("extension", "n_files", (F.col("n_bytes") > 0).alias("has_bytes"))
 
 
-@query("newest_extraction_file")
+@query("newest_extraction_file", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def newest_extraction_file(spark, sf_dir):
-    return readers.newest_file(spark, sf_dir, "*.parquet").select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"))
-
-
-@query("similarity_csv_export", """SELECT row_number() OVER (ORDER BY doc_id) > 0 AS ok, 'rank,similarity_score,clause_id' AS header, doc_id
-FROM documents""")
-def similarity_csv_export(spark, sf_dir):
-    """CSV in the fixed column order; the columns a result lacks are left out."""
-    path = scratch_path(spark, "similar")
-    docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("clause_id"), F.lit(0.5).alias("similarity_score"), F.lit(1).alias("rank"))
-    writers.write_similarity_csv(docs, path)
-    back = spark.read.option("header", True).schema("rank int, similarity_score double, clause_id long").csv(path)
-    return back.select((F.col("rank") == 1).alias("ok"), F.lit(",".join(back.columns)).alias("header"),
-                       F.col("clause_id").alias("doc_id"))
+    """Two files written one after the other; the rows of the newest are read back."""
+    folder, orders = scratch_path(spark, "newest"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    for name, rows in (("first", orders.where("o_orderstatus <> 'F'")), ("second", orders.where("o_orderstatus = 'F'"))):
+        rows.drop("o_orderstatus").coalesce(1).write.parquet(f"{folder}/{name}")
+        time.sleep(1.1)  # file times count whole seconds in some stores
+    return spark.read.parquet(readers.newest_file(spark, folder, "*.parquet").first()["path"])
 
 
 @query("metrics_long_form", f"""WITH {SAMPLES_SQL},
@@ -401,3 +399,18 @@ def extraction_file_shapes(spark, sf_dir):
     lines.write.text(f"{folder}/lines")
     out = out.unionByName(readers.read_extractions(spark, f"{folder}/lines", "lines"))
     return out.select(F.col("extractions")["seq"].alias("seq"), "contract_id", "clause_type", "original_text")
+
+
+@query("processed_rows_long_texts", f"""WITH d AS (SELECT doc_id, repeat(text || ' ', 8) AS long FROM documents),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(long, '\\s+'), lambda w: w <> '') AS w FROM d)
+SELECT doc_id::VARCHAR AS contract_id, len(w) AS context_length, false AS was_truncated, ceil(len(w) / 490.0)::BIGINT AS n_windows, len(w) AS window_words FROM w""")
+def processed_rows_long_texts(spark, sf_dir):
+    """Contexts of any length are stored whole, and their samples cover every word of them."""
+    samples = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("contract_id"), F.lit("t").alias("title"), F.repeat(F.concat("text", F.lit(" ")), F.lit(8)).alias("context"),
+        F.lit("Governing Law?").alias("question"), F.lit("governing_law").alias("clause_type"), F.lit(False).alias("has_answer"),
+        F.lit(None).cast("string").alias("answer_text"), F.lit(None).cast("int").alias("answer_start"))
+    rows = C.processed_rows(samples.withColumn("context", F.regexp_replace("context", r"\s+", " "))).select("contract_id", "context_length", "was_truncated")
+    windows = C.training_samples(samples).withColumn("n", X.word_count(F.element_at(F.split("text", r" \[SEP\] "), 2)))
+    counts = windows.groupBy("contract_id").agg(F.count("*").alias("n_windows"), F.sum("n").alias("window_words"))
+    return rows.join(counts, "contract_id")

@@ -52,7 +52,7 @@ expected_set AS (
 ),
 kept AS (
   SELECT clause_seq FROM clauses WHERE kind <> 9
-  QUALIFY row_number() OVER (PARTITION BY contract_id, clause_type, text[1:200] ORDER BY clause_seq) = 1
+  QUALIFY row_number() OVER (PARTITION BY contract_id, clause_type, text ORDER BY clause_seq) = 1
 ),
 long AS (SELECT e.* FROM expected_set e SEMI JOIN kept k ON k.clause_seq = e.clause_seq)"""
 
@@ -89,10 +89,9 @@ def extract_dates(spark, sf_dir):
 @query("extract_money", f"""WITH {CLAUSES_SQL}
 SELECT clause_seq, CASE WHEN kind IN (2, 3, 11) THEN o_totalprice END AS amount,
   CASE WHEN kind IN (2, 3) THEN 'USD' WHEN kind = 11 THEN 'EUR' END AS currency
-FROM clauses WHERE kind IN (2, 3, 11, 0, 8, 9)""")
+FROM clauses""")
 def extract_money(spark, sf_dir):
-    kinds = ["cap_on_liability", "minimum_commitment", "insurance", "agreement_date", "parties", "governing_law"]
-    found = rendered_clauses(spark, sf_dir).where(F.col("clause_type").isin(kinds)).withColumn(
+    found = rendered_clauses(spark, sf_dir).withColumn(
         "x", X.money_of(F.col("text")))
     return found.select("clause_seq", F.col("x.amount").alias("amount"), F.col("x.currency").alias("currency"))
 
@@ -125,12 +124,9 @@ def extract_percentages_near_references(spark, sf_dir):
 
 
 @query("extract_integers", f"""WITH {CLAUSES_SQL}
-SELECT clause_seq, CASE WHEN kind IN (4, 6, 7, 10) THEN n::DOUBLE END AS number FROM clauses
-WHERE kind IN (2, 3, 4, 5, 6, 7, 8, 10)""")
+SELECT clause_seq, CASE WHEN kind IN (4, 6, 7, 10) THEN n::DOUBLE END AS number FROM clauses""")
 def extract_integers(spark, sf_dir):
-    kinds = ["cap_on_liability", "minimum_commitment", "notice_period_renewal", "revenue_profit_sharing",
-             "non_compete", "audit_rights", "parties", "volume_restriction"]
-    found = rendered_clauses(spark, sf_dir).where(F.col("clause_type").isin(kinds)).withColumn(
+    found = rendered_clauses(spark, sf_dir).withColumn(
         "x", X.integer_of(F.col("text")))
     return found.select("clause_seq", F.col("x.value").alias("number"))
 
@@ -143,8 +139,9 @@ def extract_polarity(spark, sf_dir):
 
 
 _PARTY_SQL = f"""WITH {CLAUSES_SQL}
-SELECT clause_seq, seg || ' Trading Corporation' AS party_1, side || ' Supply Corporation' AS party_2, 2 AS n_parties
-FROM clauses WHERE kind = 8"""
+SELECT clause_seq, CASE WHEN kind = 8 THEN seg || ' Trading Corporation' END AS party_1,
+  CASE WHEN kind = 8 THEN side || ' Supply Corporation' END AS party_2, CASE WHEN kind = 8 THEN 2 END AS n_parties
+FROM clauses"""
 
 
 def _party_columns(df, names):
@@ -155,13 +152,13 @@ def _party_columns(df, names):
 
 @query("extract_parties_recital", _PARTY_SQL)
 def extract_parties_recital(spark, sf_dir):
-    df = rendered_clauses(spark, sf_dir).where("clause_type = 'parties'")
+    df = rendered_clauses(spark, sf_dir)
     return _party_columns(df, P.parties_by_recital(F.col("text")))
 
 
 @query("extract_parties_cascade", _PARTY_SQL)
 def extract_parties_cascade(spark, sf_dir):
-    df = rendered_clauses(spark, sf_dir).where("clause_type = 'parties'")
+    df = rendered_clauses(spark, sf_dir)
     return _party_columns(df, P.parties_of(F.col("text")))
 
 
@@ -326,9 +323,10 @@ def coverage_scores(spark, sf_dir):
 
 
 @query("extraction_documents_control", """SELECT doc_id, NULL::VARCHAR AS found_date, NULL::DOUBLE AS amount,
-  NULL::INT AS dur_amount, NULL::BOOLEAN AS polarity, 0 AS n_parties FROM documents""")
+  NULL::INT AS dur_amount, NULL::BOOLEAN AS polarity,
+  regexp_matches(text, '\\b[A-Z][a-zA-Z\\s&.,''-]{5,60}\\bC[oO]\\b')::INT AS n_parties FROM documents""")
 def extraction_documents_control(spark, sf_dir):
-    """Negative control: prose without contract wording yields no value."""
+    """Negative control: prose without contract wording yields no value but a name before a word "Co"."""
     text = F.col("text")
     return table(spark, sf_dir, "documents").select(
         "doc_id", X.date_of(text)["dt"].cast("string").alias("found_date"), X.money_of(text)["amount"].alias("amount"),
@@ -344,10 +342,18 @@ def contract_type_coverage(spark, sf_dir):
 
 @query("contract_coverage_wide", f"""WITH {CLAUSES_SQL}
 SELECT contract_id, count(*) FILTER (WHERE kind = 8) AS parties, count(*) FILTER (WHERE kind = 0) AS agreement_date,
-  count(*) FILTER (WHERE kind = 9) AS governing_law FROM clauses GROUP BY contract_id""")
+  count(*) FILTER (WHERE kind = 9) AS governing_law, count(*) FILTER (WHERE kind = 1) AS effective_date,
+  count(*) FILTER (WHERE kind = 2) AS cap_on_liability, count(*) FILTER (WHERE kind = 3) AS minimum_commitment,
+  count(*) FILTER (WHERE kind = 4) AS notice_period_renewal, count(*) FILTER (WHERE kind = 5) AS revenue_profit_sharing,
+  count(*) FILTER (WHERE kind = 6) AS non_compete, count(*) FILTER (WHERE kind = 7) AS audit_rights,
+  count(*) FILTER (WHERE kind = 10) AS volume_restriction, count(*) FILTER (WHERE kind = 11) AS insurance
+FROM clauses GROUP BY contract_id""")
 def contract_coverage_wide(spark, sf_dir):
     wide = rendered_clauses(spark, sf_dir).groupBy("contract_id").pivot(
-        "clause_type", ["parties", "agreement_date", "governing_law"]).count()
+        "clause_type", [
+            "parties", "agreement_date", "governing_law", "effective_date", "cap_on_liability", "minimum_commitment",
+            "notice_period_renewal", "revenue_profit_sharing", "non_compete", "audit_rights", "volume_restriction",
+            "insurance"]).count()
     return wide.na.fill(0)
 
 
@@ -378,13 +384,13 @@ def extraction_selected_contracts(spark, sf_dir):
 
 @query("extraction_dedup", f"""WITH {CLAUSES_SQL}
 SELECT clause_seq, contract_id, clause_type FROM clauses
-QUALIFY row_number() OVER (PARTITION BY contract_id, clause_type, text[1:200] ORDER BY clause_seq) = 1""")
+QUALIFY row_number() OVER (PARTITION BY contract_id, clause_type, text ORDER BY clause_seq) = 1""")
 def extraction_dedup(spark, sf_dir):
     return E.dedup_clauses(rendered_clauses(spark, sf_dir)).select("clause_seq", "contract_id", "clause_type")
 
 
 @query("documents_dedup", """SELECT doc_id FROM documents
-QUALIFY row_number() OVER (PARTITION BY source, lang, text[1:200] ORDER BY doc_id) = 1""")
+QUALIFY row_number() OVER (PARTITION BY source, lang, text ORDER BY doc_id) = 1""")
 def documents_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(
         F.col("source").alias("contract_id"), F.col("lang").alias("clause_type"), "text",
@@ -399,7 +405,7 @@ ctx AS (SELECT contract_id, clause_seq, clause_type, kind, seg, side, o_custkey,
       ' Supply Corporation WHEREAS both agree.' || repeat(' and so on', (clause_seq % 5)::INT) END AS context FROM clauses),
 have AS (SELECT DISTINCT contract_id FROM ctx WHERE kind = 8)
 SELECT contract_id, clause_seq, seg || ' Trading Corporation' AS party_1, side || ' Supply Corporation' AS party_2,
-  context[1:1000] AS original_text, clause_type AS source_clause
+  context AS original_text, clause_type AS source_clause
 FROM ctx ANTI JOIN have USING (contract_id)
 JOIN (SELECT * FROM {lookups.sql_values([(k, v) for k, v in lookups.type_positions().items()], "clause_type, type_pos")})
   USING (clause_type)
@@ -415,3 +421,25 @@ def parties_fallback(spark, sf_dir):
     return E.fallback_parties(clauses.select("contract_id", "clause_type", "clause_seq", "context")).select(
         "contract_id", "clause_seq", F.get("parties", F.lit(0)).alias("party_1"),
         F.get("parties", F.lit(1)).alias("party_2"), "original_text", "source_clause")
+
+
+@query("extraction_dedup_long_texts", """WITH t AS (SELECT doc_id, source, repeat('The same opening of every text. ', 10) || text AS text FROM documents)
+SELECT doc_id FROM t QUALIFY row_number() OVER (PARTITION BY source, text ORDER BY doc_id) = 1""")
+def extraction_dedup_long_texts(spark, sf_dir):
+    """Texts that differ only after 320 equal characters stay apart."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("contract_id"), F.lit("any").alias("clause_type"),
+        F.concat(F.repeat(F.lit("The same opening of every text. "), F.lit(10)), "text").alias("text"), F.col("doc_id").alias("clause_seq"))
+    return E.dedup_clauses(docs).select(F.col("clause_seq").alias("doc_id"))
+
+
+@query("extract_parties_late_and_many", """SELECT c_custkey, 6 AS n_parties,
+  list_transform(['East', 'West', 'North', 'South', 'Upper', 'Lower'], lambda s: s || ' ' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' Trading Corporation')::VARCHAR[] AS names
+FROM customer""")
+def extract_parties_late_and_many(spark, sf_dir):
+    """Six names, all of them past character 3600."""
+    names = [F.concat(F.lit(f'"{side} '), F.initcap("c_mktsegment"), F.lit(' Trading Corporation"')) for side in
+             ("East", "West", "North", "South", "Upper", "Lower")]
+    text = F.concat(F.repeat(F.lit("what was said before, "), F.lit(165)), F.array_join(F.array(*names), "; "), F.lit("; all agree."))
+    found = table(spark, sf_dir, "customer").withColumn("p", P.parties_by_suffix(text))
+    return found.select("c_custkey", F.size("p").alias("n_parties"), F.col("p").alias("names"))

@@ -18,7 +18,7 @@ from clauseloom.sources import writers
 # The expected graph tables of the rendered corpus.
 _PARTY = "{0} || ' Trading Corporation'"
 GRAPH_SQL = TEMPLATES_SQL + """,
-cn AS (SELECT *, contract_id || '_' || clause_type || '_' || sha256(text)[1:8] AS clause_id FROM named),
+cn AS (SELECT *, contract_id || '_' || clause_type || '_' || sha256(text)[1:32] AS clause_id FROM named),
 vn AS (SELECT cn.clause_id, cn.clause_id || '|' || var_name AS variable_id, cn.clause_type, var_name, var_type AS schema_type, v_amount AS amount,
   CASE WHEN v_bool IS NOT NULL THEN 'boolean' WHEN v_double IS NOT NULL THEN 'numeric' WHEN v_date IS NOT NULL THEN 'text'
     WHEN party_1 IS NOT NULL THEN 'entity_list' WHEN v_amount IS NOT NULL THEN 'monetary' ELSE 'temporal' END AS var_type,
@@ -52,13 +52,13 @@ def graph_contract_nodes(spark, sf_dir):
     return clause_tables(spark, sf_dir)["Contract"]
 
 
-@query("graph_clause_nodes", f"""WITH {GRAPH_SQL} SELECT clause_id, contract_id, clause_type, text AS original_text, round(coverage, 6) AS coverage_score FROM cn""")
+@query("graph_clause_nodes", f"""WITH {GRAPH_SQL} SELECT clause_id, contract_id, clause_type, text AS original_text, text AS shown_text, round(coverage, 6) AS coverage_score FROM cn""")
 def graph_clause_nodes(spark, sf_dir):
     return clause_tables(spark, sf_dir)["Clause"].withColumn("coverage_score", F.round("coverage_score", 6))
 
 
-@query("graph_clause_nodes_long_text", """SELECT doc_id, 'C_' || lang || '_' || sha256(text)[1:8] AS clause_id,
-  CASE WHEN length(text) > 2000 THEN md5(text[1:2000] || '...') ELSE md5(text) END AS text_hash FROM documents""")
+@query("graph_clause_nodes_long_text", """SELECT doc_id, 'C_' || lang || '_' || sha256(text)[1:32] AS clause_id,
+  md5(text) AS text_hash, CASE WHEN length(text) > 2000 THEN md5(text[1:2000] || '...') ELSE md5(text) END AS shown_hash FROM documents""")
 def graph_clause_nodes_long_text(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "text", F.lit("C").alias("contract_id"), F.col("lang").alias("clause_type"),
@@ -66,7 +66,8 @@ def graph_clause_nodes_long_text(spark, sf_dir):
                 ).alias("vars"))
     nodes = G.clause_nodes(docs.withColumn("contract_id", F.concat_ws("~", F.lit("C"), "doc_id")))
     return nodes.select(F.split("contract_id", "~")[1].cast("bigint").alias("doc_id"),
-                        F.regexp_replace("clause_id", r"~\d+", "").alias("clause_id"), F.md5("original_text").alias("text_hash"))
+                        F.regexp_replace("clause_id", r"~\d+", "").alias("clause_id"), F.md5("original_text").alias("text_hash"),
+                        F.md5("shown_text").alias("shown_hash"))
 
 
 @query("graph_variable_nodes", f"""WITH {GRAPH_SQL} SELECT variable_id, clause_id, var_name, schema_type, var_type, value FROM vn""")

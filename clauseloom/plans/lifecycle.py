@@ -224,9 +224,13 @@ def confidence_bands(spark, sf_dir):
 
 
 @query("contract_context", f"""WITH {CLAUSES_SQL}, p AS (SELECT contract_id, clause_seq, CASE clause_type WHEN 'effective_date' THEN 0 WHEN 'agreement_date' THEN 2 WHEN 'notice_period_renewal' THEN 5 ELSE 6 END AS rank,
-  '[' || clause_type || '] ' || text AS part FROM clauses)
-SELECT contract_id, count(*) AS n_parts, string_agg(part, chr(10) || chr(10) ORDER BY rank, clause_seq)[1:3000] AS context,
-  'lifecycle_' || sha256(count(*) || '|' || sum(('0x' || sha256(rank || ':' || clause_seq || ':' || part)[1:15])::BIGINT::HUGEINT))[1:16] AS cache_key FROM p GROUP BY contract_id""")
+  '[' || clause_type || '] ' || text AS part FROM clauses),
+h AS (SELECT contract_id, count(*) AS n_parts,
+  'lifecycle_' || sha256(count(*) || '|' || sum(('0x' || sha256(rank || ':' || clause_seq || ':' || part)[1:15])::BIGINT::HUGEINT))[1:16] AS cache_key FROM p GROUP BY contract_id),
+e AS (SELECT *, sum(length(part)) OVER (PARTITION BY contract_id ORDER BY rank, clause_seq) AS upto FROM p)
+SELECT contract_id, any_value(n_parts) AS n_parts, ((upto - 1) // 3000)::BIGINT AS window_no,
+  string_agg(part, chr(10) || chr(10) ORDER BY rank, clause_seq) AS context, any_value(cache_key) AS cache_key
+FROM e JOIN h USING (contract_id) GROUP BY contract_id, ((upto - 1) // 3000)::BIGINT""")
 def contract_context(spark, sf_dir):
     return L.contract_context(rendered_clauses(spark, sf_dir))
 

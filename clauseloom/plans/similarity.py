@@ -112,6 +112,19 @@ def similar_clause_context(spark, sf_dir):
         "id", "other_id", "similar_text", "context_rank")
 
 
+@query("similarity_csv_export", f"""{_BY_ID_SQL}
+SELECT rank, round(x, 6) AS similarity_score, other_id AS clause_id, id AS original_id, 'rank,similarity_score,clause_id,original_id' AS header FROM r""")
+def similarity_csv_export(spark, sf_dir):
+    """The ten nearest of every vector as CSV in the fixed column order, read back."""
+    path = scratch_path(spark, "similar")
+    top = V.top_k_by_id(vectors(spark, sf_dir))
+    writers.write_similarity_csv(top.select(
+        F.col("other_id").alias("clause_id"), "rank", F.col("id").alias("original_id"), F.col("score").alias("similarity_score")), path)
+    back = spark.read.option("header", True).schema("rank int, similarity_score double, clause_id long, original_id long").csv(path)
+    header = spark.read.text(path).agg(F.max("value")).first()[0]
+    return back.withColumn("similarity_score", F.round("similarity_score", 6)).withColumn("header", F.lit(header))
+
+
 @query("embedding_value_statistics", """WITH c AS (SELECT unnest(embedding)::DOUBLE AS x FROM embeddings)
 SELECT (SELECT count(*) FROM embeddings) AS n_vectors, 64 AS dimension, round(avg(x), 6) AS mean_value,
   round(stddev_pop(x), 6) AS std_value, round(min(x), 6) AS min_value, round(max(x), 6) AS max_value FROM c""")
@@ -209,6 +222,15 @@ def text_similarity_pair_counts(spark, sf_dir):
     return S.pair_counts(document_sets(spark, sf_dir))
 
 
-@query("text_similarity_minhash")
+@query("text_similarity_minhash", f"""WITH {relation_sql(_DOCS)}
+SELECT type, count(*) AS n_exact, true AS all_true, true AS recall_reached FROM sim WHERE NOT (na = nb AND both_n = na - 1) GROUP BY type""")
 def text_similarity_minhash(spark, sf_dir):
-    return S.minhash_pairs(document_sets(spark, sf_dir))
+    """Approximate pairs against the exact number of explicit pairs per type: none false, at least nine of ten found."""
+    apart = S.minhash_pairs(document_sets(spark, sf_dir)).where("size_a <> size_b OR abs(score - (size_a - 1) / (size_a + 1)) > 1e-9")
+    found = apart.groupBy("type").agg(
+        F.count("*").alias("n"), F.min(F.col("score")).alias("least"))
+    sets, _ = S.distinct_sets(document_sets(spark, sf_dir))
+    exact = S.explicit_pairs(sets, 0.7).groupBy("type").agg(F.count("*").alias("n_exact"))
+    return exact.join(found, "type", "left").select(
+        "type", "n_exact", (F.col("least") >= 0.7).alias("all_true"),
+        ((F.col("n") >= 0.9 * F.col("n_exact")) & (F.col("n") <= F.col("n_exact"))).alias("recall_reached"))

@@ -53,12 +53,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for CPU-heavy work when the input has fewer splits than cores.
+    """The input dealt out by a key, if ``spark.clauseloom.readPartitions`` says to how many partitions.
 
-    A large input has more splits than that and is left as it is.
+    For small files with few splits and CPU-heavy work; unset, the file splits stay as they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    wanted = df.sparkSession.conf.get("spark.clauseloom.readPartitions", None)
+    return df.repartition(int(wanted), key) if wanted else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

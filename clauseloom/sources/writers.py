@@ -19,11 +19,10 @@ def write_processed(rows: DataFrame, path: str) -> None:
 def write_clause_datasets(rows: DataFrame, path: str) -> None:
     """One directory per split and type.
 
-    The repartition keeps a (split, type) directory to a bounded number of files,
-    and the salt keeps a type that holds much of the data from becoming one task.
+    Rebalancing brings the rows of a directory together, and adaptive execution cuts a
+    type that holds much of the data into tasks of the advisory size.
     """
-    salted = rows.repartition("split", "clause_type", F.pmod(F.xxhash64("contract_id"), F.lit(16)))
-    salted.write.mode("overwrite").partitionBy("split", "clause_type").parquet(path)
+    rows.hint("rebalance", "split", "clause_type").write.mode("overwrite").partitionBy("split", "clause_type").parquet(path)
 
 
 def write_training_samples(samples: DataFrame, path: str) -> None:
@@ -49,7 +48,8 @@ def write_extractions(long: DataFrame, path: str, mode: str, max_contracts: int
 
 
 def write_embeddings(table: DataFrame, path: str, by: str) -> None:
-    table.write.mode("overwrite").partitionBy(by).parquet(path)
+    """Partitioned by a column; rebalanced, so that a partition is a few files of the advisory size."""
+    table.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(path)
 
 
 def write_similarity_csv(results: DataFrame, path: str) -> None:
@@ -73,11 +73,12 @@ def write_graph(tables, path: str) -> None:
         frame.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def write_lifecycle(tables: dict[str, DataFrame], path: str, buckets: int = 32) -> None:
-    """states, transitions and validation, partitioned by a hash bucket of the machine."""
+def write_lifecycle(tables: dict[str, DataFrame], path: str, bucket_rows: int = 1_000_000) -> None:
+    """states, transitions and validation, partitioned by a hash bucket of the machine, about ``bucket_rows`` rows each."""
     for name, frame in tables.items():
-        frame.withColumn("bucket", F.pmod(F.xxhash64("machine"), F.lit(buckets)).cast("int")).write.mode(
-            "overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+        buckets = frame.count() // bucket_rows + 1
+        frame.withColumn("bucket", F.pmod(F.xxhash64("machine"), F.lit(buckets)).cast("int")).hint(
+            "rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
 
 
 def write_report(one_row: DataFrame, path: str) -> None:

@@ -23,7 +23,7 @@ def make_session():
     return (SparkSession.builder.master("local[8]").appName("oracle")
             .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "12g")
             .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-            .config("spark.driver.extraJavaOptions", "-Xss8m")
+            .config("spark.clauseloom.readPartitions", "8").config("spark.driver.extraJavaOptions", "-Xss8m")
             .getOrCreate())
 
 
