@@ -133,7 +133,7 @@ def conformance(events: DataFrame, allowed: DataFrame) -> DataFrame:
     """Steps and violations per (previous, event) against an allowed-transition table (source, target)."""
     steps = observed_steps(events).groupBy("previous", "event").agg(F.count("*").alias("n_steps"))
     ok = allowed.select(F.col("source").alias("previous"), F.col("target").alias("event"), F.lit(True).alias("ok"))
-    return steps.join(F.broadcast(ok), ["previous", "event"], "left").select(
+    return steps.join(ok, ["previous", "event"], "left").select(
         "previous", "event", "n_steps", F.coalesce("ok", F.lit(False)).alias("is_allowed"))
 
 

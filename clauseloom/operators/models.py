@@ -37,10 +37,10 @@ def _features(dimension: int) -> list:
     ]
 
 
-def train_binary(samples: DataFrame, dimension: int = 1 << 14):
+def train_binary(samples: DataFrame, dimension: int = 1 << 14, rounds: int = 20):
     """``samples``: text, label 0/1.  Weighted logistic regression on hashed TF-IDF."""
     stages = _features(dimension) + [
-        LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=20, regParam=0.001)]
+        LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=rounds, regParam=0.001)]
     return Pipeline(stages=stages).fit(with_class_weight(samples))
 
 
@@ -50,11 +50,11 @@ def binary_probability(model, rows: DataFrame) -> DataFrame:
     return scored.select(*rows.columns, vector_to_array("probability")[1].alias("probability"))
 
 
-def train_multiclass(samples: DataFrame, dimension: int = 1 << 14):
+def train_multiclass(samples: DataFrame, dimension: int = 1 << 14, rounds: int = 20):
     """``samples``: text, label string.  Labels are indexed in alphabetical order."""
     indexer = StringIndexer(inputCol="label", outputCol="_label", stringOrderType="alphabetAsc").fit(samples)
     stages = [indexer] + _features(dimension) + [
-        LogisticRegression(featuresCol="features", labelCol="_label", family="multinomial", maxIter=20, regParam=0.001),
+        LogisticRegression(featuresCol="features", labelCol="_label", family="multinomial", maxIter=rounds, regParam=0.001),
         IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)]
     return Pipeline(stages=stages).fit(samples)
 

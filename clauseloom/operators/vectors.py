@@ -220,7 +220,7 @@ def posting_blocks(rows: DataFrame, key: str, id_col: str, block: int = 4096) ->
         F.array_sort(F.collect_list(id_col)).alias("ids"))
 
 
-def kmeans(vectors: DataFrame, k: int = 10, seed: int = 42, restarts: int = 10):
+def kmeans(vectors: DataFrame, k: int = 10, seed: int = 42, restarts: int = 10, rounds: int = 20):
     """Lowest-cost of ``restarts`` runs; k falls to max(1, n // 2) when there are fewer than k rows."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -229,10 +229,10 @@ def kmeans(vectors: DataFrame, k: int = 10, seed: int = 42, restarts: int = 10):
     n = points.count()
     k = k if n >= k else max(1, n // 2)
     if k == 1:
-        return points.select("id", F.lit(0).alias("cluster")), None
+        return points.select("id", F.lit(0).alias("cluster")), 0.0
     best = None
     for i in range(restarts):
-        model = KMeans(k=k, seed=seed + i, maxIter=20).fit(points)
+        model = KMeans(k=k, seed=seed + i, maxIter=rounds).fit(points)
         cost = model.summary.trainingCost
         if best is None or cost < best[1]:
             best = (model, cost)

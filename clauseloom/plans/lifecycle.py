@@ -11,7 +11,7 @@ from clauseloom.operators import evaluate as E
 from clauseloom.operators import lifecycle as L
 from clauseloom.operators import templates as T
 from clauseloom.operators.extraction import to_long
-from clauseloom.plans.extraction import rendered_stored
+from clauseloom.plans.extraction import LONG_SQL, rendered_stored
 from clauseloom.plans.registry import query
 from clauseloom.plans.templates import TEMPLATES_SQL
 from clauseloom.session import scratch_path, stored, table
@@ -371,7 +371,9 @@ def run_summary(spark, sf_dir):
     return c.crossJoin(long).crossJoin(t).crossJoin(d)
 
 
-@query("run_outputs_written")
+@query("run_outputs_written", f"""WITH {LONG_SQL}, {EVENTS_SQL}
+SELECT 'extractions' AS name, count(*) AS n_rows FROM long UNION ALL SELECT 'states', count(*) FROM states
+UNION ALL SELECT 'transitions', count(*) FROM trans UNION ALL SELECT 'validation', count(DISTINCT machine) FROM states UNION ALL SELECT 'report', 1""")
 def run_outputs_written(spark, sf_dir):
     """Extraction table with its run record, lifecycle tables and report written and read back."""
     path = scratch_path(spark, "run")
@@ -387,18 +389,19 @@ def run_outputs_written(spark, sf_dir):
     return out
 
 
-@query("stream_extraction", f"""WITH {CLAUSES_SQL}, d AS (SELECT DISTINCT contract_id, clause_type, text, kind, o_totalprice FROM clauses WHERE kind IN (2, 3, 11))
-SELECT contract_id, clause_type, count(*) AS n_clauses, sum(o_totalprice::DECIMAL(18, 2))::DOUBLE AS total FROM d GROUP BY ALL""")
+@query("stream_extraction", f"""WITH {CLAUSES_SQL}, d AS (SELECT DISTINCT contract_id, clause_type, text, CASE WHEN kind IN (2, 3, 11) THEN o_totalprice END AS amount FROM clauses WHERE kind <> 9)
+SELECT contract_id, clause_type, count(*) AS n_clauses, sum(amount::DECIMAL(18, 2))::DOUBLE AS total FROM d GROUP BY ALL""")
 def stream_extraction(spark, sf_dir):
-    """Clauses as a file stream: de-duplicated, extracted, appended to a table."""
+    """Clauses as a file stream, one file a batch and dates in any order: extracted, de-duplicated, appended to a table."""
     folder = scratch_path(spark, "stream")
-    rows = rendered_clauses(spark, sf_dir).where(F.col("clause_type").isin("cap_on_liability", "minimum_commitment", "insurance"))
-    rows.select(F.col("o_orderdate").cast("timestamp").alias("ts"), "contract_id", "clause_type", "clause_seq", "text").write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema("ts timestamp, contract_id string, clause_type string, clause_seq long, text string").parquet(f"{folder}/in")
+    rows = rendered_clauses(spark, sf_dir).select(
+        F.col("o_orderdate").cast("timestamp").alias("ts"), "contract_id", "clause_type", "clause_seq", "text")
+    rows.repartition(4, "clause_seq").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("ts timestamp, contract_id string, clause_type string, clause_seq long, text string").option(
+        "maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     stream_clauses.run_to_table(stream_clauses.extracted_stream(stream), f"{folder}/out", f"{folder}/checkpoint")
-    amounts = spark.read.parquet(f"{folder}/out").where("v_amount IS NOT NULL")
-    return amounts.groupBy("contract_id", "clause_type").agg(
-        F.count("*").alias("n_clauses"), F.sum(F.col("v_amount").cast("decimal(18,2)")).cast("double").alias("total"))
+    return spark.read.parquet(f"{folder}/out").groupBy("contract_id", "clause_type").agg(
+        F.count_if(F.col("var_pos") == 0).alias("n_clauses"), F.sum(F.col("v_amount").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
 @query("stream_conformance", f"""WITH {EVENTS_SQL} SELECT s.source AS previous, s.target AS event, count(*) AS n_steps, any_value(al.source IS NOT NULL) AS is_allowed

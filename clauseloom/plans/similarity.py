@@ -166,6 +166,16 @@ def vector_clusters(spark, sf_dir):
     return assigned
 
 
+@query("vector_clusters_summary", """SELECT count(*) AS n_vectors, 10 AS n_clusters, true AS no_dearer_than_one_run FROM embeddings""")
+def vector_clusters_summary(spark, sf_dir):
+    """Every vector in one of ten clusters, at a cost that no single run undercuts."""
+    rows = vectors(spark, sf_dir)
+    assigned, cost = V.kmeans(rows)
+    _, single = V.kmeans(rows, restarts=1)
+    return assigned.agg(F.count("*").alias("n_vectors"), F.count_distinct("cluster").cast("int").alias("n_clusters")).withColumn(
+        "no_dearer_than_one_run", F.lit(cost <= single))
+
+
 @query("cluster_profile", """WITH t AS (SELECT vec_id % 7 AS cluster, label::VARCHAR AS type, count(*) AS n FROM embeddings GROUP BY ALL),
 m AS (SELECT cluster, type AS most_common_type FROM t QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, type) = 1)
 SELECT cluster, sum(n) AS size, count(*) AS distinct_types, any_value(most_common_type) AS most_common_type,

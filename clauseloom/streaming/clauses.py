@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from clauseloom.operators.extraction import extract_clauses, to_long
 
 
-def extracted_stream(clauses: DataFrame, delay: str = "30 days") -> DataFrame:
+def extracted_stream(clauses: DataFrame, delay: str | None = None) -> DataFrame:
     """``clauses``: ts timestamp, contract_id, clause_type, clause_seq, text; as stream or table.
 
-    Repeats of contract, type and first 200 characters are dropped while the
-    watermark keeps their state; the key is known before extraction, so repeats
-    cost no pattern work.
+    As in the batch run, clauses are extracted, those without a value drop out, and then
+    repeats of contract, type and text. The keys seen are kept for good, whatever order
+    the clauses arrive in; with ``delay`` they expire behind a watermark on ``ts``.
     """
-    keyed = clauses.withColumn("_prefix", F.substring("text", 1, 200)).withWatermark("ts", delay)
-    once = keyed.dropDuplicatesWithinWatermark(["contract_id", "clause_type", "_prefix"]).drop("_prefix")
-    return to_long(extract_clauses(once))
+    key = ["contract_id", "clause_type", "_text_key"]
+    found = extract_clauses(clauses).withColumn("_text_key", F.sha2("text", 256))
+    once = found.dropDuplicates(key) if delay is None else found.withWatermark("ts", delay).dropDuplicatesWithinWatermark(key)
+    return to_long(once.drop("_text_key"))
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:

@@ -1,47 +1,45 @@
 """Streaming conformance: observed steps against an allowed-transition table.
 
-The last event per key is carried from batch to batch in a table of the shared
-folder, one version per batch, so a repeated batch gives the same result.  Inside
-a batch the steps are found by the bucketed batch operator, so a key that sends
-a large share of all events does not end up in one task.  Events of one key must
-arrive in time order between batches.
+The last event of every key is keyed state of the stream, so a restarted stream goes on
+where it stopped and a repeated batch gives the same result. Events of one key must
+arrive in time order between batches; inside a batch they may come in any order. The
+events that one key sends within one batch meet in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from clauseloom.operators.lifecycle import observed_steps
-from clauseloom.sources.readers import exists
-
-STATE_SCHEMA = "key string, event string, ts timestamp, event_id long"
 
+def _steps(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Counts of the (previous, event) pairs of one key in one batch."""
+    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+    events = list(rows["event"])
+    before = [state.get[0] if state.exists else None, *events[:-1]]
+    state.update((events[-1],))
+    pairs = pd.DataFrame({"previous": before, "event": events}).dropna(subset=["previous"])
+    yield pairs.groupby(["previous", "event"], as_index=False).size().rename(columns={"size": "n_steps"})
 
-def _batch_writer(folder: str):
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = f"{folder}/last/{batch_id - 1}"
-        last = spark.read.schema(STATE_SCHEMA).parquet(before) if exists(spark, before) else spark.createDataFrame([], STATE_SCHEMA)
-        rows = batch.select("key", "event", "ts", "event_id")
-        steps = observed_steps(rows.unionByName(last))
-        counts = steps.groupBy("previous", "event").agg(F.count("*").alias("n_steps"))
-        counts.write.mode("overwrite").parquet(f"{folder}/steps/batch={batch_id}")
-        newest = F.max_by(F.struct("event", "ts", "event_id"), F.struct("ts", "event_id")).alias("e")
-        rows.unionByName(last).groupBy("key").agg(newest).select("key", "e.*").write.mode("overwrite").parquet(
-            f"{folder}/last/{batch_id}")
 
-    return write
+def observed(events: DataFrame) -> DataFrame:
+    """``events``: a stream of key, event, ts timestamp, event_id; gives previous, event, n_steps per key and batch."""
+    return events.groupBy("key").applyInPandasWithState(
+        _steps, "previous string, event string, n_steps long", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
 def run(events: DataFrame, folder: str) -> None:
-    """``events``: a stream of key, event, ts timestamp, event_id."""
-    events.writeStream.foreachBatch(_batch_writer(folder)).option(
-        "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    """Process what is there into ``folder/steps``, then stop."""
+    observed(events).writeStream.format("parquet").option("path", f"{folder}/steps").option(
+        "checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
 def result(spark: SparkSession, folder: str, allowed: DataFrame) -> DataFrame:
     steps = spark.read.parquet(f"{folder}/steps").groupBy("previous", "event").agg(F.sum("n_steps").alias("n_steps"))
     ok = allowed.select(F.col("source").alias("previous"), F.col("target").alias("event"), F.lit(True).alias("ok"))
-    return steps.join(F.broadcast(ok), ["previous", "event"], "left").select(
+    return steps.join(ok, ["previous", "event"], "left").select(
         "previous", "event", "n_steps", F.coalesce("ok", F.lit(False)).alias("is_allowed"))
