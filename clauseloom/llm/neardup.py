@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .components import components
+from .components import components, merged
 from .textarrays import Piece, mixed, ngrams, pieces
 
 REGISTERS = 256
@@ -49,6 +49,8 @@ BANDS = REGISTERS // BAND_ROWS
 MARGIN = 0.15
 SHINGLE = 5
 PERCENT = 80
+#: Ids that are sent to all executors at most, eight bytes each.
+BROADCAST_IDS = 1_000_000
 #: Sets and shingles of a block at most (a single larger set is a block), and columns multiplied at once.
 BLOCK_SETS, BLOCK_SHINGLES, MATRIX_COLUMNS = 1000, 500_000, 2048
 _U = np.uint64
@@ -200,7 +202,10 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int,
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").join(ids.distinct(), "doc_id", "left_semi")
+    """The documents of some ids; texts are shuffled only if there are more than ``BROADCAST_IDS``."""
+    ids = stored(ids.distinct(), "near-ids")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
 def full_sets(text: Column, shingle: int) -> Column:
@@ -292,7 +297,7 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     stars = stored(stars, "near-stars")
     links = confirmed(stars, reps, docs, shingle, percent)
     found = stored(components(links), "near-found")
-    found = components(links.union(rest_of(stars, found, reps, docs, shingle, percent)))
+    found = merged(found, stored(rest_of(stars, found, reps, docs, shingle, percent), "near-rest"))
 
     of_set = sets.join(found, sets["rep"] == found["node"], "left").select(
         F.col("key").alias("set_key"), F.coalesce("component", "rep").alias("component_id"))
