@@ -164,9 +164,10 @@ def _grams(text: Column, k: Column) -> Column:
 def match_directories(directories: DataFrame, contracts: DataFrame, gram: int = 8) -> DataFrame:
     """directory -> contract_id: exact id variants, else containment either way.
 
-    Containment is an equi-join on a key, not a comparison of all pairs: the last
-    ``gram`` characters of the contained name must occur in the containing one.
-    Names shorter than that are their own key.
+    Containment is an equi-join on a key, not a comparison of all pairs: every run of
+    ``gram`` characters of the contained name must occur in the containing one, and the
+    run that the fewest names have is the key, so an ending that all names share costs
+    nothing. Names shorter than that are their own key.
     """
     forms = contracts.select("contract_id", slug(F.col("contract_id")).alias("slug"))
     variants = forms.select("contract_id", F.explode(F.array_distinct(F.array(
@@ -181,9 +182,15 @@ def match_directories(directories: DataFrame, contracts: DataFrame, gram: int =
 
     def inside(small, small_col, big, big_col):
         k = F.least(F.length(small_col), F.lit(gram))
-        keyed = small.withColumn("k", k).withColumn("key", F.substring(F.col(small_col), F.length(small_col) - F.col("k") + 1, gram))
         sizes = F.sequence(F.lit(1), F.lit(gram))
         parts = big.withColumn("k", F.explode(sizes)).withColumn("key", F.explode(_grams(F.col(big_col), F.col("k"))))
+        common = parts.groupBy("k", "key").agg(F.count("*").alias("n"))
+        grams = small.withColumn("k", k).withColumn("key", F.explode(_grams(F.col(small_col), F.col("k"))))
+        rarest = grams.join(common, ["k", "key"]).groupBy(*small.columns, "k").agg(
+            F.min(F.struct("n", "key")).alias("r"), F.count("*").alias("met"))
+        # a part that the other side does not have at all rules the name out
+        whole = F.col("met") == F.size(_grams(F.col(small_col), F.col("k")))
+        keyed = rarest.where(whole).select(*small.columns, "k", F.col("r.key").alias("key"))
         return keyed.join(parts, ["k", "key"]).where(F.contains(F.col(big_col), F.col(small_col)))
 
     slugs = forms.where("slug <> ''")
@@ -331,6 +338,21 @@ def caps_above(tables: GraphTables, bound: float) -> DataFrame:
         "title", "original_text", "value", "amount")
 
 
+def neighbours(tables: GraphTables) -> DataFrame:
+    """contract_id, label, neighbour_id: everything one step around a contract, and the variables of its clauses."""
+    row = lambda label, neighbour: ("contract_id", F.lit(label).alias("label"), F.col(neighbour).alias("neighbour_id"))
+    clause = tables["Clause"].select("contract_id", "clause_id")
+    parts = [
+        clause.select(*row("Clause", "clause_id")),
+        tables["Variable"].select("clause_id", "variable_id").join(clause, "clause_id").select(*row("Variable", "variable_id")),
+        tables["INVOLVES"].withColumnRenamed("from_id", "contract_id").select(*row("Party", "to_id")),
+        tables["BASED_ON"].withColumnRenamed("to_id", "contract_id").select(*row("Template", "from_id"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def neighbourhood(tables: GraphTables) -> DataFrame:
     """Per contract the numbers of clauses, parties, variables and templates around it."""
     clause = tables["Clause"].select("clause_id", "contract_id")

@@ -168,6 +168,21 @@ def graph_similar_edges(spark, sf_dir):
         "kind", F.col("a").alias("from_id"), F.col("b").alias("to_id"), "hub_token", F.round("score", 6).alias("score"))
 
 
+_SIMILAR_SQL = f"""WITH {relation_sql(_SIM)},
+ids AS (SELECT clause_seq, clause_id FROM cn),
+rel AS (SELECT 'hub' AS kind, rep AS f, hub_rep AS t, round(score, 6) AS score FROM hubs
+  UNION ALL SELECT 'pair', rep_a, rep_b, round(score, 6) FROM sim WHERE NOT (na = nb AND both_n = na - 1))"""
+
+
+@query("graph_top_similar_pairs", f"""{_SIMILAR_SQL}
+SELECT kind, a.clause_id AS from_id, b.clause_id AS to_id, score FROM rel JOIN ids a ON a.clause_seq = f JOIN ids b ON b.clause_seq = t
+WHERE a.clause_id <> b.clause_id ORDER BY score DESC, from_id, to_id, kind LIMIT 20""")
+def graph_top_similar_pairs(spark, sf_dir):
+    """The twenty most similar clauses of different wording; the limit is the feature."""
+    edges = graph_similar_edges(spark, sf_dir).where("kind <> 'copy' AND from_id <> to_id")
+    return edges.select("kind", "from_id", "to_id", "score").orderBy(F.desc("score"), "from_id", "to_id", "kind").limit(20)
+
+
 @query("graph_upsert", f"""WITH {CLAUSES_SQL}, w AS (SELECT contract_id, clause_type, clause_seq AS seq, text AS payload FROM clauses
   UNION ALL SELECT contract_id, clause_type, clause_seq + 1000000000, 'new ' || text FROM clauses WHERE kind < 6)
 SELECT contract_id, clause_type, seq, payload FROM w QUALIFY row_number() OVER (PARTITION BY contract_id, clause_type ORDER BY seq DESC) = 1""")
@@ -254,6 +269,13 @@ def graph_neighbourhood(spark, sf_dir):
     return G.neighbourhood(graph_tables(spark, sf_dir))
 
 
+@query("graph_neighbours", f"""WITH {GRAPH_SQL} SELECT contract_id, 'Clause' AS label, clause_id AS neighbour_id FROM cn
+UNION ALL SELECT cn.contract_id, 'Variable', vn.variable_id FROM vn JOIN cn USING (clause_id)
+UNION ALL SELECT contract_id, 'Party', party_id FROM pid UNION ALL SELECT contract_id, 'Template', template_id FROM tn""")
+def graph_neighbours(spark, sf_dir):
+    return G.neighbours(graph_tables(spark, sf_dir))
+
+
 @query("graph_template_text_checks", """SELECT doc_id, doc_id % 2 = 0 AND length(trim(text, ' \t\n\r')) > 100 AS preserved, CASE WHEN doc_id % 3 = 0 THEN 'audit_rights' ELSE 'parties' END AS clause_type FROM documents""")
 def graph_template_text_checks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

@@ -9,6 +9,7 @@ import argparse
 import math
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -20,7 +21,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def make_session():
     from pyspark.sql import SparkSession
 
-    return (SparkSession.builder.master("local[8]").appName("oracle")
+    shared = tempfile.mkdtemp(prefix="oracle-", dir="/tmp")
+    return (SparkSession.builder.master("local[8]").appName("oracle").config("spark.checkpoint.dir", shared)
             .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "12g")
             .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
             .config("spark.clauseloom.readPartitions", "8").config("spark.driver.extraJavaOptions", "-Xss8m")
