@@ -13,16 +13,17 @@ from clauseloom.session import stored
 RANGE_ROWS = 1_000_000
 
 
-def running_number(df: DataFrame, keys: list[str], order: str, out: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+def running_number(df: DataFrame, keys: list[str], order: str, out: str, buckets: int | None = None,
+                   range_rows: int = RANGE_ROWS) -> DataFrame:
     """``row_number() over (keys order by order)`` for a unique integer ``order`` column.
 
     Only keys and order are stored and numbered, in ranges cut at quantiles of the order
-    column, about ``range_rows`` rows each; numbers given inside (keys, range) are
+    column, about ``range_rows`` rows each, or ``buckets`` of them; numbers given inside (keys, range) are
     shifted by the counts of the earlier ranges. The whole rows then meet their numbers
     in one join. A key that holds a large share of the data is spread over many ranges.
     """
     narrow = stored(df.select(*dict.fromkeys([*keys, order])), "numbering")
-    ranges = max(1, math.ceil(narrow.count() / range_rows))
+    ranges = buckets or max(1, math.ceil(narrow.count() / range_rows))
     cuts = narrow.approxQuantile(order, [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)) if ranges > 1 else []
     ends = F.array(*[F.lit(int(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
     cut = narrow.withColumn("_bucket", F.size(F.filter(ends, lambda c: c < F.col(order))))

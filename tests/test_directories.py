@@ -7,6 +7,6 @@ from pyspark.sql import functions as F
 def test_names_with_one_ending(spark):
     n = 3000
     contracts = spark.range(n).select(F.concat(F.lit("party"), F.format_string("%05d", "id"), F.lit("_SUPPLY_AGREEMENT")).alias("contract_id"))
-    directories = spark.range(n).select(F.concat(F.lit("x-party"), F.format_string("%05d", "id"), F.lit("-supply-agreement-template")).alias("directory"))
+    directories = spark.range(n).select(F.concat(F.lit("x-party"), F.format_string("%05d", "id"), F.lit("_supply_agreement-template")).alias("directory"))
     got = {r.directory: r.contract_id for r in match_directories(directories, contracts).collect()}
-    assert len(got) == n and all(f"party{k:05d}_SUPPLY_AGREEMENT" == got[f"x-party{k:05d}-supply-agreement-template"] for k in range(n))
+    assert len(got) == n and all(f"party{k:05d}_SUPPLY_AGREEMENT" == got[f"x-party{k:05d}_supply_agreement-template"] for k in range(n))
