@@ -153,3 +153,41 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.repeated_regions(docs).select(
         "doc_id", "first_doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_runs")
+
+
+ORACLES["op1_decontamination"] = """
+WITH d AS (SELECT doc_id, hash(text) AS k, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents WHERE text IS NOT NULL),
+i0 AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM benchmark WHERE text IS NOT NULL),
+i AS (SELECT min(item_id) AS item_id, t FROM i0 WHERE len(t) >= 8 GROUP BY t),
+dp AS (SELECT doc_id, k, t, unnest(range(1, len(t) + 1)) AS p FROM d),
+ip AS (SELECT item_id, t, unnest(range(1, len(t) + 1)) AS p FROM i),
+ds AS (SELECT doc_id, k, p, 0 AS m, [t[p], t[p + 1], t[p + 3], t[p + 6], t[p + 7]] AS s FROM dp WHERE p + 7 <= len(t)
+  UNION ALL SELECT doc_id, k, p, 1, [t[p], t[p + 1], t[p + 3], t[p + 4], t[p + 5]] FROM dp WHERE p + 5 <= len(t)),
+s AS (SELECT item_id, p, 0 AS m, [t[p], t[p + 1], t[p + 3], t[p + 6], t[p + 7]] AS s FROM ip WHERE p + 7 <= len(t)
+  UNION ALL SELECT item_id, p, 1, [t[p], t[p + 1], t[p + 3], t[p + 4], t[p + 5]] FROM ip WHERE p + 5 <= len(t)),
+g AS (SELECT DISTINCT doc_id, k, item_id, ds.p - s.p AS shift FROM ds JOIN s ON ds.m = s.m AND ds.s = s.s),
+l AS (SELECT g.doc_id, g.item_id, least(13, len(i.t)) AS w,
+    list_transform(range(1, len(i.t) + 1), lambda j: CASE WHEN j + shift >= 1 AND i.t[j] = d.t[j + shift] THEN 1 ELSE 0 END) AS same
+  FROM g JOIN d ON g.doc_id IS NOT DISTINCT FROM d.doc_id AND g.k = d.k JOIN i ON g.item_id = i.item_id),
+b AS (SELECT doc_id, item_id, w, list_sum(same) AS shared,
+    list_max(list_transform(range(1, len(same) - w + 2), lambda j: list_sum(same[j:j + w - 1]))) AS matched FROM l)
+SELECT doc_id, item_id, max(matched)::BIGINT AS matched, max(w)::BIGINT AS "window", max(shared)::BIGINT AS shared
+FROM b WHERE 100 * matched >= 76 * w GROUP BY doc_id, item_id
+"""
+
+ORACLES["op2_near_duplicates"] = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS t FROM documents),
+s AS (SELECT doc_id, CASE WHEN t IS NULL OR len(t) = 0 THEN []::VARCHAR[] WHEN len(t) = 1 THEN [t[1]]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(t)), lambda j: t[j] || ' ' || t[j + 1]))) END AS g FROM w),
+sets AS (SELECT g, min(doc_id) AS rep, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g),
+x AS (SELECT rep, n, unnest(g) AS c FROM sets),
+ov AS (SELECT a.rep AS a, b.rep AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.c = b.c AND a.rep < b.rep
+  AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.rep, b.rep),
+e AS (SELECT a, b FROM ov WHERE 100 * k >= 80 * (na + nb - k)),
+sym AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT rep AS a, rep AS b FROM sets UNION SELECT r.a, sym.b FROM r JOIN sym ON r.b = sym.a),
+c AS (SELECT a AS rep, min(b) AS component_id FROM r GROUP BY a)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id,
+  s.doc_id = coalesce(c.component_id, s.doc_id) AS kept
+FROM s LEFT JOIN sets ON s.g = sets.g LEFT JOIN c ON sets.rep = c.rep
+"""

@@ -33,7 +33,7 @@ def docs_of(spark):
     return [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()]
 
 
-@pytest.mark.parametrize("name", ["op6_url_filter", "op9_source_mix"])
+@pytest.mark.parametrize("name", ["op1_decontamination", "op2_near_duplicates", "op6_url_filter", "op9_source_mix"])
 def test_queries_with_sql(spark, entry, name):
     ok, note = compare(spark, connect(SF_DIR), name, entry.queries()[name], entry.oracle_sql()[name], SF_DIR)
     assert ok, note
