@@ -169,6 +169,31 @@ def test_op5_matches_brute_force(spark, entry):
     assert got == later
 
 
+def test_op5_covers_every_repeated_window_of_50_words(spark, entry):
+    import re
+
+    from clauseloom.llm.substring import repeated_regions
+
+    prose = [f"p{i}{'.' if i % 70 == 69 else ''}" for i in range(400)]  # clauses of 70 words; copies start and end inside them
+    made = [(1, " ".join(prose)), (2, "a start " + " ".join(prose[35:86]) + " an end"), (3, " ".join(prose[36:85])), (4, "x " + " ".join(prose[200:260]) + " y"),
+            (5, "z " + " ".join(prose[205:330])), (6, "same " * 120), (None, " ".join(prose[100:160]))]
+    for docs, rows in ((docs_of(spark), entry.queries()["op5_substring_dedup"](spark, SF_DIR).collect()),
+                       (made, repeated_regions(spark.createDataFrame(made, "doc_id long, text string")).collect())):
+        got, seen, wanted = {}, {}, {}
+        for r in rows:
+            got.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+        for i, text in sorted(docs, key=lambda d: (d[0] is None, d[0])):
+            words = [m.span() for m in re.finditer("[^\x20\x09-\x0D]+", text)]
+            for k in range(len(words) - 49):
+                window = tuple(text[a:b] for a, b in words[k:k + 50])
+                first, at = seen.setdefault(window, (i, words[k + 49][1]))
+                start = max(words[k][0], at) if first == i else words[k][0]
+                wanted.setdefault(i, set()).update(range(start, words[k + 49][1]))
+        assert all(cover <= got.get(i, set()) for i, cover in wanted.items() if cover)
+        if docs is made:
+            assert {i: c for i, c in wanted.items() if c} == got
+
+
 def test_op6_odd_urls(spark):
     from clauseloom.llm.urlfilter import judged
 
