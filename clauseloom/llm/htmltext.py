@@ -5,9 +5,17 @@ article text by their meaning (scripts, menus, footers, forms, adverts, comments
 set aside. For every other node the density is its characters per tag, adjusted for the
 share of characters and tags that stand in links; a container's score is the sum of its
 children's densities, and the container with the largest score holds the article. The
-lowest density on the way from it up to the body is the threshold: where the page has no
-article or main element around the winner, blocks elsewhere that reach it count as well.
-Inside the winner, link lists below the threshold are dropped.
+lowest density on the way from it up to the body is the threshold: blocks elsewhere that
+reach it count as well; where an article or main element is around the winner, only those
+inside the outermost of them, with the headings beside the way, and sibling articles.
+Inside the winner, lists of three links or more below the threshold are dropped where they
+stand before all text or, outside an article, after all text without a heading or colon
+that leads to them; headings, paragraphs and lists between or after text stay.
+
+Names of classes count if they are a word of the list; outside articles also if all their
+parts are list words or fillers ("related-posts"), and there ids count too. Neither counts for
+headings, sections and elements that hold more than half of the page's text (of comments
+beside an article it does).
 
 Text comes out in page order: one block per paragraph-like element, white space inside it
 as single spaces, character references decoded, blocks joined by an empty line. Nothing
@@ -59,33 +67,53 @@ NEVER_NAMES = frozenset(
     "breadcrumbs pagination pager footer sidebar aside widget rail cookie cookies consent gdpr notice banner alert popup modal overlay "
     "toast newsletter subscribe signup login comment comments disqus respond replies reply share sharing social related recommended "
     "recommendations".split())
+COMMENT_NAMES = frozenset("comment comments disqus respond replies reply".split())
+#: Words that go with those names in compounds and say nothing by themselves.
+FILLERS = frozenset(
+    "site page global top bottom left right main primary secondary box bar block list links link button buttons container wrapper wrap area "
+    "inner outer posts items icons form".split())
 ARTICLE = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+LISTS = frozenset("ul ol dl div table".split())
+MENU_LINKS = 3
 
 
 class Tree:
     """Nodes in page order; text pieces with the node and block they belong to."""
 
     def __init__(self) -> None:
-        self.tag, self.parent, self.skip = ["body"], [-1], [False]
+        self.tag, self.parent, self.skip = ["body"], [-1], [""]
         self.pieces: list[tuple[int, str]] = []  # (node, text); node -1 - n marks the edge of a block at node n
 
 
-def means_other(tag: str, attributes: str) -> bool:
-    """Whether an element is, by its tag or attributes, no article text."""
-    if tag in NEVER or tag == "header":
-        return True
+def named(token: str) -> str:
+    """What a class or id says: "header", "comments", "name" for other words of the list, "compound" with fillers, or nothing."""
+    parts = [part.lower() for part in NAME_PART.findall(token)]
+    if len(parts) == 1:
+        return "header" if parts[0] == "header" else "comments" if parts[0] in COMMENT_NAMES else "name" if parts[0] in NEVER_NAMES else ""
+    known = NEVER_NAMES.intersection(parts)
+    return "compound" if known and known | FILLERS >= set(parts) else ""
+
+
+def means_other(tag: str, attributes: str) -> str:
+    """Whether and by what an element is no article text: "meaning" (tag, role, hidden), "header", "comments", "name", "compound" (and ids), or nothing."""
+    if tag in NEVER:
+        return "meaning"
+    says = "header" if tag == "header" else ""
     if not attributes or tag in ("body", "html"):
-        return False
+        return says
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), values[0] or values[1] or values[2]
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
+            return "meaning"
         if key == "role" and value.lower() in NEVER_ROLES:
-            return True
-        if key in ("class", "id") and any(part.lower() in NEVER_NAMES or part.lower() == "header" for part in NAME_PART.findall(value)):
-            return True
-    return False
+            return "meaning"
+        if not says and tag not in HEADINGS and tag != "section":
+            if key == "class":
+                says = next(filter(None, map(named, value.split())), "")
+            elif key == "id" and named(value):
+                says = "compound"
+    return says
 
 
 def tree_of(html: str) -> Tree:
@@ -162,6 +190,40 @@ def tree_of(html: str) -> Tree:
             open_tags[tag] += 1
 
 
+def menus(tree: Tree, pieces: list[tuple[int, str]], root: int, article: bool, counts, linked) -> list[int]:
+    """The link lists of the root that are menus by their place: before all text, or after all of it without a lead."""
+    tags, parents = tree.tag, tree.parent
+    n = len(tags)
+    own_text, n_links = [t in HEADINGS or t == "p" for t in tags], [t == "a" for t in tags]
+    for i in range(n - 1, 0, -1):
+        own_text[parents[i]] |= own_text[i]
+        n_links[parents[i]] += n_links[i]
+    of = [-1] * n  # the outermost link list around
+    for i in range(root + 1, n):
+        of[i] = of[parents[i]]
+        if of[i] < 0 and counts(i) and tags[i] in LISTS and n_links[i] >= MENU_LINKS and not own_text[i] and linked(i):
+            p = parents[i]
+            while p != root and tags[p] not in HEADINGS and tags[p] not in ("p", "li", "dd"):
+                p = parents[p]
+            if p == root:
+                of[i] = i
+    if not any(i >= 0 for i in of):
+        return []
+    places: dict[int, list[int]] = {}
+    for k, (node, text) in enumerate(pieces):
+        if node >= 0 and counts(node) and text.strip():
+            places.setdefault(of[node], []).append(k)
+    text_at = places.pop(-1, None)
+    if not text_at:
+        return []
+    node, lead = pieces[text_at[-1]]
+    introduced = article or lead.rstrip().endswith(":")
+    while node > root and not introduced:
+        introduced = tags[node] in HEADINGS
+        node = parents[node]
+    return [i for i, at in places.items() if at[-1] < text_at[0] or at[0] > text_at[-1] and not introduced]
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -174,13 +236,26 @@ def main_text(html: str | None) -> str:
     for i in range(n - 1, 0, -1):
         articles[i] += tags[i] in ARTICLE
         articles[parents[i]] += articles[i]
+    held = [0] * n  # characters, what is out by meaning left out
+    meaning = [False] * n
+    for i in range(1, n):
+        meaning[i] = meaning[parents[i]] or skips[i] == "meaning"
+    for node, text in tree.pieces:
+        if node >= 0 and not meaning[node]:
+            held[node] += len(text) - text.count(" ") - text.count("\n")
+    for i in range(n - 1, 0, -1):
+        held[parents[i]] += held[i]
     inside, in_header, in_link = [False] * n, [False] * n, [False] * n
     out = [False] * n
     for i in range(1, n):
         p = parents[i]
         inside[i] = inside[p] or tags[i] in ARTICLE
-        own = skips[i] and not (articles[0] and articles[i] == articles[0])
-        if own and tags[i] == "header" and inside[p]:
+        own = bool(skips[i]) and not (articles[0] and articles[i] == articles[0])
+        if skips[i] == "compound" and inside[p]:
+            own = False
+        if own and skips[i] != "meaning" and tags[i] != "header" and 2 * held[i] > held[0]:  # most of the text
+            own = bool(articles[0]) and (skips[i] == "comments" or not articles[i] and not inside[p])
+        if own and skips[i] == "header" and inside[p]:
             own, in_header[i] = False, True
         in_header[i] = in_header[i] or in_header[p]
         out[i] = out[p] or own
@@ -246,16 +321,20 @@ def main_text(html: str | None) -> str:
     chosen[root] = True
     for i in range(root + 1, n):
         chosen[i] = chosen[parents[i]]
-        if chosen[i] and tags[i] not in INLINE and 2 * links[i] > chars[i] and dense[i] < threshold:
-            chosen[i] = False
-    if not around:
-        below, on_path = [False] * n, set(path)
-        below[root] = True
-        for i in range(1, n):
-            p = parents[i]
-            below[i] |= below[p]
-            if not below[i] and i not in on_path:
-                chosen[i] = chosen[p] or tags[i] not in INLINE and dense[i] >= threshold > 0
+    below, reached, on_path = [False] * n, [not around] * n, set(path)
+    below[root] = True
+    for i in range(1, n):
+        p = parents[i]
+        below[i] |= below[p]
+        if around:
+            reached[i] = reached[p] or i == around[-1] or p in on_path and tags[i] in ARTICLE and i not in on_path
+        if not below[i] and i not in on_path:
+            beside = bool(around) and p in on_path and tags[i] in HEADINGS and 2 * links[i] <= chars[i]
+            chosen[i] = chosen[p] or reached[i] and tags[i] not in INLINE and (dense[i] >= threshold > 0 or beside)
+    for i in menus(tree, pieces, root, bool(around), lambda i: below[i] and not out[i], lambda i: 2 * links[i] > chars[i] and dense[i] < threshold):
+        out[i] = True
+    for i in range(root + 1, n):
+        out[i] |= out[parents[i]]
     blocks, now = [], []
     for node, text in pieces:
         if node < 0:

@@ -220,6 +220,34 @@ def test_op7_pages(spark, entry):
         assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+def test_op7_keeps_what_is_text_by_its_place():
+    from clauseloom.llm.htmltext import main_text
+
+    def p(k):
+        return f"<p>Paragraph number {k} has a good many words in it, so that it counts as text, and one <a href=/x>link</a> among them.</p>"
+
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>Entry {k}</a></li>" for k in range(6)) + "</ul>"
+    refs = "<ol>" + "".join(f"<li><a href=/r{k}>Source {k}</a></li>" for k in range(4)) + "</ol>"
+    pages = [
+        (f"<body><nav>{menu}</nav><article><h2><a href=/t>Title</a></h2>{p(1)}<p><a href=/only>Whole paragraph link</a></p>{p(2)}<h2>References</h2>{refs}</article>",
+         ["Title", "Paragraph number 1", "Whole paragraph link", "Paragraph number 2", "References", "Source 0", "Source 3"], ["Entry"]),
+        (f"<body><article><div class='post-header'><h1>Name</h1></div>{p(1)}<h2 id='related-work'>Earlier</h2>{p(2)}<section id='social-impact'>{p(3)}</section>"
+         f"<section class='notice'>{p(4)}</section></article><div class='related-posts'>{p(5)}</div><div id='comments'>{p(6)}</div>",
+         ["Name", "Earlier", "number 1", "number 2", "number 3", "number 4"], ["number 5", "number 6"]),
+        (f"<body><div class='content has-sidebar'>{p(1)}{p(2)}</div><div class='sidebar'>{p(3)}</div>", ["number 1", "number 2"], ["number 3"]),
+        (f"<body><div class='widget'>{p(1)}{p(2)}{p(3)}</div><div class='share'>{p(4)}</div>", ["number 1", "number 2", "number 3"], ["number 4"]),
+        (f"<body><main><h1>Heading over it</h1><article>{p(1)}{p(2)}{p(3)}</article><article>{p(4)}</article></main><footer>End</footer>",
+         ["Heading over it", "number 1", "number 3", "number 4"], ["End"]),
+        (f"<body><div><article>{p(1)}{p(2)}{p(3)}</article><article>{p(4)}{p(5)}</article></div>", ["number 1", "number 3", "number 4", "number 5"], []),
+        (f"<body>{menu}{p(1)}{p(2)}{p(3)}<ul><li><a href=/a>About</a></li><li><a href=/b>Imprint</a></li><li><a href=/c>Terms</a></li></ul>",
+         ["number 1", "number 2", "number 3"], ["Entry", "Imprint"]),
+        (f"<body><article>{p(1)}</article><div class='comments'>{p(2)}{p(3)}{p(4)}</div>", ["number 1"], ["number 2"]),
+    ]
+    for html, kept, gone in pages:
+        text = main_text(html)
+        assert [x for x in kept if x not in text] == [] and [x for x in gone if x in text] == [], (html, text)
+
+
 def test_op8_spans_digest_and_masking(spark, entry, odd):
     from hashlib import sha256
 
