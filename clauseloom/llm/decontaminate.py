@@ -1,21 +1,22 @@
 """Benchmark passages in training text, by spaced seeds and substitution-tolerant overlaps.
 
-Tokens are runs of letters and digits, lower-cased. A mask of fixed offsets reads five
-tokens of a window of eight (the second: of six) and ignores the others; its hash is a seed. Seeds of all
-benchmark items and of all documents meet in an equi-join, and a shared seed puts an item
-and a document on a diagonal (the difference of the two positions). Only these diagonals
-are verified, token against token: a document is contaminated by an item if some window
-of ``WINDOW`` item tokens, or the whole of a shorter item, has at least ``PERCENT`` of its
-tokens at the same places of the document. Every window with up to two substitutions has
-a seed that misses both, under the first mask already (all 78 placements); with the
-second mask, 277 of the 286 placements of three are met too.
+Tokens are runs of letters and digits, lower-cased; in scripts without spaces each character
+is one. Each of ``MASKS`` reads five tokens of a window of at most eight and ignores the
+others; its hash is a seed. Seeds of all benchmark items and of all documents meet in an
+equi-join, and a shared seed puts an item and a document on a diagonal (the difference of
+the two positions). Only these diagonals are verified, token against token: a document is
+contaminated by an item if some window of ``WINDOW`` item tokens, or the whole of a shorter
+item, has at least ``PERCENT`` of its tokens at the same places of the document. For windows
+of 8 to 13 tokens every placement of the substitutions that ``PERCENT`` allows leaves a seed
+of some mask whole. An item of fewer than ``SPAN`` tokens has one seed, all its tokens, and
+is found as an exact copy.
 
 All of it is DataFrame functions. Seeds of the benchmark are broadcast if there are at most
 ``BROADCAST_SEEDS``, and joined by shuffle beyond it. A seed met often costs a row per
 document and item; verified rows are distinct.
 
-Defined cases: a text or item that is null or shorter than ``SPAN`` tokens has no seeds and
-matches nothing; items of equal tokens count as one, named by the smallest id; rows of one
+Defined cases: a text or item that is null or has no tokens has no seeds and matches
+nothing; items of equal tokens count as one, named by the smallest id; rows of one
 id are one document each for the search and one row in the result; a null document id is
 an id like another; empty tables give empty results; other columns are not looked at.
 """
@@ -25,7 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MASKS = ((0, 1, 3, 6, 7), (0, 1, 3, 4, 5))
+MASKS = ((0, 1, 3, 6, 7), (0, 1, 3, 4, 5), (0, 1, 2, 3, 6), (0, 1, 3, 5, 7), (0, 4, 5, 6, 7))
+#: A character of a script that is written without spaces.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 SPAN = 8
 WINDOW = 13
 PERCENT = 76
@@ -34,32 +37,43 @@ BROADCAST_SEEDS = 2_000_000
 
 def token_hashes(text: Column) -> Column:
     """array<long>: the hash of every token, in order."""
-    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    lower = F.lower(text)
+    apart = F.when(lower.rlike(UNSPACED), F.regexp_replace(lower, f"({UNSPACED})", " $1 ")).otherwise(lower)
+    words = F.split(apart, r"[^\p{L}\p{N}]+")
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def seeds(hashes: Column) -> Column:
+def masks(short: tuple[int, ...]) -> tuple[tuple[int, ...], ...]:
+    """The masks, and one for each length of short items."""
+    return MASKS + tuple(tuple(range(n)) for n in short)
+
+
+def seeds(hashes: Column, short: tuple[int, ...] = ()) -> Column:
     """array<long>: the seeds of the first mask by position, then those of the next."""
 
-    def of(number: int, mask: tuple[int, ...]) -> Column:
+    def of(mask: tuple[int, ...]) -> Column:
         last = F.size(hashes) - mask[-1]
+        number = F.lit(",".join(map(str, mask)))
         return F.when(last > 0, F.transform(
             F.sequence(F.lit(0), last - 1),
-            lambda i: F.xxhash64(F.lit(number), *(F.get(hashes, i + p) for p in mask)))).otherwise(F.array().cast("array<long>"))
+            lambda i: F.xxhash64(number, *(F.get(hashes, i + p) for p in mask)))).otherwise(F.array().cast("array<long>"))
 
-    return F.concat(*(of(k, m) for k, m in enumerate(MASKS)))
+    return F.concat(*map(of, masks(short)))
 
 
-def position(pos: Column, tokens: Column) -> Column:
+def position(pos: Column, tokens: Column, short: tuple[int, ...] = ()) -> Column:
     """The token position of an element of ``seeds``."""
-    first = F.greatest(F.lit(0), tokens - MASKS[0][-1])
-    return F.when(pos < first, pos).otherwise(pos - first)
+    at, before = F.lit(None).cast("int"), F.lit(0)
+    for mask in masks(short):
+        at = F.when(pos >= before, pos - before).otherwise(at)
+        before = before + F.greatest(F.lit(0), tokens - mask[-1])
+    return at
 
 
-def with_seeds(hashed: DataFrame, *kept: str) -> DataFrame:
+def with_seeds(hashed: DataFrame, *kept: str, short: tuple[int, ...] = ()) -> DataFrame:
     """One row per seed: the kept columns, seed and at (token position)."""
-    exploded = hashed.select(*kept, F.size("hashes").alias("tokens"), F.posexplode(seeds(F.col("hashes"))).alias("pos", "seed"))
-    return exploded.select(*kept, "seed", position(F.col("pos"), F.col("tokens")).alias("at"))
+    exploded = hashed.select(*kept, F.size("hashes").alias("tokens"), F.posexplode(seeds(F.col("hashes"), short)).alias("pos", "seed"))
+    return exploded.select(*kept, "seed", position(F.col("pos"), F.col("tokens"), short).alias("at"))
 
 
 def laid_on(item: Column, doc: Column, shift: Column) -> Column:
@@ -73,14 +87,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``matched`` tokens of ``window`` agree in the best window, ``shared`` on the whole diagonal.
     """
-    items = benchmark.select("item_id", token_hashes(F.col("text")).alias("hashes")).where(F.size("hashes") >= SPAN)
+    items = benchmark.select("item_id", token_hashes(F.col("text")).alias("hashes")).where(F.size("hashes") > 0)
     items = items.groupBy("hashes").agg(F.min("item_id").alias("item_id"))
-    item_seeds = with_seeds(items, "item_id").withColumnRenamed("at", "item_at")
+    few_tokens = items.where(F.size("hashes") < SPAN)
+    short = tuple(sorted(r[0] for r in few_tokens.select(F.size("hashes")).distinct().collect()))  # fewer than SPAN numbers
+    item_seeds = with_seeds(items.where(F.size("hashes") >= SPAN), "item_id")
+    for n in short:
+        whole = F.xxhash64(F.lit(",".join(map(str, range(n)))), *(F.get("hashes", F.lit(p)) for p in range(n)))
+        item_seeds = item_seeds.union(few_tokens.where(F.size("hashes") == n).select("item_id", whole.alias("seed"), F.lit(0).alias("at")))
+    item_seeds = item_seeds.withColumnRenamed("at", "item_at")
     few = item_seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
 
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     hashed = texts.select("doc_id", "text_key", token_hashes(F.col("text")).alias("hashes"))
-    hits = with_seeds(hashed, "doc_id", "text_key").join(F.broadcast(item_seeds) if few else item_seeds, "seed")
+    hits = with_seeds(hashed, "doc_id", "text_key", short=short).join(F.broadcast(item_seeds) if few else item_seeds, "seed")
     diagonals = hits.select("doc_id", "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
 
     d = diagonals.select(F.col("doc_id").alias("hit_doc"), F.col("text_key").alias("hit_key"), "item_id", "shift")

@@ -65,6 +65,22 @@ def test_op1_tolerates_substitutions_and_odd_rows(spark, odd):
     assert decontaminated(odd, bench).columns == odd.columns and decontaminated(odd, bench).count() == len(ODD_DOCS)
 
 
+def test_op1_has_a_seed_for_all_that_its_rule_allows(spark):
+    from itertools import combinations
+
+    from clauseloom.llm import decontaminate as d
+
+    for n in range(d.SPAN, d.WINDOW + 1):
+        changes = n - -(-d.PERCENT * n // 100)
+        for other in combinations(range(n), changes):
+            assert any(all(p + k not in other for k in mask) for mask in d.MASKS for p in range(n - mask[-1])), (n, other)
+    items = [(1, "n0 n1 n2 n3 n4 n5 n6 n7 n8"), (2, "who wrote it"), (3, "一二三四五六七八九十"), (4, "c0 c1 c2 c3 c4 c5 c6"), (5, "—")]
+    docs = [(1, "so n0 x n2 y n4 n5 n6 n7 n8 on"), (2, "And: Who wrote it?"), (3, "who wrote, or not, it"), (4, "前文一二三四五六七人九十後文"), (5, "c0 c1 c2 c3 c4 c5 c6"),
+            (6, "it"), (7, None), (8, "")]
+    got = d.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.matched, r.window) for r in got} == {(1, 1, 7, 9), (2, 2, 3, 3), (4, 3, 9, 10), (5, 4, 7, 7)}
+
+
 def test_op2_matches_brute_force(spark, entry):
     rows = entry.queries()["op2_near_duplicates"](spark, SF_DIR).collect()
     want = near_components(docs_of(spark), 2, 80)
