@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored, table
-from . import decontaminate, htmltext, langid, mixing, neardup, pii, quality, substring, tokencount, urlfilter
+from . import decontaminate, htmltext, langid, mixing, neardup, pii, quality, simhash, spelling, substring, tokenalign, tokencount, urlfilter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +23,8 @@ TOKEN_LIMIT = 4096
 
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokencount.with_token_counts(docs, public_tokenizers.path(TOKENIZER), TOKEN_LIMIT).select(
         "doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -155,6 +156,24 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "first_doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_runs")
 
 
+@query
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.grouped(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenalign.with_alignment(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path(TOKENIZER))
+
+
 ORACLES["op1_decontamination"] = """
 WITH d AS (SELECT doc_id, hash(text) AS k, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents WHERE text IS NOT NULL),
 i0 AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM benchmark WHERE text IS NOT NULL),
