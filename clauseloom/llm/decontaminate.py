@@ -38,42 +38,24 @@ BROADCAST_SEEDS = 2_000_000
 def token_hashes(text: Column) -> Column:
     """array<long>: the hash of every token, in order."""
     lower = F.lower(text)
-    apart = F.when(lower.rlike(UNSPACED), F.regexp_replace(lower, f"({UNSPACED})", " $1 ")).otherwise(lower)
-    words = F.split(apart, r"[^\p{L}\p{N}]+")
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
+    unspaced = (F.octet_length(text) != F.length(text)) & lower.rlike(UNSPACED)
+    apart = F.when(unspaced, F.regexp_replace(lower, f"({UNSPACED})", " $1 ")).otherwise(lower)
+    hashes = F.transform(F.split(apart, r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
+    return F.array_remove(hashes, F.xxhash64(F.lit("")))
 
 
-def masks(short: tuple[int, ...]) -> tuple[tuple[int, ...], ...]:
-    """The masks, and one for each length of short items."""
-    return MASKS + tuple(tuple(range(n)) for n in short)
-
-
-def seeds(hashes: Column, short: tuple[int, ...] = ()) -> Column:
-    """array<long>: the seeds of the first mask by position, then those of the next."""
-
-    def of(mask: tuple[int, ...]) -> Column:
-        last = F.size(hashes) - mask[-1]
-        number = F.lit(",".join(map(str, mask)))
-        return F.when(last > 0, F.transform(
-            F.sequence(F.lit(0), last - 1),
-            lambda i: F.xxhash64(number, *(F.get(hashes, i + p) for p in mask)))).otherwise(F.array().cast("array<long>"))
-
-    return F.concat(*map(of, masks(short)))
-
-
-def position(pos: Column, tokens: Column, short: tuple[int, ...] = ()) -> Column:
-    """The token position of an element of ``seeds``."""
-    at, before = F.lit(None).cast("int"), F.lit(0)
-    for mask in masks(short):
-        at = F.when(pos >= before, pos - before).otherwise(at)
-        before = before + F.greatest(F.lit(0), tokens - mask[-1])
-    return at
+def seed(mask: tuple[int, ...], tokens: list[Column]) -> Column:
+    """The seed of one mask from the tokens of its window, null if the window is not whole."""
+    return F.when(tokens[mask[-1]].isNotNull(), F.xxhash64(F.lit(",".join(map(str, mask))), *(tokens[p] for p in mask)))
 
 
 def with_seeds(hashed: DataFrame, *kept: str, short: tuple[int, ...] = ()) -> DataFrame:
-    """One row per seed: the kept columns, seed and at (token position)."""
-    exploded = hashed.select(*kept, F.size("hashes").alias("tokens"), F.posexplode(seeds(F.col("hashes"), short)).alias("pos", "seed"))
-    return exploded.select(*kept, "seed", position(F.col("pos"), F.col("tokens"), short).alias("at"))
+    """One row per seed: the kept columns, seed and at (token position); each length of short items is a mask too."""
+    shifted = [F.slice("hashes", p + 1, F.size("hashes")).alias(f"t{p}") for p in range(SPAN)]
+    places = hashed.select(*kept, F.posexplode(F.arrays_zip(*shifted)).alias("at", "w"))
+    tokens = [F.col(f"w.t{p}") for p in range(SPAN)]
+    found = F.array(*(seed(mask, tokens) for mask in MASKS + tuple(tuple(range(n)) for n in short)))
+    return places.select(*kept, "at", F.explode(found).alias("seed")).where("seed IS NOT NULL")
 
 
 def laid_on(item: Column, doc: Column, shift: Column) -> Column:
@@ -88,25 +70,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``matched`` tokens of ``window`` agree in the best window, ``shared`` on the whole diagonal.
     """
     items = benchmark.select("item_id", token_hashes(F.col("text")).alias("hashes")).where(F.size("hashes") > 0)
-    items = items.groupBy("hashes").agg(F.min("item_id").alias("item_id"))
+    items = items.groupBy("hashes").agg(F.min("item_id").alias("item_id")).withColumn("item_key", F.xxhash64("hashes"))
     few_tokens = items.where(F.size("hashes") < SPAN)
     short = tuple(sorted(r[0] for r in few_tokens.select(F.size("hashes")).distinct().collect()))  # fewer than SPAN numbers
-    item_seeds = with_seeds(items.where(F.size("hashes") >= SPAN), "item_id")
+    item_seeds = with_seeds(items.where(F.size("hashes") >= SPAN), "item_key").select("item_key", "seed", "at")
     for n in short:
-        whole = F.xxhash64(F.lit(",".join(map(str, range(n)))), *(F.get("hashes", F.lit(p)) for p in range(n)))
-        item_seeds = item_seeds.union(few_tokens.where(F.size("hashes") == n).select("item_id", whole.alias("seed"), F.lit(0).alias("at")))
+        whole = seed(tuple(range(n)), [F.get("hashes", F.lit(p)) for p in range(n)])
+        item_seeds = item_seeds.union(few_tokens.where(F.size("hashes") == n).select("item_key", whole.alias("seed"), F.lit(0).alias("at")))
     item_seeds = item_seeds.withColumnRenamed("at", "item_at")
     few = item_seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
 
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     hashed = texts.select("doc_id", "text_key", token_hashes(F.col("text")).alias("hashes"))
     hits = with_seeds(hashed, "doc_id", "text_key", short=short).join(F.broadcast(item_seeds) if few else item_seeds, "seed")
-    diagonals = hits.select("doc_id", "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    diagonals = hits.select("doc_id", "text_key", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
 
-    d = diagonals.select(F.col("doc_id").alias("hit_doc"), F.col("text_key").alias("hit_key"), "item_id", "shift")
+    d = diagonals.select(F.col("doc_id").alias("hit_doc"), F.col("text_key").alias("hit_key"), "item_key", "shift")
     found = texts.join(d, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("text_key") == F.col("hit_key")))
-    found = found.select("doc_id", "item_id", "shift", token_hashes(F.col("text")).alias("tokens"))
-    found = found.join(items.withColumnRenamed("item_id", "i"), F.col("item_id").eqNullSafe(F.col("i")))
+    found = found.select("doc_id", "item_key", "shift", token_hashes(F.col("text")).alias("tokens")).join(items, "item_key")
     laid = found.select("doc_id", "item_id", laid_on(F.col("hashes"), F.col("tokens"), F.col("shift")).alias("same"))
     window = F.least(F.lit(WINDOW), F.size("same"))
     laid = laid.withColumn("window", window)

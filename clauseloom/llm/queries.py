@@ -175,19 +175,21 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op1_decontamination"] = """
-WITH d AS (SELECT doc_id, hash(text) AS k, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents WHERE text IS NOT NULL),
-i0 AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM benchmark WHERE text IS NOT NULL),
-i AS (SELECT min(item_id) AS item_id, t FROM i0 WHERE len(t) >= 8 GROUP BY t),
+WITH d AS (SELECT doc_id, hash(text) AS k, list_filter(regexp_split_to_array(regexp_replace(lower(text), '([\\p{Han}\\p{Hiragana}\\p{Katakana}\\p{Thai}\\p{Lao}\\p{Khmer}\\p{Myanmar}])', ' \\1 ', 'g'), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents WHERE text IS NOT NULL),
+i0 AS (SELECT item_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '([\\p{Han}\\p{Hiragana}\\p{Katakana}\\p{Thai}\\p{Lao}\\p{Khmer}\\p{Myanmar}])', ' \\1 ', 'g'), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM benchmark WHERE text IS NOT NULL),
+i AS (SELECT min(item_id) AS item_id, t, hash(t) AS ik FROM i0 WHERE len(t) >= 1 GROUP BY t),
+short AS (SELECT DISTINCT len(t) AS n FROM i WHERE len(t) < 8),
 dp AS (SELECT doc_id, k, t, unnest(range(1, len(t) + 1)) AS p FROM d),
-ip AS (SELECT item_id, t, unnest(range(1, len(t) + 1)) AS p FROM i),
-ds AS (SELECT doc_id, k, p, 0 AS m, [t[p], t[p + 1], t[p + 3], t[p + 6], t[p + 7]] AS s FROM dp WHERE p + 7 <= len(t)
-  UNION ALL SELECT doc_id, k, p, 1, [t[p], t[p + 1], t[p + 3], t[p + 4], t[p + 5]] FROM dp WHERE p + 5 <= len(t)),
-s AS (SELECT item_id, p, 0 AS m, [t[p], t[p + 1], t[p + 3], t[p + 6], t[p + 7]] AS s FROM ip WHERE p + 7 <= len(t)
-  UNION ALL SELECT item_id, p, 1, [t[p], t[p + 1], t[p + 3], t[p + 4], t[p + 5]] FROM ip WHERE p + 5 <= len(t)),
-g AS (SELECT DISTINCT doc_id, k, item_id, ds.p - s.p AS shift FROM ds JOIN s ON ds.m = s.m AND ds.s = s.s),
-l AS (SELECT g.doc_id, g.item_id, least(13, len(i.t)) AS w,
+ip AS (SELECT ik, t, unnest(range(1, len(t) + 1)) AS p FROM i WHERE len(t) >= 8),
+masks(m, x) AS (VALUES (0, [0, 1, 3, 6, 7]), (1, [0, 1, 3, 4, 5]), (2, [0, 1, 2, 3, 6]), (3, [0, 1, 3, 5, 7]), (4, [0, 4, 5, 6, 7])),
+ds AS (SELECT doc_id, k, p, m, hash([t[p], t[p + x[2]], t[p + x[3]], t[p + x[4]], t[p + x[5]]]) AS s FROM dp, masks WHERE p + x[5] <= len(t)
+  UNION ALL SELECT doc_id, k, p, -n, hash(t[p:p + n - 1]) FROM dp, short WHERE p + n - 1 <= len(t)),
+s AS (SELECT ik, p, m, hash([t[p], t[p + x[2]], t[p + x[3]], t[p + x[4]], t[p + x[5]]]) AS s FROM ip, masks WHERE p + x[5] <= len(t)
+  UNION ALL SELECT ik, 1, -len(t), hash(t) FROM i WHERE len(t) < 8),
+g AS (SELECT DISTINCT doc_id, k, ik, ds.p - s.p AS shift FROM ds JOIN s ON ds.m = s.m AND ds.s = s.s),
+l AS (SELECT g.doc_id, i.item_id, least(13, len(i.t)) AS w,
     list_transform(range(1, len(i.t) + 1), lambda j: CASE WHEN j + shift >= 1 AND i.t[j] = d.t[j + shift] THEN 1 ELSE 0 END) AS same
-  FROM g JOIN d ON g.doc_id IS NOT DISTINCT FROM d.doc_id AND g.k = d.k JOIN i ON g.item_id = i.item_id),
+  FROM g JOIN d ON g.doc_id IS NOT DISTINCT FROM d.doc_id AND g.k = d.k JOIN i ON g.ik = i.ik),
 b AS (SELECT doc_id, item_id, w, list_sum(same) AS shared,
     list_max(list_transform(range(1, len(same) - w + 2), lambda j: list_sum(same[j:j + w - 1]))) AS matched FROM l)
 SELECT doc_id, item_id, max(matched)::BIGINT AS matched, max(w)::BIGINT AS "window", max(shared)::BIGINT AS shared
