@@ -25,10 +25,11 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from ..session import scratch_path, stored
 #: Id pairs that are sent to all tasks at most.
 FREQUENT = 100_000
 #: Segments kept per Python worker, and the longest that is kept; pairs counted in a task before they are passed on.
-KEPT_SEGMENTS, KEPT_LENGTH, HELD_PAIRS = 300_000, 64, 1_000_000
+KEPT_SEGMENTS, KEPT_LENGTH, HELD_PAIRS = 500_000, 48, 500_000
 #: A space between two characters that neither tokenizer takes for white space or ignores.
 IGNORED = r"\s\x1c-\x1f\u180e\u200b-\u200f\u2060\ufeff"
 CUT = re.compile(f"(?<=[^{IGNORED}]) (?=[^{IGNORED}])")
@@ -54,17 +55,15 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-def aligned(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int, int]]:
-    """The groups as (first A, end A, first B, end B), from the cumulative byte ends of both token lists."""
-    index_a, index_b = {end: k for k, end in enumerate(ends_a, 1)}, {end: k for k, end in enumerate(ends_b, 1)}
+def aligned(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """The common ends, and where they cut both token lists, from the cumulative byte ends of these."""
+    index_a, index_b = dict(zip(ends_a, range(1, len(ends_a) + 1))), dict(zip(ends_b, range(1, len(ends_b) + 1)))
     common = sorted(index_a.keys() & index_b.keys())
-    at_a, at_b = [0, *(index_a[e] for e in common)], [0, *(index_b[e] for e in common)]
-    return list(zip(at_a, at_a[1:], at_b, at_b[1:]))
+    return common, [0, *map(index_a.__getitem__, common)], [0, *map(index_b.__getitem__, common)]
 
 
-def links_of(group: tuple[int, int, int, int], ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int]]:
-    """The pairs of token numbers of a group whose bytes overlap."""
-    a, last_a, b, last_b = group
+def links_of(a: int, last_a: int, b: int, last_b: int, ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int]]:
+    """The pairs of token numbers of a group (two slices) whose bytes overlap."""
     while a < last_a and b < last_b:
         yield a, b
         end_a, end_b = ends_a[a], ends_b[b]
@@ -91,34 +90,56 @@ class Aligner:
                         for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]]
         if max(self.bytes_a) >= 1 << 16 or len(self.bytes_b) > 1 << 16:
             raise ValueError("ids of either tokenizer must be below 65,536")
+        self.text = list(map(str, range(1 << 16)))
         self.known: dict[str, tuple | None] = {}
-
-    def result(self, segment: str, ids_a: list[int], ids_b: list[int]) -> tuple | None:
-        """(n_a, n_b, groups as text, links as packed id pairs, groups), or None if the bytes differ."""
-        parts_a, parts_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if b"".join(parts_a) != (own := segment.encode()) or b"".join(parts_b) != own:
-            return None
+        self.long: list[str] = []
+
+    def results(self, segments: list[str], ids_a: list[list[int]], ids_b: list[list[int]]) -> dict[str, tuple | None]:
+        """Per segment (n_a, n_b, number of groups, groups as text, links as packed id pairs), or None if the bytes differ.
+
+        The segments, each led by a space, are aligned as one text; the end of each is an end of both tokenizers.
+        """
+        spelt = [b" " + s.encode() for s in segments]
+        a, b = list(chain.from_iterable(ids_a)), list(chain.from_iterable(ids_b))
+        parts_a, parts_b, own = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b], b"".join(spelt)
+        if b"".join(parts_a) != own or b"".join(parts_b) != own:
+            spells = lambda k: spelt[k] == b"".join([self.bytes_a[i] for i in ids_a[k]]) == b"".join([self.bytes_b[i] for i in ids_b[k]])
+            good = list(filter(spells, range(len(segments))))
+            found = self.results(*([x[k] for k in good] for x in (segments, ids_a, ids_b))) if good else {}
+            return dict.fromkeys(segments) | found
         ends_a, ends_b = list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b)))
-        groups = aligned(ends_a, ends_b)
-        links = [ids_a[x] << 16 | ids_b[y] for g in groups for x, y in links_of(g, ends_a, ends_b)]
-        slices = [(ids_a[a:z], ids_b[b:y]) for a, z, b, y in groups]
-        written = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in slices)
-        return len(ids_a), len(ids_b), written, np.array(links, np.uint32), slices
+        common, at_a, at_b = aligned(ends_a, ends_b)
+        links, written, text = array("I"), [], self.text
+        for x, end_x, y, end_y in zip(at_a, at_a[1:], at_b, at_b[1:]):
+            if end_x - x == 1 == end_y - y:
+                i, j = a[x], b[y]
+                links.append(i << 16 | j)
+                written.append(f"{text[i]}|{text[j]}")
+            else:
+                links.extend([a[i] << 16 | b[j] for i, j in links_of(x, end_x, y, end_y, ends_a, ends_b)])
+                written.append(f"{','.join([text[i] for i in a[x:end_x]])}|{','.join([text[i] for i in b[y:end_y]])}")
+        group_at = dict(zip(common, range(1, len(common) + 1)))
+        out, packed, first, link = {}, links.tobytes(), 0, 0
+        for segment, end, x, y in zip(segments, accumulate(map(len, spelt)), ids_a, ids_b):
+            last = group_at[end]
+            last_link = link + len(x) + len(y) - last + first  # a group of m and n tokens has m + n - 1 links
+            out[segment] = len(x), len(y), last - first, ";".join(written[first:last]), packed[4 * link:4 * last_link]
+            first, link = last, last_link
+        return out
 
     def segments(self, texts: list[str | None]) -> tuple[list[list[str]], dict[str, tuple | None]]:
-        """The segments of each text, each with a leading space, and the results of all of them."""
-        cut = [[" " + s for s in CUT.split(" " + t)] if t else [] for t in texts]
-        for parts in cut:
-            if parts:
-                parts[0] = parts[0][1:]
-        wanted = set().union(*cut)
+        """The segments of each text without their leading spaces, and the results of these and others."""
         if len(self.known) > KEPT_SEGMENTS:
-            self.known.clear()
-        new = [s for s in wanted if s not in self.known]
-        coded = zip(new, self.a.encode_batch(new, add_special_tokens=False), self.b.encode([s[1:] for s in new], num_threads=1)) if new else ()
-        results = {s: self.result(s, x.ids, y) for s, x, y in coded}
-        self.known |= {s: r for s, r in results.items() if len(s) <= KEPT_LENGTH}
-        return cut, {s: self.known[s] if s in self.known else results[s] for s in wanted}
+            self.known = {}
+        for s in self.long:
+            self.known.pop(s, None)
+        cut = [CUT.split(t) if t else [] for t in texts]
+        new = list(set(chain.from_iterable(cut)).difference(self.known))
+        if new:
+            ids_a = [e.ids for e in self.a.encode_batch([" " + s for s in new], add_special_tokens=False)]
+            self.known |= self.results(new, ids_a, self.b.encode(new, num_threads=1))
+        self.long = [s for s in new if len(s) > KEPT_LENGTH]
+        return cut, self.known
 
 
 @lru_cache(maxsize=2)
@@ -127,7 +148,7 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
-def pieces_of(texts: list[str | None], letters: int = 1_000_000) -> Iterator[list[str | None]]:
+def pieces_of(texts: list[str | None], letters: int = 200_000) -> Iterator[list[str | None]]:
     """Consecutive texts, up to so many characters or one text at a time."""
     part, size = [], 0
     for t in texts:
@@ -150,7 +171,8 @@ def groups(text: Column, path_a: str, path_b: str) -> Column:
             cut, of = aligner(path_a, path_b).segments(part)
             for parts in cut:
                 found = [of[s] for s in parts]
-                out.append([] if None in found else [{"a": x, "b": y} for f in found for x, y in f[4]])
+                written = ";".join([f[3] for f in found]) if found and None not in found else ""
+                out.append([{k: list(map(int, ids.split(","))) for k, ids in zip("ab", g.split("|"))} for g in written.split(";") if g])
         return pa.array(out, pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])))
 
     return group(text)
@@ -171,10 +193,10 @@ def digests(text: Column, path_a: str, path_b: str) -> Column:
                 if not found or None in found:
                     rows.append((0, 0, 0, 0, "", b"", b""))
                     continue
-                n_a, n_b, written, links, slices = zip(*found)
-                linked = np.concatenate(links)
+                n_a, n_b, n_groups, written, links = zip(*found)
+                linked = np.frombuffer(b"".join(links), np.uint32)
                 pairs, counts = np.unique(linked, return_counts=True)
-                rows.append((sum(n_a), sum(n_b), sum(map(len, slices)), len(linked), sha256(";".join(written).encode()).hexdigest(),
+                rows.append((sum(n_a), sum(n_b), sum(n_groups), len(linked), sha256(";".join(written).encode()).hexdigest(),
                              pairs.tobytes(), counts.astype(np.uint32).tobytes()))
         return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 7, kind)], fields=list(kind))
 
