@@ -41,7 +41,7 @@ DAMAGED = 31
 #: Words counted in a task before they are passed on.
 HELD_WORDS = 300_000
 #: Letters of a chunk of a block, at most about; words and cells of the table searched at once, and queries of a step.
-BLOCK_LETTERS, BATCH_WORDS, BATCH_CELLS, QUERIES = 60_000, 4096, 400_000, 512
+BLOCK_LETTERS, BATCH_WORDS, BATCH_CELLS, QUERIES = 20_000, 1024, 400_000, 1024
 _U = np.uint64
 
 
