@@ -12,10 +12,11 @@ Inside the winner, lists of three links or more below the threshold are dropped
 stand before all text or, outside an article, after all text without a heading or colon
 that leads to them; headings, paragraphs and lists between or after text stay.
 
-Names of classes count if they are a word of the list; outside articles also if all their
-parts are list words or fillers ("related-posts"), and there ids count too. Neither counts for
-headings, sections and elements that hold more than half of the page's text (of comments
-beside an article it does).
+Names of classes count if they are a word of the list; outside article elements also if all
+their parts are list words or fillers ("related-posts"), and there ids and names of sections
+count too. Names of adverts, cookie notices, newsletters and reader comments count everywhere,
+as compounds and ids too. None counts for headings and elements that hold more than half of the
+page's text (of comments beside an article it does).
 
 Text comes out in page order: one block per paragraph-like element, white space inside it
 as single spaces, character references decoded, blocks joined by an empty line. Nothing
@@ -68,10 +69,14 @@ NEVER_NAMES = frozenset(
     "toast newsletter subscribe signup login comment comments disqus respond replies reply share sharing social related recommended "
     "recommendations".split())
 COMMENT_NAMES = frozenset("comment comments disqus respond replies reply".split())
+COMMENT_WORD = re.compile("comments?(?:list|area|form|section|thread|box|block|body|feed|wrap|wrapper|container)s?")
+ADVERT_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr newsletter "
+    "subscribe".split())
 #: Words that go with those names in compounds and say nothing by themselves.
 FILLERS = frozenset(
     "site page global top bottom left right main primary secondary box bar block list links link button buttons container wrapper wrap area "
-    "inner outer posts items icons form".split())
+    "inner outer posts items icons form user users reader readers thread threads section slot unit zone panel feed title count".split())
 ARTICLE = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 LISTS = frozenset("ul ol dl div table".split())
@@ -87,16 +92,18 @@ class Tree:
 
 
 def named(token: str) -> str:
-    """What a class or id says: "header", "comments", "name" for other words of the list, "compound" with fillers, or nothing."""
-    parts = [part.lower() for part in NAME_PART.findall(token)]
-    if len(parts) == 1:
-        return "header" if parts[0] == "header" else "comments" if parts[0] in COMMENT_NAMES else "name" if parts[0] in NEVER_NAMES else ""
+    """What a class or id says: "header", "comments", "advert", "name" for other words of the list, "compound" with fillers, or nothing."""
+    parts = ["comments" if COMMENT_WORD.fullmatch(part) else part for part in map(str.lower, NAME_PART.findall(token))]
     known = NEVER_NAMES.intersection(parts)
-    return "compound" if known and known | FILLERS >= set(parts) else ""
+    if parts == ["header"]:
+        return "header"
+    if not known or not known | FILLERS >= set(parts):
+        return ""
+    return "comments" if COMMENT_NAMES & known else "advert" if ADVERT_NAMES & known else "name" if len(parts) == 1 else "compound"
 
 
 def means_other(tag: str, attributes: str) -> str:
-    """Whether and by what an element is no article text: "meaning" (tag, role, hidden), "header", "comments", "name", "compound" (and ids), or nothing."""
+    """Whether and by what an element is no article text: "meaning" (tag, role, hidden), "header", "comments", "advert", "name", "compound" (also ids and sections), or nothing."""
     if tag in NEVER:
         return "meaning"
     says = "header" if tag == "header" else ""
@@ -108,10 +115,9 @@ def means_other(tag: str, attributes: str) -> str:
             return "meaning"
         if key == "role" and value.lower() in NEVER_ROLES:
             return "meaning"
-        if not says and tag not in HEADINGS and tag != "section":
-            if key == "class":
-                says = next(filter(None, map(named, value.split())), "")
-            elif key == "id" and named(value):
+        if not says and tag not in HEADINGS and key in ("class", "id"):
+            says = next(filter(None, map(named, value.split())), "")
+            if says in ("name", "header") and (key == "id" or tag == "section"):
                 says = "compound"
     return says
 
@@ -245,13 +251,14 @@ def main_text(html: str | None) -> str:
             held[node] += len(text) - text.count(" ") - text.count("\n")
     for i in range(n - 1, 0, -1):
         held[parents[i]] += held[i]
-    inside, in_header, in_link = [False] * n, [False] * n, [False] * n
+    inside, in_article, in_header, in_link = [False] * n, [False] * n, [False] * n, [False] * n
     out = [False] * n
     for i in range(1, n):
         p = parents[i]
         inside[i] = inside[p] or tags[i] in ARTICLE
+        in_article[i] = in_article[p] or tags[i] == "article"
         own = bool(skips[i]) and not (articles[0] and articles[i] == articles[0])
-        if skips[i] == "compound" and inside[p]:
+        if skips[i] == "compound" and in_article[p]:
             own = False
         if own and skips[i] != "meaning" and tags[i] != "header" and 2 * held[i] > held[0]:  # most of the text
             own = bool(articles[0]) and (skips[i] == "comments" or not articles[i] and not inside[p])
