@@ -188,7 +188,7 @@ def windows(text: Column, within: Column, passage: int) -> Column:
 def repeated_passages(docs: DataFrame, place: Column, passage: int) -> DataFrame:
     """(doc_id, text_key, h1, h2, start, end): blocks, and windows of blocks whose anchor stands in other blocks too."""
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    every = stored(docs.select("doc_id", "text_key", F.inline(blocks(F.col("text"), passage))), "substring-blocks")
+    every = docs.select("doc_id", "text_key", F.inline(blocks(F.col("text"), passage)))  # read twice rather than stored
     several = (F.min("h1") < F.max("h1")) | (F.min("h2") < F.max("h2"))
     shared = stored(every.groupBy("anchor").agg(F.count("*").alias("n"), several.alias("several")).where("n > 1").drop("n"), "substring-anchors")
     met = stored(every.join(shared, "anchor"), "substring-met")

@@ -79,6 +79,9 @@ def test_op1_has_a_seed_for_all_that_its_rule_allows(spark):
             (6, "it"), (7, None), (8, "")]
     got = d.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id, r.matched, r.window) for r in got} == {(1, 1, 7, 9), (2, 2, 3, 3), (4, 3, 9, 10), (5, 4, 7, 7)}
+    nameless = [(None, items[0][1]), (None, items[3][1])]  # items are told apart by their tokens, not by their ids
+    got = d.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(nameless, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.matched, r.window) for r in got} == {(1, None, 7, 9), (5, None, 7, 7)}
 
 
 def test_op2_matches_brute_force(spark, entry):
@@ -161,28 +164,32 @@ def test_op5_cuts_repeats_but_the_first(spark, odd):
 
 
 def test_op5_matches_brute_force(spark, entry):
+    """Runs of sentences and windows of 50 words, each covered unless it is the first of its kind."""
     import re
 
     got = {}
     for r in entry.queries()["op5_substring_dedup"](spark, SF_DIR).collect():
         got.setdefault(r.doc_id, set()).update(range(r.start, r.end))
-    seen, later = set(), {}
+    seen, first, later = set(), {}, {}
     for i, text in sorted(docs_of(spark)):
         words = [(m.start(), m.end(), m[0]) for m in re.finditer("[^\x20\x09-\x0D]+", text)]
         ends = [k for k, (a, b, w) in enumerate(words)
                 if k + 1 == len(words) or re.search(r"[.!?,;:|][!-/:-@\[-`{-~]{0,7}$", w) or "\n" in text[b:words[k + 1][0]]]
         starts = [0] + [k + 1 for k in ends[:-1]]
-        own = []
         for k, s in enumerate(starts):
             for e in ends[k + 1:]:
                 if e - s + 1 >= 20:
-                    own.append((tuple(w for _, _, w in words[s:e + 1]), words[s][0], words[e][1]))
+                    run = tuple(w for _, _, w in words[s:e + 1])
+                    if run in seen:
+                        later.setdefault(i, set()).update(range(words[s][0], words[e][1]))
+                    seen.add(run)
                     break
-        for run, a, b in own:
-            if run in seen:
-                later.setdefault(i, set()).update(range(a, b))
-            seen.add(run)
-    assert got == later
+        for k in range(len(words) - 49):
+            window = tuple(w for _, _, w in words[k:k + 50])
+            doc, end = first.setdefault(window, (i, words[k + 49][1]))
+            if (doc, end) != (i, words[k + 49][1]):
+                later.setdefault(i, set()).update(range(max(words[k][0], end if doc == i else 0), words[k + 49][1]))
+    assert got == {i: x for i, x in later.items() if x}
 
 
 def test_op5_covers_every_repeated_window_of_50_words(spark, entry):
@@ -264,6 +271,93 @@ def test_op7_keeps_what_is_text_by_its_place():
         assert [x for x in kept if x not in text] == [] and [x for x in gone if x in text] == [], (html, text)
 
 
+def test_op7_leaves_out_what_readers_and_advertisers_write():
+    from clauseloom.llm.htmltext import main_text
+
+    text = "".join(f"<p>Sentence number {k} of the article has a good many words, and a comma or two.</p>" for k in range(4))
+    other = "<p>Somebody else wrote this, which is long enough to be taken for text as well.</p>"
+    for tag, name in (("section", "id=comments"), ("section", "class=comments"), ("section", "class=comment-list"), ("div", "class=user-comments"),
+                      ("ol", "class=commentlist"), ("div", "class=comment-thread"), ("section", "class=newsletter"), ("div", "class=ad-slot"),
+                      ("div", "id=sidebar"), ("div", "class='cookie-banner'"), ("div", "id=disqus_thread"), ("div", "class=commentsSection")):
+        for around in ("<div class=content>%s</div>%s", "<main>%s%s</main>", "<main><div>%s</div></main>%s", "<article>%s</article>%s", "<body>%s%s"):
+            got = main_text(around % (text, f"<{tag} {name}>{other}</{tag}>"))
+            assert "number 3" in got and "Somebody" not in got, (tag, name, around)
+
+
+def test_op7_matches_densities_computed_plainly():
+    import math
+    import random
+    from xml.etree import ElementTree as E
+
+    from clauseloom.llm.htmltext import main_text
+
+    rnd = random.Random(11)
+
+    def words(n):
+        return " ".join(rnd.choice(("alpha", "beta", "of", "gamma")) + str(rnd.randrange(99)) for _ in range(n))
+
+    def grown(depth):
+        node = E.Element("div")
+        for _ in range(rnd.randrange(1, 5)):
+            if depth and rnd.random() < 0.5:
+                node.append(grown(depth - 1))
+            else:
+                p = E.SubElement(node, "p")
+                p.text = words(rnd.randrange(1, 40))
+                for _ in range(rnd.choice((0, 0, 1, 2))):
+                    a = E.SubElement(p, "a", href="/x")
+                    a.text, a.tail = words(rnd.randrange(1, 6)), words(rnd.randrange(0, 9))
+        return node
+
+    def figures(node):
+        """characters, tags, characters and tags in links"""
+        letters = lambda e: sum(len(x.replace(" ", "")) for x in e.itertext())
+        links = list(node.iter("a"))
+        return letters(node), sum(1 for _ in node.iter()) - 1, letters(node) if node.tag == "a" else sum(map(letters, links)), len(links) - (node.tag == "a")
+
+    for _ in range(150):
+        body = E.Element("body")
+        for _ in range(rnd.randrange(1, 4)):
+            body.append(grown(3))
+        share = figures(body)[2] / figures(body)[0]
+
+        def density(node):
+            c, t, lc, lt = figures(node)
+            t = t or 1
+            if not share:
+                return c / t
+            return c / t * math.log(max(1, c / max(1, lc) * t / max(1, lt))) / math.log(math.log(c * lc / max(1, c - lc) + share * c + math.e))
+
+        parent = {x: y for y in body.iter() for x in y}
+        score = {x: sum(density(y) for y in x) for x in body.iter() if x.tag in ("body", "div")}
+        best = max(score.values())
+        winner = next(x for x in body.iter() if score.get(x, -1) >= best)
+        path, x = [winner], winner
+        while x in parent:
+            x = parent[x]
+            path.append(x)
+        threshold = min(map(density, path))
+
+        def kept(p):
+            ways, x = [p], p
+            while x in parent:
+                x = parent[x]
+                ways.append(x)
+            return winner in ways or any(density(x) >= threshold > 0 for x in ways if x not in path)
+
+        want = [" ".join("".join(p.itertext()).split()) for p in body.iter("p") if kept(p)]
+        assert main_text(E.tostring(body, "unicode")) == "\n\n".join(x for x in want if x)
+
+
+def test_op7_odd_tables(spark):
+    from clauseloom.llm.htmltext import with_main_text
+
+    rows = [(None, None), (1, "<p>one"), (1, "<p>one"), (2, ""), (2, "<p>" + "long word " * 30000)]
+    pages = spark.createDataFrame(rows, "page_id long, html string").withColumn("text", F.lit("replaced")).withColumn("url", F.lit(None).cast("string"))
+    assert sorted((r.page_id or 0, len(r.text)) for r in with_main_text(pages).collect()) == [(0, 0), (1, 3), (1, 3), (2, 0), (2, 299999)]
+    assert with_main_text(pages.limit(0)).count() == 0 and set(with_main_text(pages).columns) == set(pages.columns)
+
+
 def test_op8_spans_digest_and_masking(spark, entry, odd):
     from hashlib import sha256
 
