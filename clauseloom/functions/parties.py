@@ -25,6 +25,8 @@ NAME_SUFFIXES = (
 )
 # A suffix starts a word with a capital: "Company" and "CO." count, "limited to" and "disco" do not.
 SUFFIX_START = r"\b(?-i:(?=[A-Z]))"
+#: "Co" ends a name only before punctuation or at the end; in prose it starts a word or is one.
+NOT_A_WORD_CO = r"(?!(?<=\bCo)(?!\.\s*[a-z,;]|[,;)\"']|\s*$))"
 DESCRIPTION_STARTS = r"a\s+|having\s+|with\s+|organized\s+"
 STOP_PHRASES = [
     r",\s*a\s+(?:delaware|california|new\s+york|nevada|texas|florida)\s+(?:corporation|company|llc)",
@@ -213,7 +215,7 @@ def parties_by_suffix(text: Column, window: int | None = None) -> Column:
     opening = _opening(text, window)
     found = F.concat(
         F.regexp_extract_all(opening, F.lit(rx(
-            rf"\b((?-i:[A-Z])[a-zA-Z\s&\.,\-']{{5,60}}{SUFFIX_START}(?:{SHORT_SUFFIXES})\.?)\b")), 1),
+            rf"\b((?-i:[A-Z])[a-zA-Z\s&\.,\-']{{5,60}}{SUFFIX_START}(?:{SHORT_SUFFIXES})\.?)\b{NOT_A_WORD_CO}")), 1),
         F.regexp_extract_all(opening, F.lit(rx(
             rf'"((?-i:[A-Z])[^"]{{5,60}}{SUFFIX_START}(?:{SHORT_SUFFIXES})\.?)"')), 1))
 

@@ -1,9 +1,9 @@
 """Exact vector similarity: blocks of vectors meet in tasks, numpy multiplies them.
 
-Vectors are hashed by their unique id into blocks of bounded size, so no block
-depends on how labels or sources are distributed.  Each pair of blocks is one
-row of an equi-join; a task returns only what was asked for (pairs over a
-threshold, the best k per vector, or partial statistics), never all pairs.
+Blocks of vectors have a bounded size; they are cut by unique id, within cells of
+near vectors where bounds can spare pairs of blocks (``cells``).  Each pair of
+blocks is one row of an equi-join; a task returns only what was asked for (pairs
+over a threshold, the best k per vector, or partial statistics), never all pairs.
 """
 
 from __future__ import annotations
@@ -12,11 +12,17 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clauseloom.operators import cells
+from clauseloom.session import stored
+
 EPSILON = 1e-8
 BLOCK_ROWS = 1024
+#: Queries that one task holds at once.
+QUERY_ROWS = 8192
 
 
 def normalized(vec: Column) -> Column:
@@ -62,14 +68,6 @@ def _self_pairs(vectors: DataFrame, block_rows: int) -> DataFrame:
     return _side(packed, "a_", above).join(_side(packed, "b_", below), ["i", "j"])
 
 
-def _cross_pairs(queries: DataFrame, vectors: DataFrame, block_rows: int) -> DataFrame:
-    """Every query block against every vector block."""
-    nq, nv = _block_count(queries.count(), block_rows), _block_count(vectors.count(), block_rows)
-    left = F.transform(F.sequence(F.lit(0), F.lit(nv - 1)), lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))
-    right = F.transform(F.sequence(F.lit(0), F.lit(nq - 1)), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))
-    return _side(_packed(queries, nq), "a_", left).join(_side(_packed(vectors, nv), "b_", right), ["i", "j"])
-
-
 def _matrix(ids, flat) -> np.ndarray:
     m = np.asarray(flat, dtype=np.float64).reshape(len(ids), -1)
     return m / (np.sqrt((m * m).sum(axis=1, keepdims=True)) + EPSILON)
@@ -80,46 +78,23 @@ def _scores(row):
     return np.asarray(row.a_ids), np.asarray(row.b_ids), a @ b.T
 
 
-def similar_pairs(vectors: DataFrame, min_score: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """id_a < id_b with cosine >= min_score.  ``vectors``: id long, vec, type, contract."""
+def similar_pairs(vectors: DataFrame, min_score: float, n_cells: int | None = None) -> DataFrame:
+    """id_a < id_b with cosine >= min_score, by cells that can reach it.  ``vectors``: id long, vec."""
+    return cells.similar_pairs(vectors, min_score, n_cells)
 
-    def run(batches):
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                ids_a, ids_b, s = _scores(row)
-                x, y = np.nonzero(s >= min_score)
-                ia, ib, score = ids_a[x], ids_b[y], s[x, y]
-                keep = (ia < ib) if row.i == row.j else (ia != ib)
-                yield pd.DataFrame({"id_a": np.minimum(ia, ib)[keep], "id_b": np.maximum(ia, ib)[keep],
-                                    "score": score[keep]})
 
-    return _self_pairs(vectors, block_rows).mapInPandas(run, "id_a long, id_b long, score double")
-
-
-def pair_statistics(vectors: DataFrame, over: list[float], block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Mean, population deviation, min, max of all pair scores, and counts over thresholds."""
-    names = [f"over_{i}" for i in range(len(over))]
-
-    def run(batches):
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                _, _, s = _scores(row)
-                v = s[np.triu_indices(len(s), 1)] if row.i == row.j else s.ravel()
-                if len(v):
-                    yield pd.DataFrame([[len(v), v.sum(), (v * v).sum(), v.min(), v.max(),
-                                         *[int((v > t).sum()) for t in over]]],
-                                       columns=["n", "s", "ss", "lo", "hi", *names])
+def pair_statistics(vectors: DataFrame, over: list[float], n_cells: int | None = None) -> DataFrame:
+    """Mean, population deviation, min, max of all pair scores, and counts over thresholds.
 
-    parts = _self_pairs(vectors, block_rows).mapInPandas(
-        run, "n long, s double, ss double, lo double, hi double" + "".join(f", {n} long" for n in names))
-    total = parts.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"),
-                      F.min("lo").alias("min_score"), F.max("hi").alias("max_score"),
-                      *[F.sum(n).alias(n) for n in names])
-    mean = F.col("s") / F.col("n")
+    Mean and deviation come from sums over the vectors; only the others form pairs.
+    """
+    rest = cells.pair_extremes(vectors, over, n_cells)
+    total = cells.moments(vectors).crossJoin(F.broadcast(rest))  # one row each
+    mean = F.try_divide("s", "n")
     return total.select(
         F.col("n").alias("n_pairs"), mean.alias("mean_score"),
-        F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0))).alias("std_score"),
-        "min_score", "max_score", *names)
+        F.sqrt(F.greatest(F.try_divide("ss", "n") - mean * mean, F.lit(0.0))).alias("std_score"),
+        F.col("lo").alias("min_score"), F.col("hi").alias("max_score"), *[f"over_{i}" for i in range(len(over))])
 
 
 def _top_rows(ids, cand_ids, s, k, allowed):
@@ -172,20 +147,44 @@ def top_k_by_id(vectors: DataFrame, k: int = 10, exclude_same_contract: bool = T
 
 
 def top_k_for_queries(queries: DataFrame, vectors: DataFrame, k: int = 10, min_similarity: float = 0.0,
-                      same_type_only: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Nearest stored vectors per query vector: id (query), other_id, score, rank from 1."""
-
-    def run(batches):
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                ids_a, ids_b, s = _scores(row)
-                allowed = s >= min_similarity
-                if same_type_only:
-                    allowed &= np.asarray(row.a_types)[:, None] == np.asarray(row.b_types)[None, :]
-                who, cols, _, score = _top_rows(ids_a, ids_b, s, k, allowed)
-                yield pd.DataFrame({"id": who, "other_id": ids_b[cols], "score": score})
+                      same_type_only: bool = False, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """Nearest stored vectors per query vector: id (query), other_id, score, rank from 1.
 
-    parts = _cross_pairs(queries, vectors, block_rows).mapInPandas(run, "id long, other_id long, score double")
+    Queries go to the store, in blocks of at most ``query_rows``: a task holds one block
+    and its best k so far, reads its part of the store once and returns the k best, which
+    are merged by query.  The store is not shuffled.
+    """
+    blocks = _block_count(queries.count(), query_rows)
+    of_block = queries.select("id", "vec", F.coalesce("type", F.lit("")).alias("type"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    of_block = stored(of_block, "queries") if blocks > 1 else of_block
+
+    def searched(block: int) -> DataFrame:
+        asked = of_block.where(F.col("block") == block).select("id", "vec", "type").toArrow()  # about query_rows rows
+        ids, types = asked.column("id").to_numpy(), np.asarray(asked.column("type").to_pylist(), dtype=object)
+        units = cells.unit_rows(asked.column("vec"))
+
+        def run(batches):
+            best_score, best_id = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+            for batch in batches:
+                for at in range(0, batch.num_rows if len(ids) else 0, BLOCK_ROWS):
+                    part = batch.slice(at, BLOCK_ROWS)
+                    s = units @ cells.unit_rows(part.column("vec")).T
+                    allowed = s >= min_similarity
+                    if same_type_only:
+                        allowed &= types[:, None] == np.asarray(part.column("type").to_pylist(), dtype=object)[None, :]
+                    best_score = np.concatenate([best_score, np.where(allowed, s, -np.inf)], axis=1)
+                    best_id = np.concatenate([best_id, np.broadcast_to(part.column("id").to_numpy(), s.shape)], axis=1)
+                    order = np.lexsort((best_id, -best_score), axis=1)[:, :k]
+                    best_score, best_id = np.take_along_axis(best_score, order, 1), np.take_along_axis(best_id, order, 1)
+            row, column = np.nonzero(np.isfinite(best_score))
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids[row]), "other_id": pa.array(best_id[row, column]), "score": pa.array(best_score[row, column])})
+
+        store = vectors.select("id", "vec", F.coalesce("type", F.lit("")).alias("type"))
+        return store.mapInArrow(run, "id long, other_id long, score double")
+
+    parts = searched(0)
+    for block in range(1, blocks):
+        parts = parts.union(searched(block))
     return _ranked(parts, k)
 
 
@@ -250,19 +249,6 @@ def cluster_profile(assigned: DataFrame) -> DataFrame:
         "diversity", F.round(F.col("distinct_types") / F.col("size"), 6))
 
 
-def approximate_neighbours(vectors: DataFrame, min_score: float, bucket_length: float = 0.5, tables: int = 8,
-                           seed: int = 42) -> DataFrame:
-    """Scale-out option for thresholded pairs: random projections on unit vectors.
-
-    cosine >= c is euclidean distance <= sqrt(2 - 2c) on the unit sphere; recall
-    grows with ``tables``.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    unit = vectors.select("id", array_to_vector(normalized(F.col("vec"))).alias("features"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(unit)
-    near = model.approxSimilarityJoin(unit, unit, math.sqrt(2 - 2 * min_score), "dist").where("datasetA.id < datasetB.id")
-    return near.select(F.col("datasetA.id").alias("id_a"), F.col("datasetB.id").alias("id_b"),
-                       (1 - F.col("dist") * F.col("dist") / 2).alias("score"))
+def approximate_neighbours(vectors: DataFrame, min_score: float, probes: int = 8, n_cells: int | None = None) -> DataFrame:
+    """Scale-out option for thresholded pairs: an inverted-file index, exact scores; recall grows with ``probes``."""
+    return cells.approximate_pairs(vectors, min_score, probes, n_cells)[0]

@@ -124,7 +124,9 @@ def extract_percentages_near_references(spark, sf_dir):
 
 
 @query("extract_integers", f"""WITH {CLAUSES_SQL}
-SELECT clause_seq, CASE WHEN kind IN (4, 6, 7, 10) THEN n::DOUBLE END AS number FROM clauses""")
+SELECT clause_seq, CASE WHEN kind IN (4, 6, 7, 10) THEN n WHEN kind = 0 THEN day(o_orderdate)
+  WHEN kind = 11 AND o_totalprice >= 1000000 THEN floor(o_totalprice / 1000000) WHEN kind = 11 AND o_totalprice >= 1000 THEN floor(o_totalprice / 1000)
+  WHEN kind = 11 THEN nullif(round(o_totalprice * 100)::BIGINT % 100, 0) END::DOUBLE AS number FROM clauses""")
 def extract_integers(spark, sf_dir):
     found = rendered_clauses(spark, sf_dir).withColumn(
         "x", X.integer_of(F.col("text")))
@@ -323,10 +325,9 @@ def coverage_scores(spark, sf_dir):
 
 
 @query("extraction_documents_control", """SELECT doc_id, NULL::VARCHAR AS found_date, NULL::DOUBLE AS amount,
-  NULL::INT AS dur_amount, NULL::BOOLEAN AS polarity,
-  regexp_matches(text, '\\b[A-Z][a-zA-Z\\s&.,''-]{5,60}\\bC[oO]\\b')::INT AS n_parties FROM documents""")
+  NULL::INT AS dur_amount, NULL::BOOLEAN AS polarity, 0 AS n_parties FROM documents""")
 def extraction_documents_control(spark, sf_dir):
-    """Negative control: prose without contract wording yields no value but a name before a word "Co"."""
+    """Negative control: prose without contract wording yields no value."""
     text = F.col("text")
     return table(spark, sf_dir, "documents").select(
         "doc_id", X.date_of(text)["dt"].cast("string").alias("found_date"), X.money_of(text)["amount"].alias("amount"),
