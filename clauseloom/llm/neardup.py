@@ -24,10 +24,10 @@ link between different sets is skipped: two members that never met are in one co
 
 Defined cases: a text without words (null, empty, white space) has an empty set, is
 linked with nothing and is its own component; a text with fewer words than a shingle has
-one shingle, its whole sequence; rows with one id and several texts count as one
-document; rows without an id get the component of their set if any row with an id has
-the same set, else null, and are kept if it is null; repeated rows get the same
-component; an empty table gives an empty result; other columns are not looked at.
+one shingle, its whole sequence; rows with one id and several texts are one document, so
+that their sets are in one component; rows without an id get the component of their set if
+any row with an id has the same set, else null, and are kept if it is null; repeated rows
+get the same component; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -195,17 +195,18 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int,
         (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))).select(
         "a", "b", estimated(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b")).alias("j"))
     near = stored(near.where(F.col("j") >= percent / 100 - MARGIN).select("a", "b"), "near-likely")
-    texts = stored(texts_of(docs, near.select(F.col("a").alias("doc_id")).union(near.select("b"))), "near-texts")
-    joined = near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(
-        texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    texts = stored(texts_of(docs, reps, near.select(F.col("a").alias("rep")).union(near.select("b"))), "near-texts")
+    joined = near.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b").join(
+        texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
     return stored(joined.where(similar(F.col("text_a"), F.col("text_b"), shingle, percent)).select("a", "b"), "near-links")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents of some ids; texts are shuffled only if there are more than ``BROADCAST_IDS``."""
-    ids = stored(ids.distinct(), "near-ids")
+def texts_of(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(rep, text) of some representatives, found by id and hash of the text; texts are shuffled only if there are more than ``BROADCAST_IDS``."""
+    ids = stored(reps.join(nodes, "rep", "left_semi").select("rep", F.col("least").alias("of_id"), "text_key"), "near-ids")
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return docs.where("text IS NOT NULL").join(
+        F.broadcast(ids) if few else ids, (F.col("doc_id") == F.col("of_id")) & (F.xxhash64("text") == F.col("text_key"))).select("rep", "text")
 
 
 def full_sets(text: Column, shingle: int) -> Column:
@@ -273,7 +274,7 @@ def rest_of(stars: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame
         "open = 1 AND rows > 1")
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     rows = placed.join(around.select("pivot", blocks.alias("blocks")), "pivot").withColumn("own", F.pmod(F.hash("rep"), "blocks"))
-    sets = texts_of(docs, rows.select(F.col("rep").alias("doc_id"))).select(F.col("doc_id").alias("rep"), full_sets(F.col("text"), shingle).alias("set"))
+    sets = texts_of(docs, reps, rows.select("rep")).select("rep", full_sets(F.col("text"), shingle).alias("set"))
     rows = rows.join(sets, "rep")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     members = rows.select("pivot", every.alias("i"), F.col("own").alias("j"), F.lit(1).alias("role"), "rep", "c", "set")
@@ -281,15 +282,24 @@ def rest_of(stars: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame
     return members.union(outsiders).groupBy("pivot", "i", "j").applyInArrow(block_links(percent), "a long, b long")
 
 
+def sets_of_one_id(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) between the representatives of the sets that stand under one id."""
+    under = rows.where("doc_id IS NOT NULL AND key IS NOT NULL").select("doc_id", "key")
+    several = under.groupBy("doc_id").agg(F.min("key").alias("one"), F.max("key").alias("other")).where("one <> other")
+    keys = under.join(several, "doc_id").where("key <> one").select("one", "key").distinct()
+    return keys.join(sets.select(F.col("key").alias("one"), F.col("rep").alias("a")), "one").join(
+        sets.select("key", F.col("rep").alias("b")), "key").select("a", "b")
+
+
 def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    rows = stored(docs.select("doc_id", sketches(F.col("text"), shingle).alias("s")).select("doc_id", "s.*"), "near-sketches")
-    sets = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    named = sets.where("rep IS NOT NULL")
-    reps = rows.join(named, (rows["key"] == named["key"]) & (rows["doc_id"] == named["rep"])).groupBy("rep").agg(
-        F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    reps = stored(reps, "near-reps")
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_key"),
+                              sketches(F.col("text"), shingle).alias("s")).select("row", "doc_id", "text_key", "s.*"), "near-sketches")
+    own = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row", "text_key")))
+    sets = rows.where("key IS NOT NULL").groupBy("key").agg(own.alias("first")).where("first IS NOT NULL")
+    sets = stored(sets.select("key", F.col("first.row").alias("rep"), F.col("first.doc_id").alias("least"), F.col("first.text_key").alias("text_key")), "near-sets")
+    reps = stored(rows.select("row", "n", "sketch").join(sets.drop("key"), F.col("row") == F.col("rep")).drop("row"), "near-reps")
 
     bands = reps.select("rep", F.explode(band_keys(F.col("sketch"))).alias("band"))
     shared = bands.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).where("members > 1").select("band", "pivot")
@@ -298,10 +308,13 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     links = confirmed(stars, reps, docs, shingle, percent)
     found = stored(components(links), "near-found")
     found = merged(found, stored(rest_of(stars, found, reps, docs, shingle, percent), "near-rest"))
+    found = stored(merged(found, stored(sets_of_one_id(rows, sets), "near-one-id")), "near-components")
 
-    of_set = sets.join(found, sets["rep"] == found["node"], "left").select(
-        F.col("key").alias("set_key"), F.coalesce("component", "rep").alias("component_id"))
-    full = rows.where("key IS NOT NULL").select("doc_id", "n", "key").join(of_set, F.col("key") == F.col("set_key")).select("doc_id", "n", "component_id")
+    placed = sets.join(found, sets["rep"] == found["node"], "left").select(
+        F.col("key").alias("set_key"), "least", F.coalesce("component", "rep").alias("component"))
+    names = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_set = placed.join(names, "component").select("set_key", "component_id")
+    full = rows.where("key IS NOT NULL").select("doc_id", "n", "key").join(of_set, F.col("key") == F.col("set_key"), "left").select("doc_id", "n", "component_id")
     empty = rows.where("key IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return full.union(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

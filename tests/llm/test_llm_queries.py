@@ -103,6 +103,11 @@ def test_op2_chains_hot_groups_and_odd_rows(spark, odd):
     rows = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in grouped(odd).collect()]
     assert len(rows) == len(ODD_DOCS) and any(a == 6 and c == 5 and not d for a, _, c, d in rows)
     assert {(a, c, d) for a, _, c, d in rows if a in (1, 2, 3, 4, None)} == {(1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (None, None, True)}
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    twice = [(1, one), (1, two), (2, one + " x"), (3, two + " y"), (4, "z " * 9), (None, "p q r"), (None, None)]
+    for rows in (twice, twice[::-1]):  # one id on two texts: both sets count, in any order
+        got = {(r.doc_id, r.component_id) for r in grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (None, None)}
     kept = deduplicated(odd)
     assert kept.columns == odd.columns and kept.where("doc_id = 6").count() == 0 and kept.count() == len(ODD_DOCS) - 1
     assert grouped(odd.limit(0)).count() == 0
