@@ -8,7 +8,7 @@ tokens whose bytes overlap) are found by walking both slices from end to end.
 Tokenizer A is byte-level and reads the text led by a space; B adds the space itself. Both
 start a token at a space between two other visible characters, and nothing merges over it,
 so the text is cut there and a segment's groups and links are kept by its string: what recurs
-is encoded once per worker. Counts of linked id pairs are summed in tasks before the shuffle.
+is encoded twice per worker, at most a few times where more recurs than is kept. Counts of linked id pairs are summed in tasks before the shuffle.
 The pairs that make up at least a ``FREQUENT``-th of all links, at most so many, are sent to
 all tasks as arrays; the others meet the documents in an equi-join, where none of them is
 large. Both ways give the same sums.
@@ -40,8 +40,8 @@ from ..session import scratch_path, stored
 
 #: Id pairs that are sent to all tasks at most.
 FREQUENT = 100_000
-#: Segments kept per Python worker, and the longest that is kept; pairs counted in a task before they are passed on.
-KEPT_SEGMENTS, KEPT_LENGTH, HELD_PAIRS = 500_000, 48, 500_000
+#: Segments kept per Python worker from their second time on, and the longest that is kept; slots for what was seen, and marks in them; pairs counted in a task before they are passed on.
+KEPT_SEGMENTS, KEPT_LENGTH, SLOTS, MARKED, HELD_PAIRS = 300_000, 48, 1 << 22, 1_000_000, 500_000
 #: A space between two characters that neither tokenizer takes for white space or ignores.
 IGNORED = r"\s\x1c-\x1f\u180e\u200b-\u200f\u2060\ufeff"
 CUT = re.compile(f"(?<=[^{IGNORED}]) (?=[^{IGNORED}])")
@@ -92,7 +92,8 @@ class Aligner:
             raise ValueError("ids of either tokenizer must be below 65,536")
         self.text = list(map(str, range(1 << 16)))
         self.known: dict[str, tuple | None] = {}
-        self.long: list[str] = []
+        self.passing: list[str] = []
+        self.seen, self.marked = bytearray(SLOTS), 0
 
     def results(self, segments: list[str], ids_a: list[list[int]], ids_b: list[list[int]]) -> dict[str, tuple | None]:
         """Per segment (n_a, n_b, number of groups, groups as text, links as packed id pairs), or None if the bytes differ.
@@ -129,17 +130,25 @@ class Aligner:
 
     def segments(self, texts: list[str | None]) -> tuple[list[list[str]], dict[str, tuple | None]]:
         """The segments of each text without their leading spaces, and the results of these and others."""
-        if len(self.known) > KEPT_SEGMENTS:
-            self.known = {}
-        for s in self.long:
-            self.known.pop(s, None)
+        known, seen = self.known, self.seen
+        for s in self.passing:
+            del known[s]
+        if len(known) > KEPT_SEGMENTS:
+            known.clear()
+        if self.marked > MARKED:
+            seen = self.seen = bytearray(SLOTS)
+            self.marked = 0
         cut = [CUT.split(t) if t else [] for t in texts]
-        new = list(set(chain.from_iterable(cut)).difference(self.known))
+        new = list(set(chain.from_iterable(cut)).difference(known))
         if new:
             ids_a = [e.ids for e in self.a.encode_batch([" " + s for s in new], add_special_tokens=False)]
-            self.known |= self.results(new, ids_a, self.b.encode(new, num_threads=1))
-        self.long = [s for s in new if len(s) > KEPT_LENGTH]
-        return cut, self.known
+            known |= self.results(new, ids_a, self.b.encode(new, num_threads=1))
+        slots = [hash(s) & SLOTS - 1 for s in new]
+        self.passing = [s for s, slot in zip(new, slots) if not seen[slot] or len(s) > KEPT_LENGTH]
+        self.marked += len(self.passing)
+        for slot in slots:
+            seen[slot] = 1
+        return cut, known
 
 
 @lru_cache(maxsize=2)
