@@ -41,7 +41,7 @@ from ..session import scratch_path, stored
 #: Id pairs that are sent to all tasks at most.
 FREQUENT = 100_000
 #: Segments kept per Python worker from their second time on, and the longest that is kept; slots for what was seen, and marks in them; pairs counted in a task before they are passed on.
-KEPT_SEGMENTS, KEPT_LENGTH, SLOTS, MARKED, HELD_PAIRS = 300_000, 48, 1 << 22, 1_000_000, 500_000
+KEPT_SEGMENTS, KEPT_LENGTH, SLOTS, MARKED, HELD_PAIRS = 200_000, 48, 1 << 22, 1_000_000, 500_000
 #: A space between two characters that neither tokenizer takes for white space or ignores.
 IGNORED = r"\s\x1c-\x1f\u180e\u200b-\u200f\u2060\ufeff"
 CUT = re.compile(f"(?<=[^{IGNORED}]) (?=[^{IGNORED}])")
@@ -157,16 +157,16 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
-def pieces_of(texts: list[str | None], letters: int = 200_000) -> Iterator[list[str | None]]:
-    """Consecutive texts, up to so many characters or one text at a time."""
-    part, size = [], 0
-    for t in texts:
-        if part and size + len(t or "") > letters:
-            yield part
-            part, size = [], 0
-        part.append(t)
-        size += len(t or "")
-    if part:
+def pieces_of(column: pa.Array, letters: int = 200_000, rows: int = 256) -> Iterator[list[str | None]]:
+    """Consecutive texts, up to so many characters and rows, or one text at a time."""
+    for at in range(0, len(column), rows):
+        part, size = [], 0
+        for t in column.slice(at, rows).to_pylist():
+            if part and size + len(t or "") > letters:
+                yield part
+                part, size = [], 0
+            part.append(t)
+            size += len(t or "")
         yield part
 
 
@@ -176,7 +176,7 @@ def groups(text: Column, path_a: str, path_b: str) -> Column:
     @F.arrow_udf("array<struct<a:array<int>,b:array<int>>>")
     def group(column: pa.Array) -> pa.Array:
         out = []
-        for part in pieces_of(column.to_pylist()):
+        for part in pieces_of(column):
             cut, of = aligner(path_a, path_b).segments(part)
             for parts in cut:
                 found = [of[s] for s in parts]
@@ -194,9 +194,10 @@ def digests(text: Column, path_a: str, path_b: str) -> Column:
 
     @F.arrow_udf("n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, counts binary")
     def digest(column: pa.Array) -> pa.Array:
-        rows = []
-        for part in pieces_of(column.to_pylist()):
+        out = [pa.array([], kind)]
+        for part in pieces_of(column):
             cut, of = aligner(path_a, path_b).segments(part)
+            rows = []
             for parts in cut:
                 found = [of[s] for s in parts]
                 if not found or None in found:
@@ -207,7 +208,8 @@ def digests(text: Column, path_a: str, path_b: str) -> Column:
                 pairs, counts = np.unique(linked, return_counts=True)
                 rows.append((sum(n_a), sum(n_b), sum(n_groups), len(linked), sha256(";".join(written).encode()).hexdigest(),
                              pairs.tobytes(), counts.astype(np.uint32).tobytes()))
-        return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 7, kind)], fields=list(kind))
+            out.append(pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], fields=list(kind)))
+        return pa.concat_arrays(out)
 
     return digest(text)
 
