@@ -133,9 +133,9 @@ def pairs_over(blocks: DataFrame, min_score: float) -> DataFrame:
     return blocks.select("a_ids", "a_flat", "b_ids", "b_flat", "own").mapInPandas(run, "id_a long, id_b long, score double")
 
 
-def similar_pairs(vectors: DataFrame, min_score: float, n_cells: int | None = None) -> DataFrame:
+def similar_pairs(vectors: DataFrame, min_score: float, n_cells: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All pairs with cosine >= min_score; cells whose bound is below it never meet."""
-    cells = in_cells(vectors, n_cells)
+    cells = in_cells(vectors, n_cells, block_rows)
     return pairs_over(block_pairs(cells, cells.bounds()[1] >= min_score), min_score)
 
 

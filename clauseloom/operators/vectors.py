@@ -78,9 +78,9 @@ def _scores(row):
     return np.asarray(row.a_ids), np.asarray(row.b_ids), a @ b.T
 
 
-def similar_pairs(vectors: DataFrame, min_score: float, n_cells: int | None = None) -> DataFrame:
+def similar_pairs(vectors: DataFrame, min_score: float, n_cells: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """id_a < id_b with cosine >= min_score, by cells that can reach it.  ``vectors``: id long, vec."""
-    return cells.similar_pairs(vectors, min_score, n_cells)
+    return cells.similar_pairs(vectors, min_score, n_cells, block_rows)
 
 
 def pair_statistics(vectors: DataFrame, over: list[float], n_cells: int | None = None) -> DataFrame:
