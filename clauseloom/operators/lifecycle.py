@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from clauseloom import lookups
 from clauseloom.functions.text import any_of, strip
-from clauseloom.session import cut_lineage
+from clauseloom.session import cut_lineage, scratch_path, stored
 
 #: Characters of a prompt window, about, and clause numbers that are summed up together.
 CONTEXT_LENGTH = 3000
@@ -94,14 +94,19 @@ def initial_states(states: DataFrame) -> DataFrame:
 
 # --- observed events --------------------------------------------------------------------
 
-def observed_steps(events: DataFrame, bucket: str = "hour") -> DataFrame:
-    """key, previous, event, ts, event_id for consecutive events of a key.
+def observed_steps(events: DataFrame, ranges: int | None = None) -> DataFrame:
+    """key, previous, event, ts, event_id for consecutive events of a key, in order of ts and event_id.
 
-    Events are paired inside time buckets, and the last event of a bucket with the
-    first of the next one, so a key with very many events is spread over its
-    buckets; only one row per bucket meets in the window over a whole key.
+    Events are stored once in ranges of (key, ts, event_id) that hold about as many rows
+    each, so neither a key with very many events nor one busy hour or instant of it fills
+    a task. Steps are found inside (key, range), and the last event of a range meets the
+    first of the key's next one; only one row per range meets in the window over a whole
+    key. ``ranges`` sets their number (else the shuffle partitions).
     """
-    cut = events.withColumn("_b", F.date_trunc(bucket, "ts"))
+    place = ["key", "ts", "event_id"]
+    narrow = events.select("key", "event", "ts", "event_id")
+    dealt = narrow.repartitionByRange(ranges, *place) if ranges else narrow.repartitionByRange(*place)
+    cut = stored(dealt.withColumn("_b", F.spark_partition_id()), "steps")
     inside = Window.partitionBy("key", "_b").orderBy("ts", "event_id")
     near = cut.withColumn("previous", F.lag("event").over(inside)).where("previous IS NOT NULL").select(
         "key", "previous", "event", "ts", "event_id")
@@ -139,23 +144,48 @@ def conformance(events: DataFrame, allowed: DataFrame) -> DataFrame:
 
 # --- validation -------------------------------------------------------------------------
 
-def reachable(transitions: DataFrame, initial: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """machine, name, depth for every state reachable from the initial one, all machines at once.
-
-    Each round joins only the frontier; both tables are checkpointed, so lineage
-    does not grow with the number of rounds.
+def reachable(transitions: DataFrame, initial: DataFrame, growth: float = 4.0) -> DataFrame:
+    """machine, name, depth (fewest moves) for every state reachable from the initial one, all machines at once.
+
+    Shortcuts of ``hop`` moves start as the transitions and are squared after a round, so
+    a chain of n states settles in about log2(n) rounds. With all states nearer than
+    ``near`` moves known, the last ``hop`` depths joined with the shortcuts give exactly
+    those of depth ``near`` to ``near + hop - 1``; a round that finds none is the last.
+    Shortcuts into known states are dropped, as no later round needs them. Shortcuts whose
+    square could have more than ``growth`` rows per transition (dense machines, which are
+    not deep) stay as they are. A round writes its new states only. Moves with a null end
+    lead nowhere.
     """
-    edges = cut_lineage(transitions.select("machine", F.col("source").alias("name"), F.col("target").alias("next")).distinct())
-    seen = cut_lineage(initial.select("machine", F.col("initial").alias("name"), F.lit(0).alias("depth")))
-    frontier = seen
-    for depth in range(1, max_rounds + 1):
-        step = frontier.join(edges, ["machine", "name"]).select("machine", F.col("next").alias("name")).distinct()
-        fresh = cut_lineage(step.join(seen, ["machine", "name"], "left_anti").withColumn("depth", F.lit(depth)))
-        if fresh.isEmpty():
+    spark = transitions.sparkSession
+    hops = cut_lineage(transitions.select("machine", F.col("source").alias("name"), F.col("target").alias("next")).where(
+        "machine IS NOT NULL AND name IS NOT NULL AND next IS NOT NULL AND name <> next").distinct())
+    limit = growth * hops.count()
+    start = initial.select("machine", F.col("initial").alias("name"), F.lit(0).cast("long").alias("depth"))
+    folder = scratch_path(spark, "reachable")
+    start.write.parquet(f"{folder}/near=0")
+    seen_so_far = lambda: spark.read.schema(start.schema).parquet(folder).select("machine", "name", "depth")
+    near, hop, squarable = 1, 1, True
+    while True:
+        seen = seen_so_far()
+        fresh = seen.where(F.col("depth") >= near - hop).join(hops, ["machine", "name"]).groupBy(
+            "machine", F.col("next").alias("name")).agg((F.min("depth") + hop).alias("depth"))
+        path = f"{folder}/near={near}"
+        fresh.join(seen, ["machine", "name"], "left_anti").write.parquet(path)
+        if spark.read.schema(start.schema).parquet(path).isEmpty():
             return seen
-        seen = cut_lineage(seen.unionByName(fresh))
-        frontier = fresh
-    raise RuntimeError(f"reachability did not settle in {max_rounds} rounds")
+        near += hop
+        if squarable:
+            ways_in = hops.groupBy("machine", F.col("next").alias("name")).agg(F.count("*").alias("n_in"))
+            ways_out = hops.groupBy("machine", "name").agg(F.count("*").alias("n_out"))
+            squared = ways_in.join(ways_out, ["machine", "name"]).agg(F.sum(F.col("n_in") * F.col("n_out"))).first()[0] or 0
+            squarable = squared <= limit
+        if squarable:
+            first = hops.withColumnRenamed("next", "middle")
+            second = hops.select("machine", F.col("name").alias("middle"), "next")
+            known = seen_so_far().select("machine", F.col("name").alias("next"))
+            hops = cut_lineage(first.join(second, ["machine", "middle"]).select("machine", "name", "next").distinct().join(
+                known, ["machine", "next"], "left_anti").select("machine", "name", "next"))
+            hop *= 2
 
 
 def non_deterministic(transitions: DataFrame) -> DataFrame:

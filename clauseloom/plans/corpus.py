@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 
 from pyspark.sql import functions as F
 
@@ -359,12 +358,11 @@ def file_inventory(spark, sf_dir):
 
 @query("newest_extraction_file", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def newest_extraction_file(spark, sf_dir):
-    """Two files written one after the other; the rows of the newest are read back."""
+    """Two runs written one after the other, each as many files; the rows of the newest are read back."""
     folder, orders = scratch_path(spark, "newest"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    for name, rows in (("first", orders.where("o_orderstatus <> 'F'")), ("second", orders.where("o_orderstatus = 'F'"))):
-        rows.drop("o_orderstatus").coalesce(1).write.parquet(f"{folder}/{name}")
-        time.sleep(1.1)  # file times count whole seconds in some stores
-    return spark.read.parquet(readers.newest_file(spark, folder, "*.parquet").first()["path"])
+    for name, rows in (("run-1", orders.where("o_orderstatus <> 'F'")), ("run-2", orders.where("o_orderstatus = 'F'"))):
+        rows.drop("o_orderstatus").write.parquet(f"{folder}/{name}")
+    return spark.read.parquet(readers.newest_run(spark, folder, "*.parquet").first()["path"])
 
 
 @query("metrics_long_form", f"""WITH {SAMPLES_SQL},

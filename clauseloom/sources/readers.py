@@ -98,12 +98,22 @@ def parse_extraction_documents(docs: DataFrame) -> DataFrame:
     return whole.select(F.explode(records).alias("r")).select("r.*")
 
 
+def _files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """Path and time of the files that match a pattern; contents are not read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option(
+        "recursiveFileLookup", True).load(folder).select("path", "modificationTime")
+
+
 def newest_file(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """Path and time of the most recently modified file that matches a pattern."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option(
-        "recursiveFileLookup", True).load(folder).select("path", "modificationTime")
-    return files.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"),
-                     F.max("modificationTime").alias("modified_at"))
+    return _files(spark, folder, pattern).agg(
+        F.max_by("path", F.struct("modificationTime", "path")).alias("path"), F.max("modificationTime").alias("modified_at"))
+
+
+def newest_run(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """Folder and time of the newest output: of equal times the last path, and all files beside it belong to it."""
+    newest = newest_file(spark, folder, pattern)
+    return newest.withColumn("path", F.regexp_replace("path", "/[^/]*$", ""))
 
 
 def file_inventory(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Properties: operators against brute force on small fixtures, with hot keys."""
 
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from clauseloom.operators import lifecycle as L
 from clauseloom.operators import setsim as S
 from clauseloom.operators import vectors as V
 from clauseloom.operators.numbering import running_number
+from clauseloom.session import cut_lineage
+from clauseloom.streaming import conformance as C
 
 
 def test_running_number_with_a_hot_key(spark):
@@ -130,13 +133,90 @@ def test_machine_checks(spark):
     assert reasons[("closed", "active")] == "terminal_source" and reasons[("opened", "checked")] is None
 
 
-def test_observed_steps_do_not_depend_on_the_bucket(spark):
-    events = spark.range(500).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 5)).alias("key"),
+def _events(spark, n=500):
+    """One key holds a third of the rows; half of its events fall into one instant."""
+    hot = F.col("id") % 3 == 0
+    return spark.range(n).select(
+        F.when(hot, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 5)).alias("key"),
         F.concat(F.lit("e"), F.col("id") * 7 % 4).alias("event"),
-        F.timestamp_seconds(F.col("id") * 977).alias("ts"), F.col("id").alias("event_id"))
-    runs = [sorted(map(tuple, L.observed_steps(events, b).collect())) for b in ("minute", "hour", "day", "year")]
-    assert all(r == runs[0] for r in runs) and len(runs[0]) == 500 - 6
+        F.timestamp_seconds(F.when(hot & (F.col("id") % 2 == 0), 90_000).otherwise(F.col("id") * 977 % 100_003)).alias("ts"),
+        F.col("id").alias("event_id"))
+
+
+def _steps(events):
+    """key, previous, event, event_id by sorting all events."""
+    rows, last = [], {}
+    for r in sorted(events.collect(), key=lambda r: (r.ts, r.event_id)):
+        if r.key in last:
+            rows.append((r.key, last[r.key], r.event, r.event_id))
+        last[r.key] = r.event
+    return sorted(rows)
+
+
+def test_observed_steps_do_not_depend_on_the_ranges(spark):
+    events = _events(spark)
+    want = _steps(events)
+    assert len(want) == 500 - 6
+    for ranges in (1, 3, 64, None):
+        assert sorted((r.key, r.previous, r.event, r.event_id) for r in L.observed_steps(events, ranges).collect()) == want
+    assert L.observed_steps(events.where("false")).count() == 0
+
+
+def test_streamed_steps_with_late_events(spark, tmp_path):
+    """Batches in any order, overlapping in time, one given twice: the counts of one sorted run."""
+    events, folder = _events(spark), str(tmp_path)
+    parts = [F.col("event_id") % 4 == 3, F.col("ts") >= F.timestamp_seconds(F.lit(60_000)), F.lit(True)]
+    left = F.lit(True)
+    for number, part in enumerate(parts):
+        C.keep_batch(events.where(left & part), number, folder)
+        left = left & ~part
+    C.keep_batch(events.where(parts[0]), 0, folder)
+    C.keep_batch(events.where("false"), 9, folder)
+    want = Counter((p, e) for _, p, e, _ in _steps(events))
+    assert {(r.previous, r.event): r.n_steps for r in C.steps(spark, folder).collect()} == want
+
+
+def test_streamed_steps_of_no_events(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("key string, event string, ts timestamp, event_id long").parquet(str(tmp_path / "in"))
+    C.run(stream, str(tmp_path / "kept"))
+    assert C.steps(spark, str(tmp_path / "kept")).count() == 0
+
+
+def _depths(moves, starts):
+    out = {}
+    for machine, start in starts:
+        out[machine, start], queue = 0, [start]
+        for name in queue:
+            for m, a, b in moves:
+                if m == machine and a == name and (m, b) not in out:
+                    out[m, b] = out[m, name] + 1
+                    queue.append(b)
+    return out
+
+
+def test_reachable_matches_breadth_first_search(spark):
+    rng = random.Random(3)
+    moves = [("chain", f"s{i}", f"s{i + 1}") for i in range(11)] + [("chain", "s11", "s7"), ("chain", "x", "s3"), ("chain", "y", "x")]
+    moves += [("dense", f"s{a}", f"s{b}") for a in range(9) for b in range(9)]  # self moves and all pairs
+    moves += [("loose", f"s{rng.randrange(60)}", f"s{rng.randrange(60)}") for _ in range(75)]
+    moves += [("wide", f"a{i}", f"a{i + 1}") for i in range(9)] + [("wide", f"a{i}", f"b{j}") for i in range(9) for j in range(6)]
+    starts = [("chain", "s0"), ("dense", "s4"), ("loose", "s1"), ("wide", "a0"), ("alone", "s0")]
+    table = spark.createDataFrame(moves + [("chain", "s1", None), (None, "s1", "s2")], "machine string, source string, target string")
+    initial = spark.createDataFrame(starts, "machine string, initial string")
+    for growth in (0.0, 4.0, 1000.0):  # no shortcuts at all, the usual, always
+        assert {(r.machine, r.name): r.depth for r in L.reachable(table, initial, growth).collect()} == _depths(moves, starts)
+    assert L.reachable(table, initial.where("false")).count() == 0
+
+
+def test_reachable_along_a_long_chain(spark, monkeypatch):
+    """2,000 states in a row, found in about log2(2,000) rounds."""
+    rounds = []
+    monkeypatch.setattr(L, "cut_lineage", lambda df: rounds.append(1) or cut_lineage(df))
+    moves = spark.range(1999).select(F.lit("m").alias("machine"), F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
+    got = L.reachable(moves, spark.createDataFrame([("m", 0)], "machine string, initial long"))
+    assert got.count() == 2000 and got.where("depth <> name").count() == 0
+    assert len(rounds) <= 13
 
 
 def test_titles(spark):
