@@ -134,18 +134,22 @@ def is_set(v: Column) -> Column:
         v["amount"].cast("string"), v["dur_amount"].cast("string"), F.array_join(v["parties"], ",")).isNotNull()
 
 
-def extract_clauses(clauses: DataFrame) -> DataFrame:
-    """clause rows -> clause rows with ``vars``; clauses without any value drop out.
+def with_values(ruled: DataFrame) -> DataFrame:
+    """Clause rows with at least one value.
 
     The drop is written as an explode of a one-element array: a plain filter would be
     pushed below the projections and evaluate every pattern a second time.
     """
-    ruled = apply_rules(extract_raw(clauses))
     rest = [c for c in ruled.columns if c != "vars"]
     kept = F.filter(F.array(F.col("vars")), lambda vs: F.exists(vs, is_set))
     return ruled.select(*rest, F.explode(kept).alias("vars"))
 
 
+def extract_clauses(clauses: DataFrame) -> DataFrame:
+    """clause rows -> clause rows with ``vars``; clauses without any value drop out."""
+    return with_values(apply_rules(extract_raw(clauses)))
+
+
 def to_long(extracted: DataFrame) -> DataFrame:
     """One row per clause and schema variable, nulls kept."""
     keep = [c for c in extracted.columns if c != "vars"]
@@ -188,15 +192,16 @@ def select_contracts(coverage: DataFrame, n: int) -> DataFrame:
     return score_contracts(coverage).orderBy(F.desc("score"), "contract_id").limit(n)
 
 
-def fallback_parties(clauses: DataFrame, longer_than: int = 0) -> DataFrame:
+def fallback_parties(clauses: DataFrame, longer_than: int = 0, named: DataFrame | None = None) -> DataFrame:
     """Party rows for contracts without a parties clause, read from their longest context.
 
-    ``clauses`` needs contract_id, clause_type, clause_seq and context.  The winner is
-    chosen on lengths and numbers alone; its text is joined back, so no aggregate
-    buffer holds texts, however many clauses a contract has.
+    ``clauses`` needs contract_id, clause_type, clause_seq and context; ``named`` holds the
+    contract_id of contracts whose parties are known, unset those with a parties clause.
+    The winner is chosen on lengths and numbers alone; its text is joined back, so no
+    aggregate buffer holds texts, however many clauses a contract has.
     """
     order = F.create_map(*[F.lit(x) for pair in lookups.type_positions().items() for x in pair])
-    have = clauses.where("clause_type = 'parties'").select("contract_id").distinct()
+    have = clauses.where("clause_type = 'parties'").select("contract_id").distinct() if named is None else named
     longest = F.struct(F.length("context").alias("col1"), (-order[F.col("clause_type")]).alias("col2"),
                        (-F.col("clause_seq")).alias("col3"))
     usable = clauses.where((F.col("clause_type") != "parties") & (F.length("context") > longer_than))

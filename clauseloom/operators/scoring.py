@@ -27,6 +27,7 @@ PROMPTS = {
     "MonetaryAmount": "Give the amount of money for {v}, never a percentage, or null.",
     "Percentage": "Give the percentage for {v} as a decimal fraction, or null.",
     "Double": "Give the number for {v}, or null.",
+    "Party[]": "List the companies that are {v} to the contract, one per line; answer NONE when there are none.",
     "Other": "Give the value of {v}, or null.",
 }
 # Name parts that mark a Double variable as a percentage.

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from clauseloom.corpus_model import CLAUSES_SQL, rendered_clauses
-from clauseloom.lookups import schema_rows, sql_values
+from clauseloom.lookups import schema_rows, sql_values, type_positions
+from clauseloom.operators import answers as A
 from clauseloom.operators import corpus as C
 from clauseloom.operators import evaluate as E
 from clauseloom.operators import extraction as X
 from clauseloom.operators import models as M
 from clauseloom.operators import scoring as S
 from clauseloom.plans.corpus import SAMPLES_SQL, corpus_samples
+from clauseloom.plans.extraction import RAW_SQL
 from clauseloom.plans.registry import query
 from clauseloom.plans.similarity import predictions
 from clauseloom.session import table
@@ -276,3 +280,86 @@ def response_cache(spark, sf_dir):
         "cache_key", F.lit("cached").alias("response"))
     responses, _ = S.cached_responses(prompts.select("cache_key", "prompt"), cache, length_scorer)
     return prompts.join(responses, "cache_key").select("clause_seq", "var_name", "cache_key", "response", "is_hit")
+
+
+# --- the whole extraction with a scorer -----------------------------------------------------
+
+_FILLER = "Both sides agree to the terms that follow here. "
+_UNNAMED = "The sides are named on the first page."
+
+
+def wording_scorer(batches):
+    """Deterministic stand-in for a model: copies wording from the prompt's own window."""
+    fixed = {"CapPeriod": "12 months", "InsurancePeriod": "during the term", "hasRevenueSharing": "Yes.",
+             "minimumCommitmentVolume": "1,200 units", "insuranceCalculationBasis": "Based on the text it is unclear",
+             "parties": "NONE"}
+
+    def answer(key, prompt):
+        name = key.split("|")[1]
+        if name == "governingLaw":
+            found = re.search(r"laws of \w+(?=\.)", prompt)
+            if found and found.group().endswith("7"):
+                return f"The parties describe it as {found.group()}"
+            return f'"{found.group()}"' if found else "not found"
+        return fixed.get(name, "null")
+
+    for b in batches:
+        yield b.assign(response=[answer(k, p) for k, p in zip(b["cache_key"], b["prompt"])])[["cache_key", "response"]]
+
+
+def _documents_of_clauses(spark, sf_dir):
+    """Clauses with context and answer; half of the governing laws stand behind several windows of text."""
+    recital = F.concat(
+        F.lit(_FILLER * 10), F.lit("This Agreement is made by and between "), F.initcap("c_mktsegment"),
+        F.lit(" Trading Corporation and "), F.col("side"), F.lit(" Supply Corporation WHEREAS both agree."),
+        F.repeat(F.lit(" and so on"), F.col("clause_seq") % 5))
+    unnamed = F.pmod("o_custkey", F.lit(5)) == 0
+    late = (F.col("kind") == 9) & (F.pmod("clause_seq", F.lit(2)) == 1)
+    return rendered_clauses(spark, sf_dir).select(
+        "contract_id", "clause_type", "clause_seq",
+        F.when(F.col("kind") != 8, recital).when(unnamed, _UNNAMED).otherwise(F.col("text")).alias("context"),
+        F.when(late, F.concat(F.repeat(F.lit(_FILLER), F.lit(45)), "text")).when(
+            F.col("kind") != 8, F.col("text")).alias("answer_text"))
+
+
+@query("extraction_with_model", f"""WITH {RAW_SQL},
+src AS (SELECT clause_seq, o_custkey, n_name, CASE WHEN kind = 9 AND clause_seq % 2 = 1 THEN repeat('{_FILLER}', 45) || text
+    WHEN kind = 8 AND o_custkey % 5 = 0 THEN '{_UNNAMED}' ELSE text END AS shown,
+  repeat('{_FILLER}', 10) || 'This Agreement is made by and between ' || seg || ' Trading Corporation and ' || side ||
+    ' Supply Corporation WHEREAS both agree.' || repeat(' and so on', (clause_seq % 5)::INT) AS context,
+  seg || ' Trading Corporation|' || side || ' Supply Corporation' AS both_names FROM clauses),
+model AS (SELECT e.* REPLACE (
+    CASE WHEN var_name = 'CapPeriod' THEN 12 WHEN kind <> 6 THEN v_dur_amount END AS v_dur_amount,
+    CASE WHEN var_name = 'CapPeriod' THEN 'Months' WHEN kind <> 6 THEN v_dur_unit END AS v_dur_unit,
+    CASE WHEN var_name = 'hasRevenueSharing' THEN true ELSE v_bool END AS v_bool,
+    CASE WHEN var_name = 'minimumCommitmentVolume' THEN 1200.0::DOUBLE ELSE v_double END AS v_double),
+  CASE WHEN var_name = 'governingLaw' AND n_name NOT LIKE '%7' THEN 'laws of ' || n_name END AS v_string,
+  CASE WHEN var_type = 'Party[]' AND o_custkey % 5 <> 0 THEN both_names END AS v_parties,
+  CASE WHEN var_name = 'nonCompeteDuration' THEN 'denied_by_has' WHEN var_name = 'InsurancePeriod' THEN 'unknown_unit' END AS nulled_by,
+  shown FROM expected_raw e JOIN src USING (clause_seq)),
+judged AS (SELECT *, coalesce(v_string, v_parties, v_dur_unit, v_bool::VARCHAR, v_double::VARCHAR, v_amount::VARCHAR, v_date::VARCHAR) IS NOT NULL AS is_set FROM model),
+kept AS (SELECT * FROM (SELECT clause_seq, contract_id, clause_type, any_value(shown) AS shown FROM judged GROUP BY ALL HAVING bool_or(is_set))
+  QUALIFY row_number() OVER (PARTITION BY contract_id, clause_type, shown ORDER BY clause_seq) = 1),
+fallback AS (SELECT c.contract_id, c.clause_seq, c.clause_type, both_names FROM clauses c JOIN src USING (clause_seq)
+  JOIN (SELECT * FROM {sql_values([(k, v) for k, v in type_positions().items()], "clause_type, type_pos")}) USING (clause_type)
+  WHERE kind <> 8 AND c.contract_id NOT IN (SELECT contract_id FROM kept WHERE clause_type = 'parties')
+  QUALIFY row_number() OVER (PARTITION BY c.contract_id ORDER BY length(context) DESC, type_pos, c.clause_seq) = 1)
+SELECT j.contract_id, j.clause_seq, j.clause_type, var_name, is_set, v_string, v_bool, v_double, strftime(v_date, '%Y-%m-%d') AS v_date,
+  v_amount, v_dur_amount, v_dur_unit, v_parties, nulled_by, NULL AS source_clause FROM judged j SEMI JOIN kept k ON k.clause_seq = j.clause_seq
+UNION ALL SELECT contract_id, clause_seq, 'parties', 'parties', true, NULL, NULL, NULL, NULL, NULL, NULL, NULL, both_names, NULL, clause_type FROM fallback""")
+def extraction_with_model(spark, sf_dir):
+    """Patterns, model answers over windows, rules and fallback parties in one run over all contracts."""
+    rows, _ = A.extract_with_model(_documents_of_clauses(spark, sf_dir), wording_scorer)
+    return X.to_long(rows).select(
+        "contract_id", "clause_seq", "clause_type", "var_name", "is_set", "v_string", "v_bool", "v_double",
+        F.col("v_date").cast("string").alias("v_date"), "v_amount", "v_dur_amount", "v_dur_unit",
+        F.array_join("v_parties", "|").alias("v_parties"), "nulled_by", "source_clause")
+
+
+@query("prompt_windows", """WITH d AS (SELECT doc_id, text, greatest(ceil((length(text) - 200) / 800.0) - 1, 0)::BIGINT AS last FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, text, unnest(generate_series(0, last)) AS "window" FROM d)
+SELECT doc_id, "window", length(text[("window" * 800 + 1):("window" * 800 + 1000)]) AS n_chars, md5(text[("window" * 800 + 1):("window" * 800 + 1000)]) AS window_md5 FROM w""")
+def prompt_windows(spark, sf_dir):
+    """The windows that a model is asked about, over whole texts of any length."""
+    cut = A.windows(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return cut.select("doc_id", "window", F.length("window_text").alias("n_chars"), F.md5("window_text").alias("window_md5"))
