@@ -10,6 +10,7 @@ from clauseloom.functions.templating import json_value, title_case
 from clauseloom.functions.text import any_of, rx, strip
 from clauseloom.functions.values import display_text, is_graph_valid, valid_coverage, value_kind
 from clauseloom.operators import extraction as E
+from clauseloom.operators import setsim
 
 # Display only: characters of a title, and of the text shown beside the full one.
 TITLE_LENGTH = 60
@@ -245,6 +246,20 @@ def uses_edges(generates: DataFrame, variables: DataFrame) -> DataFrame:
         F.col("to_id").alias("from_id"), F.col("variable_id").alias("to_id")).distinct()
 
 
+def similar_edges(clauses: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """SIMILAR_TO between clauses of one type, in the compact form of the set join.
+
+    kind, from_id, to_id, hub_token, score; the ends are clause ids.  ``clause_seq`` must
+    tell clauses apart.  Texts that are null or without words have no edge.
+    """
+    rows = clauses.select(F.col("clause_seq").alias("id"), F.col("clause_type").alias("type"), "text")
+    ids = clauses.select("clause_seq", clause_id().alias("clause_id"))
+    side = lambda end, name: ids.select(F.col("clause_seq").alias(end), F.col("clause_id").alias(name))
+    return setsim.similarity_relation(rows, threshold).join(side("from_id", "a"), "from_id").join(
+        side("to_id", "b"), "to_id").select(
+        "kind", F.col("a").alias("from_id"), F.col("b").alias("to_id"), "hub_token", "score")
+
+
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """Last write wins per key; the map-side cut keeps rewritten keys from piling up."""
     last = Window.partitionBy(*keys).orderBy(F.desc(seq))
@@ -284,7 +299,7 @@ def build(clauses: DataFrame, templates: DataFrame | None = None, max_contracts:
         "Contract": lambda: contract_nodes(clauses), "Clause": lambda: clause_nodes(clauses),
         "Variable": lambda: variable_nodes(clauses), "Party": lambda: party_nodes(contract_parties(clauses)),
         "CONTAINS": lambda: contains_edges(tables["Clause"]), "HAS_VARIABLE": lambda: variable_edges(tables["Variable"]),
-        "INVOLVES": lambda: involves_edges(contract_parties(clauses)),
+        "INVOLVES": lambda: involves_edges(contract_parties(clauses)), "SIMILAR_TO": lambda: similar_edges(clauses),
     }
     if templates is not None:
         makers["Template"] = lambda: template_nodes(templates)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from clauseloom.corpus_model import CLAUSES_SQL, rendered_clauses
 from clauseloom.operators import graph as G
-from clauseloom.operators import setsim as S
 from clauseloom.operators import templates as T
 from clauseloom.plans.extraction import rendered_stored as rendered_extracted
 from clauseloom.plans.registry import query
@@ -160,12 +159,7 @@ rel AS (SELECT 'copy' AS kind, id AS f, rep AS t, NULL AS hub_token, 1.0::DOUBLE
 SELECT kind, a.clause_id AS from_id, b.clause_id AS to_id, hub_token, score FROM rel JOIN ids a ON a.clause_seq = f JOIN ids b ON b.clause_seq = t""")
 def graph_similar_edges(spark, sf_dir):
     """SIMILAR_TO in its compact form, keyed by clause id."""
-    clauses = rendered_extracted(spark, sf_dir)
-    rel = S.similarity_relation(clauses.select(F.col("clause_seq").alias("id"), F.col("clause_type").alias("type"), "text"))
-    ids = clauses.select("clause_seq", G.clause_id().alias("clause_id"))
-    return rel.join(ids.select(F.col("clause_seq").alias("from_id"), F.col("clause_id").alias("a")), "from_id").join(
-        ids.select(F.col("clause_seq").alias("to_id"), F.col("clause_id").alias("b")), "to_id").select(
-        "kind", F.col("a").alias("from_id"), F.col("b").alias("to_id"), "hub_token", F.round("score", 6).alias("score"))
+    return clause_tables(spark, sf_dir)["SIMILAR_TO"].withColumn("score", F.round("score", 6))
 
 
 _SIMILAR_SQL = f"""WITH {relation_sql(_SIM)},
@@ -204,11 +198,13 @@ def graph_valid_edges(spark, sf_dir):
     return G.valid_edges(edges, c.select("c_custkey"), table(spark, sf_dir, "nation").select("n_nationkey"))
 
 
-_TOTALS_SQL = f"""WITH {GRAPH_SQL} SELECT 'Contract' AS label, count(*) AS n FROM contracts UNION ALL SELECT 'Clause', count(*) FROM cn
+_TOTALS_SQL = f"""WITH {relation_sql(_SIM)} SELECT 'Contract' AS label, count(*) AS n FROM contracts UNION ALL SELECT 'Clause', count(*) FROM cn
 UNION ALL SELECT 'Variable', count(*) FROM vn UNION ALL SELECT 'Party', count(DISTINCT party_id) FROM pid UNION ALL SELECT 'CONTAINS', count(*) FROM cn
 UNION ALL SELECT 'HAS_VARIABLE', count(*) FROM vn UNION ALL SELECT 'INVOLVES', count(*) FROM pid UNION ALL SELECT 'Template', count(*) FROM tn
 UNION ALL SELECT 'BASED_ON', count(*) FROM tn UNION ALL SELECT 'GENERATES', count(*) FROM generates
-UNION ALL SELECT 'USES_VARIABLES', count(*) FROM generates g JOIN vn ON vn.clause_id = g.from_id"""
+UNION ALL SELECT 'USES_VARIABLES', count(*) FROM generates g JOIN vn ON vn.clause_id = g.from_id
+UNION ALL SELECT 'SIMILAR_TO', (SELECT count(*) FROM copies) + (SELECT count(*) FROM hubs)
+  + (SELECT count(*) FROM sim WHERE NOT (na = nb AND both_n = na - 1))"""
 
 
 @query("graph_totals", _TOTALS_SQL)
