@@ -299,3 +299,30 @@ def graph_tables_written(spark, sf_dir):
     tables = graph_tables(spark, sf_dir)
     writers.write_graph(tables, path)
     return G.totals({name: spark.read.parquet(f"{path}/{name}") for name in tables.names()})
+
+
+@query("graph_changes_applied", f"""WITH {CLAUSES_SQL} SELECT contract_id, clause_seq, CASE WHEN o_custkey % 100 = 1 AND kind < 6 THEN 'new ' || text ELSE text END AS text
+FROM clauses WHERE NOT (o_custkey % 100 = 1 AND kind = 11)
+UNION ALL SELECT contract_id, clause_seq + 1000000000, 'added ' || text FROM clauses WHERE o_custkey % 100 = 1 AND kind = 0""")
+def graph_changes_applied(spark, sf_dir):
+    """Clause rows written in buckets by contract, then changed, removed and added for one contract in a hundred.
+
+    The changes come in two sets, the later versions first.
+    """
+    path = scratch_path(spark, "versions")
+    c = rendered_clauses(spark, sf_dir).select("contract_id", "clause_seq", "text", "kind", "o_custkey")
+    columns = ["contract_id", "clause_seq", "text"]
+    writers.write_versions(c.select(*columns), path, "contract_id")
+    some = c.where("o_custkey % 100 = 1")
+
+    def change(rows, seq, text, version, gone):
+        return rows.select("contract_id", seq.alias("clause_seq"), text.alias("text"), F.lit(version).alias("version"), F.lit(gone).alias("gone"))
+
+    seq, text = F.col("clause_seq"), F.col("text")
+    later = change(some.where("kind < 6"), seq, F.concat(F.lit("new "), text), 2, False).unionByName(
+        change(some.where("kind = 11"), seq, text, 2, True)).unionByName(
+        change(some.where("kind = 0"), seq + 1000000000, F.concat(F.lit("added "), text), 2, False))
+    earlier = change(some.where("kind < 6 OR kind = 11"), seq, F.concat(F.lit("old "), text), 1, False)
+    for changes in (later, earlier):
+        writers.apply_versions(changes, path, ["contract_id", "clause_seq"], "contract_id")
+    return writers.read_versions(spark, path)

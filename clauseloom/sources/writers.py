@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clauseloom.session import stored
+
 # Column order of exported similarity results.
 SIMILARITY_COLUMNS = [
     "rank", "similarity_score", "predicted_clause_type", "ground_truth_clause_type", "clause_id",
@@ -73,6 +75,56 @@ def write_graph(tables, path: str) -> None:
         frame.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def _with_bucket(rows: DataFrame, by: str, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int"))
+
+
+def _write_buckets(rows: DataFrame, path: str) -> None:
+    """Only the buckets that ``rows`` holds are replaced; a bucket with a hot key is cut into several files."""
+    rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "bucket").parquet(path)
+
+
+def write_versions(rows: DataFrame, path: str, by: str, buckets: int = 256) -> None:
+    """A node or edge table that changes can be applied to, in buckets of the hash of ``by``.
+
+    Bucket by what changes together, such as the contract of a clause.  Every row starts as
+    version 0.  ``buckets`` has to be the same in every later call.
+    """
+    _write_buckets(_with_bucket(rows, by, buckets).withColumns({"version": F.lit(0).cast("bigint"), "gone": F.lit(False)}), path)
+
+
+def apply_versions(changes: DataFrame, path: str, keys: list[str], by: str, buckets: int = 256) -> list[int]:
+    """Apply changes to a table of ``write_versions``; returns the buckets that were rewritten.
+
+    ``changes`` has the table's columns, ``version`` and ``gone``.  The highest version of a
+    key wins, of equal versions a removal, then any row of equal content; the same changes
+    twice, or sets of changes in any order, give the same table.  Removed rows stay as
+    marks, so an older change that comes late does not bring them back.  A null key is a
+    key, a null ``gone`` is false, a null ``version`` is 0.  Buckets without a change are
+    neither read nor written; at most ``buckets`` numbers come to the driver.
+    """
+    spark = changes.sparkSession
+    marked = _with_bucket(changes, by, buckets).withColumns(
+        {"version": F.coalesce("version", F.lit(0)).cast("bigint"), "gone": F.coalesce("gone", F.lit(False))})
+    fresh = stored(marked, "changes")
+    touched = sorted(r.bucket for r in fresh.select("bucket").distinct().collect())
+    if not touched:
+        return []
+    current = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+    content = F.xxhash64(*[c for c in sorted(current.columns) if c not in ("bucket", "version", "gone")])
+    last = Window.partitionBy("bucket", *keys).orderBy(F.desc("version"), F.desc("gone"), content)
+    merged = current.unionByName(fresh).withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn")
+    # stored first: a bucket cannot be read and replaced in one job
+    _write_buckets(stored(merged, "merged"), path)
+    return touched
+
+
+def read_versions(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the table that are not removed."""
+    return spark.read.parquet(path).where("NOT gone").drop("gone", "version", "bucket")
+
+
 def write_lifecycle(tables: dict[str, DataFrame], path: str, bucket_rows: int = 1_000_000) -> None:
     """states, transitions and validation, partitioned by a hash bucket of the machine, about ``bucket_rows`` rows each."""
     for name, frame in tables.items():
