@@ -271,6 +271,8 @@ CONTEXT_FIRST_TYPES = [
     "termination_convenience", "renewal_term", "notice_period_renewal",
 ]
 QUALITY_GATE = {"minimum_reachability": 0.8, "maximum_warnings": 5, "minimum_confidence": 0.5}
+REQUIRED_STATES = ["draft", "active", "terminated"]
+MINIMUM_TRANSITIONS = 3
 CONFIDENCE_BANDS = [("high", 0.8), ("medium", 0.6), ("low", 0.4)]
 QUALITY_BANDS = [("excellent", 0.9), ("good", 0.7), ("acceptable", 0.5)]
 QUALITY_WEIGHTS = {

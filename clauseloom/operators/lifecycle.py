@@ -193,6 +193,25 @@ def non_deterministic(transitions: DataFrame) -> DataFrame:
         F.count_distinct("target").alias("n_targets")).where("n_targets > 1")
 
 
+def structure_gate(states: DataFrame, transitions: DataFrame, required: list[str] | None = None,
+                   minimum: int = lookups.MINIMUM_TRANSITIONS) -> DataFrame:
+    """Per machine of ``states``: missing required states in their order, transitions, and whether both gates pass.
+
+    Repeated states or transitions count once; a transition differs by source, target or trigger.
+    """
+    required = lookups.REQUIRED_STATES if required is None else required
+    has = [F.max(F.col("name").eqNullSafe(name)).alias(f"has_{i}") for i, name in enumerate(required)]
+    present = states.groupBy("machine").agg(F.count("*").alias("n_states"), *has)
+    missing = F.filter(F.array(*[F.when(~F.col(f"has_{i}"), name) for i, name in enumerate(required)]).cast("array<string>"),
+                       lambda x: x.isNotNull())
+    moves = transitions.select("machine", "source", "target", "trigger").distinct().groupBy("machine").agg(
+        F.count("*").alias("n_transitions"))
+    joined = present.join(moves.withColumnRenamed("machine", "m"), F.col("machine").eqNullSafe(F.col("m")), "left")
+    n = F.coalesce("n_transitions", F.lit(0))
+    return joined.select("machine", missing.alias("missing_states"), n.alias("n_transitions")).withColumn(
+        "passes", (F.size("missing_states") == 0) & (F.col("n_transitions") >= minimum))
+
+
 def orphan_states(states: DataFrame, transitions: DataFrame) -> DataFrame:
     ends = transitions.select("machine", F.explode(F.array("source", "target")).alias("name")).distinct()
     return states.select("machine", "name").join(ends, ["machine", "name"], "left_anti")

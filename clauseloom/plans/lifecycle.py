@@ -9,6 +9,7 @@ from clauseloom.functions import responses as R
 from clauseloom.functions.parties import parties_from_answer, party_section
 from clauseloom.operators import evaluate as E
 from clauseloom.operators import lifecycle as L
+from clauseloom.operators import record
 from clauseloom.operators import templates as T
 from clauseloom.operators.extraction import to_long
 from clauseloom.plans.extraction import LONG_SQL, rendered_stored
@@ -416,3 +417,36 @@ def stream_conformance_query(spark, sf_dir):
         stream = spark.readStream.schema("key string, event string, ts timestamp, event_id long").parquet(f"{folder}/in")
         stream_conformance.run(stream, f"{folder}/kept")
     return stream_conformance.result(spark, f"{folder}/kept", allowed(spark))
+
+
+@query("lifecycle_structure_gate", f"""WITH {EVENTS_SQL}, n AS (SELECT machine, count(*) AS k FROM (SELECT DISTINCT machine, source, target, trigger FROM trans) GROUP BY machine),
+g AS (SELECT s.machine, list_filter(['click', 'purchase', 'signup'], lambda x: NOT list_contains(list(s.name), x)) AS missing, coalesce(any_value(n.k), 0) AS n_transitions
+  FROM states s LEFT JOIN n ON n.machine = s.machine GROUP BY s.machine)
+SELECT machine, array_to_string(missing, ',') AS missing_states, n_transitions, len(missing) = 0 AND n_transitions >= 3 AS passes FROM g""")
+def lifecycle_structure_gate(spark, sf_dir):
+    """Machines of events must hold three required states and three transitions."""
+    gate = L.structure_gate(*event_machines(spark, sf_dir), required=["click", "purchase", "signup"])
+    return gate.withColumn("missing_states", F.array_join("missing_states", ","))
+
+
+@query("run_record", f"""WITH RECURSIVE {LONG_SQL}, {_SUMMARY_SQL},
+pc AS (SELECT contract_id, count(DISTINCT clause_seq) AS n, count(*) AS v, count(*) FILTER (WHERE is_set) AS s, bool_or(party_1 IS NOT NULL) AS p FROM long GROUP BY contract_id),
+ty AS (SELECT clause_type, count(DISTINCT clause_seq) AS n, count(*) AS v, count(*) FILTER (WHERE is_set) AS s FROM long GROUP BY clause_type),
+w AS (SELECT sum(n) AS n, sum(v) AS v, sum(s) AS s, count(*) AS contracts, count(*) FILTER (WHERE p) AS named FROM pc),
+m AS (SELECT count(*) AS m, count(*) FILTER (WHERE is_valid) AS valid, count(*) FILTER (WHERE n_warnings > 0) AS warned, count(*) FILTER (WHERE passes_gate) AS gated FROM summary),
+st AS (SELECT count(*) AS n, count(*) FILTER (WHERE confidence > 0.8) AS high FROM states), mv AS (SELECT count(*) AS moves FROM trans)
+SELECT 'extraction' AS section, unnest(['clauses', 'contracts', 'variables', 'values', 'success_rate', 'party_rate']) AS metric, NULL AS category,
+  unnest([n::DOUBLE, contracts, v, s, round(s / v::DOUBLE, 6), round(named / contracts::DOUBLE, 6)]) AS value FROM w
+UNION ALL SELECT 'clause_type', unnest(['clauses', 'success_rate']), clause_type, unnest([n::DOUBLE, round(s / v::DOUBLE, 6)]) FROM ty
+UNION ALL (SELECT 'most_common', 'clause_type', clause_type, n::DOUBLE FROM ty ORDER BY n DESC, clause_type LIMIT 10)
+UNION ALL SELECT 'lifecycle', unnest(['machines', 'states', 'transitions', 'pass_rate', 'gate_rate', 'warning_rate', 'high_confidence_rate', 'states_per_machine', 'transitions_per_machine']), NULL,
+  unnest([m::DOUBLE, n, moves, round(valid / m::DOUBLE, 6), round(gated / m::DOUBLE, 6), round(warned / m::DOUBLE, 6), round(high / n::DOUBLE, 6), round(n / m::DOUBLE, 6), round(moves / m::DOUBLE, 6)]) FROM m, st, mv
+UNION ALL (SELECT 'most_common', 'state', name, count(*)::DOUBLE FROM states GROUP BY name ORDER BY count(*) DESC, name LIMIT 10)
+UNION ALL SELECT 'state_category', 'states', category, count(*)::DOUBLE FROM states GROUP BY category
+UNION ALL SELECT 'integration', unnest(['complete', 'success_rate']), NULL, unnest([count(*) FILTER (WHERE p)::DOUBLE, round(avg(p::INT), 6)]) FROM pc""")
+def run_record_query(spark, sf_dir):
+    """Extraction, lifecycle and integration figures of a run; a contract with parties counts as complete here."""
+    clauses = rendered_stored(spark, sf_dir)
+    states, transitions = event_machines(spark, sf_dir)
+    completion = clauses.groupBy("contract_id").agg(F.max(F.col("clause_type") == "parties").alias("is_complete"))
+    return record.run_record(clauses, states, transitions, L.validation_summary(states, transitions), completion)

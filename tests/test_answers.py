@@ -2,6 +2,7 @@
 
 from clauseloom.operators import answers as A
 from clauseloom.operators import extraction as E
+from clauseloom.operators import lifecycle as L
 from pyspark.sql import functions as F
 
 CLAUSES = "contract_id string, clause_type string, clause_seq long, context string, answer_text string"
@@ -56,3 +57,15 @@ def test_copies_are_asked_once_and_a_second_run_asks_nothing(spark):
 def test_empty_clauses(spark):
     found, fresh = A.extract_with_model(spark.createDataFrame([], CLAUSES), _scorer(spark.sparkContext.accumulator(0)))
     assert found.count() == 0 and fresh.count() == 0 and "source_clause" in found.columns
+
+
+def test_structure_gate(spark):
+    states = spark.createDataFrame(
+        [("a", n) for n in ("draft", "active", "terminated", "draft")] + [("b", "draft"), (None, "active"), ("c", None)], "machine string, name string")
+    moves = spark.createDataFrame(
+        [("a", "draft", "active", t) for t in ("sign", "sign", "execute")] + [("a", "active", "terminated", "end"), ("z", "x", "y", "t"), (None, "active", "active", "t")],
+        "machine string, source string, target string, trigger string")
+    got = {r.machine: (r.missing_states, r.n_transitions, r.passes) for r in L.structure_gate(states, moves).collect()}
+    assert got == {"a": ([], 3, True), "b": (["active", "terminated"], 0, False), None: (["draft", "terminated"], 1, False),
+                   "c": (["draft", "active", "terminated"], 0, False)}
+    assert L.structure_gate(states.limit(0), moves).count() == 0
