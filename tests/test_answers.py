@@ -3,7 +3,6 @@
 from clauseloom.operators import answers as A
 from clauseloom.operators import extraction as E
 from clauseloom.operators import lifecycle as L
-from pyspark.sql import functions as F
 
 CLAUSES = "contract_id string, clause_type string, clause_seq long, context string, answer_text string"
 
