@@ -38,6 +38,17 @@ def test_money(spark):
     assert [None if g is None else (g["amount"], g["currency"]) for g in got] == list(cases.values())
 
 
+def test_money_is_not_read_from_tokens_and_noise(spark):
+    cases = {
+        'token = "4fe5949719b6b82bc439e9329b" here': None, "token 740d10cfb38a379bfbce847f43f32482d573DC8M": None,
+        "onorea$$$ 170.116.163.254### thhe***": None, "del&&& adoas$$$ 4443578346646849$$$ un%%%": None,
+        "€€ 5 and ££ 6": None, "token 99aa12b, then $3 million": (3e6, "USD"),
+        "(5 million)": (5e6, "USD"), "US$5 B": (5e9, "USD"), "up to-7 billion": (7e9, "USD"),
+    }
+    got = values(spark, list(cases), T.money_of)
+    assert [None if g is None else (g["amount"], g["currency"]) for g in got] == list(cases.values())
+
+
 def test_durations(spark):
     cases = {
         "ten (10) years": (10, "Years"), "30 days": (30, "Days"), "30 calendar days": (30, "Days"), "five weeks": (5, "Weeks"),
@@ -74,6 +85,11 @@ def test_parties(spark):
     assert got == list(cases.values())
 
 
+def test_co_after_a_full_stop_is_no_company(spark):
+    cases = {"para el y. Osga as. Una de. Co. Miadora garrrr.": None, "paid to Acme Trading Co. as agreed": ["Acme Trading Co"]}
+    assert values(spark, list(cases), P.parties_of) == list(cases.values())
+
+
 def test_text(spark):
     assert values(spark, ["No.", "N/A", "nothing", "..", ""], X.is_non_answer) == [True, True, False, True, True]
     assert values(spark, ["A_b_c", "A_b", "A"], X.base_contract_id) == ["A", "A_b", "A"]
