@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.operators.extraction import extract_clauses, to_long
+from clauseloom.session import dealt
 
 
 def extracted_stream(clauses: DataFrame, delay: str | None = None) -> DataFrame:
@@ -16,7 +17,8 @@ def extracted_stream(clauses: DataFrame, delay: str | None = None) -> DataFrame:
     the clauses arrive in; with ``delay`` they expire behind a watermark on ``ts``.
     """
     key = ["contract_id", "clause_type", "_text_key"]
-    found = extract_clauses(clauses).withColumn("_text_key", F.sha2("text", 256))
+    # dealt out first: a batch may be one file with one split
+    found = extract_clauses(dealt(clauses, "clause_seq")).withColumn("_text_key", F.sha2("text", 256))
     once = found.dropDuplicates(key) if delay is None else found.withWatermark("ts", delay).dropDuplicatesWithinWatermark(key)
     return to_long(once.drop("_text_key"))
 

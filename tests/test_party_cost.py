@@ -21,3 +21,13 @@ def test_fallback_reads_each_pattern_once(spark):
     found = E.fallback_parties(rows)
     assert found._jdf.queryExecution().optimizedPlan().toString().count(BETWEEN_PATTERNS[0]) == 1
     assert [r["parties"] for r in found.collect()] == [["Acme Inc"]]
+
+
+def test_one_file_of_a_stream_is_extracted_in_all_tasks(spark):
+    from clauseloom.streaming.clauses import extracted_stream
+
+    rows = spark.createDataFrame([("c", "insurance", 1, "Coverage of EUR 5.00 is mandatory.")],
+                                 "contract_id string, clause_type string, clause_seq long, text string").coalesce(1)
+    found = extracted_stream(rows)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.where("v_amount = 5.0").count() == 1
