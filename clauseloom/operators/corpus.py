@@ -52,7 +52,7 @@ def processed_rows(samples: DataFrame, max_words: int | None = None) -> DataFram
     cleaned = samples.withColumn("_context", X.clean_text(F.col("context"))).withColumn(
         "_answer", X.clean_text(F.col("answer_text")))
     extra = ["split"] if "split" in samples.columns else []
-    return cleaned.withColumn("_words", X.word_count(F.col("_context"))).select(
+    return cleaned.withColumn("_words", X.clean_word_count(F.col("_context"))).select(
         *extra, "contract_id", X.base_contract_id(F.col("contract_id")).alias("base_contract_id"), "title",
         (F.col("_context") if max_words is None else X.truncate_words(F.col("_context"), max_words)).alias("context"),
         X.clean_text(F.col("question")).alias("question"), "clause_type", "has_answer",
@@ -70,7 +70,7 @@ def training_samples(samples: DataFrame, model_words: int = 512) -> DataFrame:
     question, context = X.clean_text(F.col("question")), X.clean_text(F.col("context"))
     known = samples.where("clause_type <> 'unknown'").withColumn("_q", question).withColumn("_c", context)
     known = known.select("*", F.posexplode(
-        X.word_windows(F.col("_c"), X.sample_context_limit(F.col("_q"), model_words))).alias("window_no", "_w"))
+        X.word_windows(F.col("_c"), X.sample_context_limit(F.col("_q"), model_words), clean=True)).alias("window_no", "_w"))
     extra = ["split"] if "split" in samples.columns else []
     return known.select(*extra, F.concat(F.col("_q"), F.lit(" [SEP] "), F.col("_w")).alias("text"),
                         F.col("has_answer").cast("int").alias("binary_label"), "clause_type", "contract_id",

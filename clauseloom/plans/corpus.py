@@ -408,7 +408,8 @@ def processed_rows_long_texts(spark, sf_dir):
         F.col("doc_id").cast("string").alias("contract_id"), F.lit("t").alias("title"), F.repeat(F.concat("text", F.lit(" ")), F.lit(8)).alias("context"),
         F.lit("Governing Law?").alias("question"), F.lit("governing_law").alias("clause_type"), F.lit(False).alias("has_answer"),
         F.lit(None).cast("string").alias("answer_text"), F.lit(None).cast("int").alias("answer_start"))
-    rows = C.processed_rows(samples.withColumn("context", F.regexp_replace("context", r"\s+", " "))).select("contract_id", "context_length", "was_truncated")
-    windows = C.training_samples(samples).withColumn("n", X.word_count(F.element_at(F.split("text", r" \[SEP\] "), 2)))
+    rows = C.processed_rows(samples).select("contract_id", "context_length", "was_truncated")
+    windows = C.training_samples(samples).withColumn("w", F.element_at(F.split("text", r" \[SEP\] ", 2), 2)).withColumn(
+        "n", X.clean_word_count(F.col("w")))
     counts = windows.groupBy("contract_id").agg(F.count("*").alias("n_windows"), F.sum("n").alias("window_words"))
     return rows.join(counts, "contract_id")
