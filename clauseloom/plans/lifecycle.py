@@ -354,7 +354,7 @@ _COMPLETE_SQL = f"""{TEMPLATES_SQL}, done AS (SELECT contract_id, true AS has_va
 @query("stage_completion", f"WITH {_COMPLETE_SQL} SELECT *, has_templates AND has_machine AS is_complete FROM done")
 def stage_completion_query(spark, sf_dir):
     clauses = rendered_stored(spark, sf_dir)
-    return stage_completion(clauses, T.generate(clauses))
+    return stage_completion(clauses, T.passing(clauses))
 
 
 @query("run_summary", f"""WITH {_COMPLETE_SQL} SELECT (SELECT count(*) FROM kc) AS n_clauses, (SELECT count(DISTINCT clause_type) FROM kc) AS n_types, (SELECT count(*) FROM long) AS n_variables,
