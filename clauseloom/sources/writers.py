@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clauseloom.session import stored
+from clauseloom.session import stored, swept
 
 # Column order of exported similarity results.
 SIMILARITY_COLUMNS = [
@@ -70,9 +70,20 @@ def long_metrics(frame: DataFrame, component: str, category: str, count: str) ->
 
 
 def write_graph(tables, path: str) -> None:
-    """One table per node label and edge type, rewritten as a whole."""
-    for name, frame in tables.items():
-        frame.write.mode("overwrite").parquet(f"{path}/{name}")
+    """One table per node label and edge type, rewritten as a whole.
+
+    Ids hold hashes as hexadecimal digits, which zstd halves; edges are sorted inside files, so that an id
+    which several edges share is stored about once.  What is written is read back where a later
+    table is made of it, if ``tables`` are ``GraphTables``.
+    """
+    for name in tables.names() if hasattr(tables, "names") else list(tables):
+        frame = tables[name]
+        spark = frame.sparkSession
+        rows = frame.sortWithinPartitions("to_id") if "to_id" in frame.columns else frame
+        with swept(spark):
+            rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+        if hasattr(tables, "put"):
+            tables.put(name, spark.read.schema(frame.schema).parquet(f"{path}/{name}"))
 
 
 def _with_bucket(rows: DataFrame, by: str, buckets: int) -> DataFrame:
